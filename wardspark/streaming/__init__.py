@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming logic: no watermarks, event-time windows, stateful or late-data handling.
+Its only iterator is mini-batching for model training, which is a single-machine feeder and is replaced by
+the split table and the per-visit sequence operator (``operators.prep.to_sequences``). Nothing is built
+here on purpose; the batch operators already run as ordinary Spark plans.
+"""
