@@ -29,7 +29,7 @@ CHART_ITEM_UNITS = {
     "HEART RATE": {211: "bpm", 220045: "bpm"},
     "SPO2": {646: "%", 834: "%", 6719: "%", 220277: "%"},
 }
-# Unit conversions: (category, unit) -> converted = (value + offset) * scale. Unlisted pairs are unchanged.
+# Unit conversions: (category, unit, scale, shift) -> converted = (value + shift) * scale. Unlisted pairs are unchanged.
 #   WEIGHT lbs x 0.453592; WEIGHT oz x 0.0283495; HEIGHT in x 2.54; TEMPERATURE F -> (v - 32) * 5/9
 UNIT_CONVERSIONS = [
     ("WEIGHT", "lbs", 0.453592, 0.0),
@@ -83,7 +83,7 @@ _VOCAB_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType(), False),
     T.StructField("unit", T.StringType(), True),
     T.StructField("scale", T.DoubleType(), False),
-    T.StructField("offset", T.DoubleType(), False),
+    T.StructField("shift", T.DoubleType(), False),
 ])
 
 
@@ -100,7 +100,7 @@ def vocab_rows() -> list[tuple]:
 
 
 def item_vocab(spark: SparkSession) -> DataFrame:
-    """itemid, source, feature, unit, scale, offset (139 rows)."""
+    """itemid, source, feature, unit, scale, shift (139 rows); converted = (value + shift) * scale."""
     return spark.createDataFrame(vocab_rows(), _VOCAB_SCHEMA)
 
 

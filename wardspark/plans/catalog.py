@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspark.plans import q_align  # noqa: F401
+from wardspark.plans import q_align, q_snapshot  # noqa: F401
 from wardspark.plans.registry import ORACLES, QUERIES
 
 
@@ -15,4 +15,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["f3_staged_cohort"](spark, sf_dir)
+    """The hour-by-hour visit snapshot with labels (per-hour file form)."""
+    return QUERIES["w5_snapshot_by_hour"](spark, sf_dir)
