@@ -62,6 +62,18 @@ VALIDITY_BOUNDS = {
     50912: (0.7, 1.3), 50885: (0.3, 1.2), 50861: (0, 35), 50878: (0, 35), 50867: (0, 130),
     51003: (0.03, None), 50956: (95, None),
 }
+# Normal (reference) value per feature, in feature order: 8 chart categories, then the 90 lab items above.
+# None = no normal value given.
+_NORMALS_IN_ORDER = [
+    None, None, 120, 80, 37, 16, 80, 97.5,
+    1, 14, 43.75, 250, 7.3, 14.75, 34, 30, 90, 5.05, 13, 4.25, 140.5, 102, 25.5, 10,
+    None, 1.95, 3.75, 9.75, 0.95, 12, 37.5, 7.41, 6, 1.016, None, None, None, None,
+    None, None, 25.5, 90, 40, None, 17.5, 17.5, 80, 0.75, 64, None, 0.6, None, 4.5,
+    None, None, None, None, None, None, 2.5, 4, None, None, 4.25, None, 100,
+    None, None, None, None, 110, None, 14.75, 140.5, 97.5, None, 90, 0.03, 102, 37,
+    None, 65, None, 250, 500, None, None, None, None, 160, None, None, None,
+    None, None, None, None, 20,
+]
 VALIDITY_MARGIN = 0.5
 CREATININE_ITEM = 50912
 LABEL_HORIZONS = [6, 12, 24, 36, 48, 72]
@@ -76,6 +88,13 @@ def feature_name(key) -> str:
 CHART_FEATURES = [feature_name(c) for c in CHART_CATEGORIES]
 LAB_FEATURES = [feature_name(i) for i in LAB_ITEMS]
 ALL_FEATURES = CHART_FEATURES + LAB_FEATURES
+assert len(_NORMALS_IN_ORDER) == len(ALL_FEATURES)
+NORMAL_VALUES = {f: (None if v is None else float(v)) for f, v in zip(ALL_FEATURES, _NORMALS_IN_ORDER)}
+
+
+def normals_table(spark: SparkSession) -> DataFrame:
+    """feature, normal (98 fixed rows; null when the feature has no normal value)."""
+    return spark.createDataFrame([(f, NORMAL_VALUES[f]) for f in ALL_FEATURES], "feature string, normal double")
 
 _VOCAB_SCHEMA = T.StructType([
     T.StructField("itemid", T.LongType(), False),
