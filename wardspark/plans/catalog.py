@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspark.plans import q_align, q_models, q_prep, q_profile, q_score, q_snapshot  # noqa: F401
+from wardspark.plans import q_align, q_io, q_models, q_prep, q_profile, q_score, q_snapshot  # noqa: F401
 from wardspark.plans.registry import ORACLES, QUERIES
 
 
