@@ -441,6 +441,9 @@ def prepare(df: DataFrame, splits: DataFrame, features: list[str], labels: list[
     rid = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "hour") if c in data.columns])
     data = data.select(*keys, rid.alias("rid"), "split", *feats, *labels)
     if resample:
+        data = data.checkpoint()
         for lab in labels:
-            data = resample_to_reference(data, feats, lab, labels, seed=seed, keys=keys)
+            # each pass reads the previous result three times (distribution, pool, union): cut the lineage
+            # after every pass so the plan stays linear in the number of passes
+            data = resample_to_reference(data, feats, lab, labels, seed=seed, keys=keys).checkpoint()
     return data, feats

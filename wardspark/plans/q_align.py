@@ -206,3 +206,73 @@ SELECT subject_id, hadm_id, CAST(floor(avg(s) / 0.75::DOUBLE) AS INT) AS stage_b
 GROUP BY subject_id, hadm_id"""))
 def q_a14(spark, d):
     return staging.visit_stage_bin(staged(spark, d))
+
+
+# ---- filters, lookups, sort, scalar functions -----------------------------------------------------------------
+
+def _vocab_items_sql():
+    from wardspark.functions.vocab import vocab_rows
+    return ", ".join(str(r[0]) for r in vocab_rows())
+
+
+@register("p6_item_in_list", sql(f"""
+SELECT subject_id, hadm_id, itemid, charttime, {R6('valuenum')} AS valuenum FROM fx_events
+WHERE itemid IN ({_vocab_items_sql()})"""))
+def q_p6(spark, d):
+    from wardspark.functions.vocab import item_vocab
+    ev = fx.fx_events(spark, d)
+    # the item list is the fixed-size vocabulary: a broadcast semi-join instead of a long IN-list
+    kept = ev.join(F.broadcast(item_vocab(spark).select("itemid")), on="itemid", how="left_semi")
+    return kept.select(*VISIT, "itemid", "charttime", r6("valuenum").alias("valuenum"))
+
+
+@register("p8_time_window", sql(f"""
+SELECT subject_id, hadm_id, itemid, time, {R6('valuenum')} AS valuenum FROM fx_timed
+WHERE time > 0 AND time <= 72"""))
+def q_p8(spark, d):
+    t = timed_events(spark, d).where((F.col("time") > 0) & (F.col("time") <= 72))
+    return t.select(*VISIT, "itemid", "time", r6("valuenum").alias("valuenum"))
+
+
+@register("p9_batched_point_lookup", sql(f"""
+SELECT t.subject_id, t.hadm_id, t.time, t.itemid, {R6('t.valuenum')} AS valuenum
+FROM fx_timed t JOIN fx_admissions a ON a.subject_id = t.subject_id AND a.hadm_id = t.hadm_id
+WHERE t.time = 24 AND t.itemid IN (50912, 51006, 211)"""))
+def q_p9(spark, d):
+    """Point lookups (visit, hour 24, item list) for every visit at once: a probe table joined to events."""
+    probes = fx.fx_admissions(spark, d).select(*VISIT).withColumn("time", F.lit(24).cast("long"))
+    t = timed_events(spark, d).where(F.col("itemid").isin([50912, 51006, 211]))
+    hits = t.join(probes, on=[*VISIT, "time"], how="left_semi")
+    return hits.select(*VISIT, "time", "itemid", r6("valuenum").alias("valuenum"))
+
+
+@register("o1_storage_order", sql(f"""
+SELECT subject_id, hadm_id, time, {R6('valuenum')} AS valuenum FROM fx_cohort
+ORDER BY subject_id, hadm_id, time, valuenum"""))
+def q_o1(spark, d):
+    return align.sort_events(cohort(spark, d)).select(*VISIT, "time", r6("valuenum").alias("valuenum"))
+
+
+@register("f_scalar_functions", sql(f"""
+SELECT subject_id, hadm_id, time,
+       CAST(CASE WHEN gender = 'F' THEN 0 ELSE 1 END AS INT) AS gender_code,
+       concat(CAST(subject_id AS VARCHAR), CAST(hadm_id AS VARCHAR)) AS visit_key,
+       TRY_CAST(CAST(age AS VARCHAR) AS DOUBLE) AS age_parsed,
+       [CAST(stage = 0 AS INT), CAST(stage = 1 AS INT), CAST(stage = 2 AS INT), CAST(stage = 3 AS INT)] AS stage_onehot,
+       CAST(stage > 0 AS INT) AS aki,
+       CAST(regexp_extract('S' || subject_id || '_H' || hadm_id || '.csv', 'S(\\d+)_H(\\d+)', 1) AS BIGINT) AS file_subject,
+       CAST(regexp_extract('S' || subject_id || '_H' || hadm_id || '.csv', 'S(\\d+)_H(\\d+)', 2) AS BIGINT) AS file_hadm,
+       CASE WHEN regexp_matches(s, '^(\\?|!.*)$') THEN NULL ELSE TRY_CAST(s AS DOUBLE) END AS cleared
+FROM (SELECT *, CASE WHEN stage = 0 THEN '?' WHEN stage >= 2 THEN '!' || CAST(time AS VARCHAR)
+                     ELSE CAST(time AS VARCHAR) END AS s FROM fx_staged)"""))
+def q_fs(spark, d):
+    from wardspark.functions import clinical as C
+    s = staged(spark, d)
+    txt = F.when(F.col("stage") == 0, F.lit("?")).when(F.col("stage") >= 2, F.concat(F.lit("!"), F.col("time").cast("string"))) \
+        .otherwise(F.col("time").cast("string"))
+    fs, fh = C.parse_visit_file(F.concat(F.lit("S"), F.col("subject_id"), F.lit("_H"), F.col("hadm_id"), F.lit(".csv")))
+    return s.select(*VISIT, "time", C.gender_code("gender").alias("gender_code"),
+                    C.concat_ids("subject_id", "hadm_id").alias("visit_key"),
+                    C.parse_number(F.col("age").cast("string")).alias("age_parsed"),
+                    C.one_hot("stage").alias("stage_onehot"), C.binarize("stage").alias("aki"),
+                    fs.alias("file_subject"), fh.alias("file_hadm"), C.clear_sentinel(txt).alias("cleared"))

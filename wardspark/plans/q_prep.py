@@ -372,3 +372,32 @@ def q_u2(spark, d):
 
 
 _ = (CHART_CATEGORIES, LAB_ITEMS)
+
+
+@register("j12_label_refresh", sql(
+    f"SELECT m.subject_id, m.hadm_id, m.hour, {', '.join(f'{R6(f)} AS {f}' for f in FEATS)}, "
+    + ", ".join(f"p.ptstage_{L}, p.pstage_{L}" for L in snap.LABEL_HORIZONS) + ", "
+    + ", ".join(f"n.tstage_{L}, n.stage_{L}" for L in snap.LABEL_HORIZONS)
+    + " FROM mt m JOIN w3 n ON n.subject_id = m.subject_id AND n.hadm_id = m.hadm_id AND n.hour = m.hour"
+      " JOIN w4 p ON p.subject_id = m.subject_id AND p.hadm_id = m.hadm_id AND p.hour = m.hour"))
+def q_j12(spark, d):
+    """Drop the old label columns and attach the full previous/forward label set by key (not by position)."""
+    from wardspark.functions.clinical import label_columns
+    data = model_table(spark, d).drop(*LABELS)
+    parts = snap.label_parts(nonzero(spark, d), H)
+    labels = parts.withColumn("hour", F.col("hour").cast("int")).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
+    cols = label_columns(previous=True) + label_columns()
+    out = data.join(labels, on=[*VISIT, "hour"], how="left")
+    return _round_feats(out.select(*VISIT, "hour", *FEATS,
+                                   *[F.coalesce(F.col(c), F.lit(0)).cast("long" if "tstage" in c else "int").alias(c)
+                                     for c in cols]))
+
+
+@register("t14_prepare_pipeline")
+def q_t14(spark, d):
+    """T5 -> P13 -> T1 -> T7 -> T6 -> T2 -> T10 (labels 6, 24, 48, 72) on the model table (rows-only check)."""
+    from wardspark.session import materialize
+    base = materialize(model_table(spark, d), "model_table_raw")
+    data, feats = prep.prepare(base, split_table(spark, d), FEATS, LABELS, kruskal=True, vif=True,
+                               normals=FX_NORMALS, resample=True, seed=SEED)
+    return data
