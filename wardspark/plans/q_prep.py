@@ -45,7 +45,10 @@ def split_table(spark, d):
 
 
 def with_split(spark, d):
-    return prep.apply_split(model_table(spark, d), split_table(spark, d))
+    """Model table with its split, written once under the checkpoint folder: fitting the imputation means
+    and the query itself then read the written table instead of running the label/pivot lineage twice."""
+    from wardspark.session import materialize
+    return materialize(prep.apply_split(model_table(spark, d), split_table(spark, d)), "model_split")
 
 
 def imputed(spark, d):
