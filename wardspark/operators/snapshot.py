@@ -309,7 +309,10 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     by_name = spark.createDataFrame([(f"{k}_{n}", *bnd.get(n, (None, None))) for k in ("prior", "cur")
                                      for n in features], "name string, low double, high double")
     # mean and validity per (visit, hour, name) in long form; the pivot then places one value per cell
-    cell = (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time)
+    # partition the long cells by visit once: after the hourly pre-aggregation a visit holds at most
+    # 2 x features x hours cells (skew-safe), and the cell aggregate, both pivot phases and the label
+    # aggregate below all reuse this partitioning instead of shuffling again
+    cell = (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time).repartition(*keys)
             .groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
             .join(F.broadcast(by_name), on="name", how="left")
             .withColumn("ok", is_valid("mean", "low", "high")))
@@ -321,7 +324,7 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     piv = cell.groupBy(*keys, "hour").pivot("name", names).agg(F.first("v"))
 
     lab = label_parts(nonzero, hours, horizons, keys).withColumn("hour", F.col("hour").cast("int")) \
-        .groupBy(*keys, "hour").agg(*label_aggs(horizons))
+        .repartition(*keys).groupBy(*keys, "hour").agg(*label_aggs(horizons))
 
     gate_src = hourly.where(F.col(time) <= hours)
     if lab_min_time is not None:
@@ -333,7 +336,7 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     else:
         vis = vis.where(F.col("_gate").isNotNull())
         first_hour = F.col("_gate")
-    spine = vis.select(*keys, F.explode(F.sequence(first_hour, F.lit(hours))).alias("hour"),
+    spine = vis.repartition(*keys).select(*keys, F.explode(F.sequence(first_hour, F.lit(hours))).alias("hour"),
                        F.col("age").cast("int").alias("age"), gender_code("gender").alias("gender"),
                        "ethnicity", "_gate")
     wide = spine.join(lab, on=[*keys, "hour"], how="left").join(piv, on=[*keys, "hour"], how="left")
