@@ -441,6 +441,8 @@ def prepare(df: DataFrame, splits: DataFrame, features: list[str], labels: list[
     rid = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "hour") if c in data.columns])
     data = data.select(*keys, rid.alias("rid"), "split", *feats, *labels)
     if resample:
+        from wardspark.session import checkpoint_dir
+        checkpoint_dir(data.sparkSession)
         data = data.checkpoint()
         for lab in labels:
             # each pass reads the previous result three times (distribution, pool, union): cut the lineage
