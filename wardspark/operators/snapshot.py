@@ -64,7 +64,10 @@ def snapshot_latest(conv: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, tim
     ev = conv.where(F.col(time) <= hours)
     if lab_min_time is not None:
         ev = ev.where((F.col("source") != "lab") | (F.col(time) >= lab_min_time))
-    pre = ev.groupBy(*keys, "itemid", "feature", time).agg(F.sum("cv").alias("s"), F.count("cv").alias("n"))
+    # after pre-aggregation a visit holds at most items x hours rows: one repartition by visit (skew-safe)
+    # then serves the window and the final (visit, hour, feature) aggregate without further exchanges
+    pre = ev.groupBy(*keys, "itemid", "feature", time).agg(F.sum("cv").alias("s"), F.count("cv").alias("n")) \
+        .repartition(*keys)
     w = Window.partitionBy(*keys, "itemid").orderBy(time)
     nxt = F.lead(time).over(w)
     lo = F.greatest(F.col(time), F.lit(1))
@@ -92,7 +95,8 @@ def snapshot_prior(conv: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOUR
     """Per (visit, hour, feature): sum and count of same-visit values with time < hour plus all values of
     earlier admissions of the subject. Returns keys, hour, feature, prior_sum, prior_n."""
     cur = (conv.where(F.col(time) < hours)
-           .groupBy(*keys, "feature", time).agg(F.sum("cv").alias("s"), F.count("cv").alias("n")))
+           .groupBy(*keys, "feature", time).agg(F.sum("cv").alias("s"), F.count("cv").alias("n"))
+           .repartition(*keys))
     w = Window.partitionBy(*keys, "feature").orderBy(time)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lo = F.greatest(F.col(time) + 1, F.lit(1))
