@@ -94,3 +94,23 @@ def test_confusion_invariant(spark):
     c = score.confusion(df, 4).collect()
     assert all(r.tp + r.fp + r.tn + r.fn == 200 for r in c)
     assert sum(r.tp for r in c) == sum(1 for y, p in rows if y == p)
+
+
+def test_exclusive_prefix_matches_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 2), rnd.randint(0, 50), float(rnd.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g int, o long, v double")
+    got = prep.exclusive_prefix_sums(df, ["g"], "o", ["v"], width=7).collect()
+    for r in got:
+        want = sum(v for g, o, v in rows if g == r.g and o < r.o)
+        assert r.pre_v == pytest.approx(want)
+    assert len(got) == 300
+
+
+def test_positions_exact_with_few_and_many_buckets(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("g"), prep.hash32("id").alias("h"))
+    for b in (1, 7, 4096):
+        p = prep.positions(df, ["g"], "h", ["id"], buckets=b).collect()
+        for g in range(3):
+            rows = sorted((r.h, r.id, r.pos) for r in p if r.g == g)
+            assert [x[2] for x in rows] == list(range(len(rows)))

@@ -31,7 +31,7 @@ def hash32(*cols, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def positions(df: DataFrame, group: list[str], order: str, tiebreak: list[str], buckets: int = 64,
+def positions(df: DataFrame, group: list[str], order: str, tiebreak: list[str], buckets: int = 4096,
               out: str = "pos", size: str = "gsize") -> DataFrame:
     """0-based position of each row within its group in (order, tiebreak) order, plus the group size.
 
@@ -50,7 +50,25 @@ def positions(df: DataFrame, group: list[str], order: str, tiebreak: list[str],
             .drop("_b", "_o"))
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, extra: list[str] = (), buckets: int = 256) -> DataFrame:
+def exclusive_prefix_sums(df: DataFrame, group: list[str], order: str, values: list[str], width: float,
+                          prefix: str = "pre_") -> DataFrame:
+    """For each row, the sums of ``values`` over rows of the same group with a strictly smaller ``order``
+    (numeric). Rows are bucketed by ``order // width``: bucket totals are prefix-summed over the buckets of a
+    group, and only rows of the same bucket go through a row-level window, so a group with very many rows is
+    spread over many window partitions. Nulls count as 0."""
+    x = df.withColumn("_pb", F.floor(F.col(order) / F.lit(float(width))))
+    bt = x.groupBy(*group, "_pb").agg(*[F.sum(v).alias(f"_bt_{v}") for v in values])
+    wb = Window.partitionBy(*group).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    boff = bt.select(*group, "_pb", *[F.coalesce(F.sum(f"_bt_{v}").over(wb), F.lit(0)).alias(f"_bo_{v}")
+                                      for v in values])
+    wi = Window.partitionBy(*group, "_pb").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    y = x.join(boff, on=[*group, "_pb"], how="inner")
+    out = y.select("*", *[(F.coalesce(F.sum(v).over(wi), F.lit(0)) + F.col(f"_bo_{v}")).alias(f"{prefix}{v}")
+                          for v in values])
+    return out.drop("_pb", *[f"_bo_{v}" for v in values])
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, extra: list[str] = (), buckets: int = 4096) -> DataFrame:
     """Tie-averaged ranks of ``value`` within ``group`` from a value histogram.
 
     Returns one row per (group, value, extra) with ``cnt`` rows and ``rank`` = average rank of that value
@@ -127,7 +145,7 @@ def column_null_counts(df: DataFrame, features: list[str]) -> DataFrame:
 # ---- T3–T5 splits --------------------------------------------------------------------------------------------
 
 def split_visits(ids: DataFrame, keys=VISIT, test: float = 0.2, valid: float = 0.25, strata: str | None = None,
-                 seed: int = 0, buckets: int = 64) -> DataFrame:
+                 seed: int = 0, buckets: int = 4096) -> DataFrame:
     """Assign each key to test / valid / devel by position in hash order (within ``strata`` if given):
     test = first ceil(test*n), valid = next ceil(valid*(n - n_test)), devel = the rest."""
     group = [strata] if strata else []

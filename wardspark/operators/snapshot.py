@@ -28,6 +28,7 @@ from wardspark.functions.vocab import ALL_FEATURES, LABEL_HORIZONS, bounds_table
 
 VISIT = ["subject_id", "hadm_id"]
 DEFAULT_HOURS = 200
+ADMISSION_BUCKET_US = 30 * 86400 * 1_000_000   # 30 days, the bucket of the earlier-admissions prefix
 
 
 def _cols(keys):
@@ -84,9 +85,9 @@ def earlier_admission_totals(conv: DataFrame, visits: DataFrame, keys=VISIT, sub
     """Per (visit, feature), sum and count of all values of the subject's admissions that started strictly
     earlier. Returns keys, feature, e_sum, e_n (only rows with e_n > 0).
 
-    Per-visit totals are aggregated first; the running sum is a window over (subject, feature) ordered by the
-    start time in microseconds with a frame ending at -1 µs, so admissions with an equal start are excluded.
-    The window holds one row per admission of the subject (not per event)."""
+    Per-visit totals are aggregated first (one row per admission and feature, not per event); the sum over
+    strictly earlier starts is an exclusive prefix over the start time in microseconds (equal starts are
+    excluded), bucketed by 30 days so that a subject with very many admissions is spread over partitions."""
     return earlier_from_hourly(hourly_sums(conv, keys), visits, keys, subject, start)
 
 
@@ -273,10 +274,12 @@ def earlier_from_hourly(hourly: DataFrame, visits: DataFrame, keys=VISIT, subjec
     subj_feats = tot.select(subject, "feature").distinct()
     probes = (visits.select(*keys, start).join(subj_feats, on=subject, how="inner")
               .join(tot, on=[*keys, "feature"], how="left"))
-    w = (Window.partitionBy(subject, "feature")
-         .orderBy(F.unix_micros(F.col(start).cast("timestamp")))
-         .rangeBetween(Window.unboundedPreceding, -1))
-    out = probes.select(*keys, "feature", F.sum("t_s").over(w).alias("e_sum"), F.sum("t_n").over(w).alias("e_n"))
+    # strictly earlier admissions of the same subject: exclusive prefix over the start time, bucketed by
+    # 30 days so that a subject with very many admissions is not one window partition
+    from wardspark.operators.prep import exclusive_prefix_sums
+    probes = probes.withColumn("_us", F.unix_micros(F.col(start).cast("timestamp")))
+    pre = exclusive_prefix_sums(probes, [subject, "feature"], "_us", ["t_s", "t_n"], ADMISSION_BUCKET_US)
+    out = pre.select(*keys, "feature", F.col("pre_t_s").alias("e_sum"), F.col("pre_t_n").alias("e_n"))
     return out.where(F.col("e_n") > 0)
 
 
