@@ -159,12 +159,16 @@ def label_parts(nonzero, hours=DEFAULT_HOURS, horizons=LABEL_HORIZONS, keys=VISI
     """Long-form label rows: kind 'next' (first event at/after hour), 'prev' (the 'next' row of hour-1) and
     'prev1' (last event before hour 1, for hour 1)."""
     nxt = label_next(nonzero, hours, horizons, keys, time, value, stage)
-    cur = nxt.select(*keys, "hour", F.lit("next").alias("kind"), "t", "stage")
-    prev = nxt.where(F.col("hour") < hours).select(*keys, (F.col("hour") + 1).alias("hour"),
-                                                    F.lit("prev").alias("kind"), "t", "stage")
+    # one generator emits the row for its own hour ('next') and for the following hour ('prev'), so the
+    # as-of window is evaluated once
+    two = F.array(F.struct(F.col("hour").alias("h"), F.lit("next").alias("k")),
+                  F.struct((F.col("hour") + 1).alias("h"), F.lit("prev").alias("k")))
+    both = nxt.select(*keys, "t", "stage", F.explode(two).alias("e")) \
+        .select(*keys, F.col("e.h").alias("hour"), F.col("e.k").alias("kind"), "t", "stage") \
+        .where(F.col("hour") <= hours)
     p1 = label_before_start(nonzero, keys, time, value, stage) \
         .select(*keys, F.lit(1).alias("hour"), F.lit("prev1").alias("kind"), "t", "stage")
-    return cur.unionByName(prev).unionByName(p1)
+    return both.unionByName(p1)
 
 
 def label_aggs(horizons=LABEL_HORIZONS, with_previous: bool = True):
