@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from wardspark.plans import q_align, q_io, q_models, q_prep, q_profile, q_score, q_snapshot  # noqa: F401
 from wardspark.plans.registry import ORACLES, QUERIES
-from wardspark.session import checkpoint_dir
 
 
 def _prepared(fn):
     def run(spark, sf_dir):
         # event times are zone-less (TIMESTAMP_NTZ); hour/week arithmetic must not depend on the caller's
-        # zone, and lineage cuts need the shared checkpoint folder (taken from spark.checkpoint.dir if set)
+        # zone
         if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-        checkpoint_dir(spark)
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

@@ -1,13 +1,14 @@
 """Session construction and lineage cutting.
 
-On a cluster the session is created by the platform; ``get_session`` only fills in settings that are
-unset. ``spark.checkpoint.dir`` is read from the session; a scratch folder is set only when it is unset
-(local runs and tests).
+On a cluster the session is created by the platform; ``get_session`` then returns it unchanged, and elsewhere it
+only fills in settings that are unset. The checkpoint folder is the context's, else ``spark.checkpoint.dir``; a
+scratch folder is taken only on a local master (tests).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,27 +28,46 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "wardspark") -> SparkSession:
+    """Session with the defaults above for every setting that is not set yet.
+
+    On a session that exists already nothing is changed: ``builder.config`` would overwrite its settings.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    from pyspark import SparkConf
+    given = SparkConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not given.contains(k):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` when set."""
+    """Shared folder for lineage cuts.
+
+    A folder already set on the context is respected, then ``spark.checkpoint.dir`` is read. Only a ``local``
+    master, where driver and executors are one process, gets a scratch folder of its own; on a cluster a missing
+    folder is an error, because executors could not see a folder of the driver.
+    """
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="wardspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -62,4 +82,4 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
