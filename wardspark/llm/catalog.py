@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardspark.llm import q_language, q_topk, q_warc
+from wardspark.llm import q_language, q_mixing, q_topk, q_warc
 
-_MODULES = (q_topk, q_language, q_warc)
+_MODULES = (q_topk, q_mixing, q_language, q_warc)
 
 
 def queries():
