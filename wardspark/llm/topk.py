@@ -3,8 +3,9 @@
 The vectors lie in blocks. A block's index has, for every dimension, the vector ids in order of their component, cut
 into segments of one quantised impact each. A query visits the segments of all dimensions by descending impact (its own
 component times the segment's, above the least that dimension can give) and adds lower and upper bounds to per-vector
-accumulators. It stops only on proof: once the impact of the next segment, times the dimensions a vector has yet to
-meet, cannot lift more than a few vectors to the k-th best lower bound. Those possible members are rescored exactly.
+accumulators. After each round the vectors ahead are scored exactly, for a floor of the k-th best score. The query
+stops only on proof: once the impact of the next segment, times the dimensions a vector has yet to meet, cannot lift
+more than a few vectors to that floor. Those possible members are rescored exactly.
 
 Blocks of queries meet blocks of vectors by key, so neither side is collected or broadcast whole. Each pair of blocks
 returns at most k rows a query; a last ranking of those gives the answer.
@@ -23,19 +24,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shares of a block's postings after which the proof is tried.
-ROUNDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+ROUNDS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 class ImpactIndex:
     """Impact-ordered postings of one block of integer vectors."""
 
-    def __init__(self, vectors: np.ndarray, levels: int = 32):
+    def __init__(self, vectors: np.ndarray, levels: int = 48):
         self.vectors = vectors
         n, dims = vectors.shape
         low, high = vectors.min(0), vectors.max(0)
         level = (vectors - low) * levels // (high - low + 1)
-        self.order = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
-        column = vectors.T[np.arange(dims)[:, None], self.order]
+        order = np.argsort(level, axis=0, kind="stable").T
+        self.postings = np.ascontiguousarray(order, np.intp).ravel()
+        column = vectors.T[np.arange(dims)[:, None], order]
         at = np.sort(level, axis=0).T
         self.dim, self.start, self.stop, self.least, self.most = [], [], [], [], []
         for d in range(dims):
@@ -56,27 +58,41 @@ class ImpactIndex:
         ends = np.stack([q * self.least, q * self.most])
         worst = np.minimum(query * self.floor_low, query * self.floor_high)[self.dim]
         lower, upper = ends.min(0) - worst, ends.max(0) - worst
+        # no vector gains more by quantisation than the widest segment of each dimension
+        slack = np.maximum.reduceat(upper - lower, np.flatnonzero(np.diff(self.dim, prepend=-1))).sum()
         by_impact = np.argsort(-upper, kind="stable")
-        done = np.cumsum((self.stop - self.start)[by_impact])
-        sure, gap, met = np.zeros(n), np.zeros(n), np.zeros(n)
-        begin, few = 0, max(4 * k, n // 64)
+        size = self.stop - self.start
+        place = self.dim * n + self.start
+        done = np.cumsum(size[by_impact])
+        # one accumulator holds both the lower bound and, in its last digit, the number of dimensions met
+        digit = dims.bit_length()
+        gain = ((lower << digit) + 1).astype(np.float64)
+        held = np.zeros(n)
+        begin, few, probes = 0, max(4 * k, n // 16), 8 * k + 1
+        least_score = np.minimum(query * self.floor_low, query * self.floor_high).sum()
         for share in ROUNDS:
             end = int(np.searchsorted(done, share * n * dims - 0.5)) + 1
-            segments = by_impact[begin:end]
+            segments = np.sort(by_impact[begin:end])
             if len(segments):
-                size = (self.stop - self.start)[segments]
-                ids = np.concatenate([self.order[self.dim[s], self.start[s]:self.stop[s]] for s in segments])
-                sure += np.bincount(ids, np.repeat(lower[segments], size), n)
-                gap += np.bincount(ids, np.repeat((upper - lower)[segments], size), n)
-                met += np.bincount(ids, minlength=n)
+                # neighbouring segments lie side by side in the postings
+                first = np.flatnonzero(np.diff(segments, prepend=-2) != 1)
+                last = np.append(first[1:], len(segments)) - 1
+                ids = np.concatenate([self.postings[a:b] for a, b in zip(
+                    place[segments[first]].tolist(), (place + size)[segments[last]].tolist(), strict=True)])
+                held += np.bincount(ids, np.repeat(gain[segments], size[segments]), n)
             begin = max(begin, end)
             left = upper[by_impact[begin]] if begin < len(by_impact) else 0
-            bound = sure.copy()
+            exact = held.astype(np.int64)
+            bound, met = exact >> digit, exact & ((1 << digit) - 1)
+            most = bound + slack + left * (dims - met)
             if own >= 0:
-                bound[own] = -1.0
-            if n - (own >= 0) > k:
-                kth = np.partition(bound, n - k)[n - k]
-                possible = sure + gap + left * (dims - met) >= kth
+                bound[own] = -1
+            if n - (own >= 0) > probes:
+                # the vectors ahead so far are scored exactly: the k-th best of them is below the true k-th best
+                ahead = np.argpartition(bound, n - probes)[n - probes:]
+                ahead = ahead[ahead != own]
+                kth = np.partition(self.vectors[ahead] @ query, -k)[-k] - least_score
+                possible = most >= kth
             else:
                 possible = np.ones(n, bool)
             if own >= 0:
