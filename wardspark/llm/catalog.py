@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardspark.llm import q_fingerprint, q_language, q_mixing, q_topk, q_warc
+from wardspark.llm import q_fingerprint, q_jaccard, q_language, q_mixing, q_topk, q_warc
 
-_MODULES = (q_topk, q_mixing, q_language, q_warc, q_fingerprint)
+_MODULES = (q_jaccard, q_topk, q_mixing, q_language, q_warc, q_fingerprint)
 
 
 def queries():
