@@ -38,6 +38,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 #: A header longer than this is not taken for one.
 HEADER_MAX = 1 << 20
+#: Tasks of one read; beyond this a task has several ranges.
+MOST_TASKS = 50_000
 RECORD_FIELDS = ("page_id long, uri string, payload_bytes long, payload_digest string, record_type string, "
                  "refers_to long, archive string, start long, payload binary")
 
@@ -204,8 +206,9 @@ def read_archives(manifest: DataFrame, split: int = 4 << 20, payloads: bool = Tr
     """
     names = ["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "start",
              "payload"]
-    parts = ranges(manifest, split)
-    cut = parts.repartition(tasks, "path", "lo") if tasks else parts.repartition("path", "lo")
+    # as many tasks as ranges: their rows are tiny, so left to itself adaptive execution would read all in one task
+    n = tasks or min(manifest.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1, MOST_TASKS)
+    cut = ranges(manifest, split).repartition(n, "path", "lo")
 
     def page(value: str | None) -> int | None:
         text = (value or "").removeprefix("<urn:page:").removesuffix(">")
