@@ -6,7 +6,8 @@ first or the last. Whether a k-mer is chosen depends on its own words alone, so
 anchors in any document, wherever they stand; neighbouring k-mers overlap by whole s-mers, so gaps are short.
 
 ``anchors`` returns all anchors with positions, for matching passages. ``fingerprint`` is the bounded form for whole
-documents: the ``size`` least distinct anchor hashes, 8 hexadecimal digits each, in ascending order. Fingerprints of up
+documents: the ``size`` least distinct anchor hashes, 8 hexadecimal digits each, in ascending order of the signed
+numbers. Fingerprints of up
 to ``size`` anchors hold all of them; beyond that it is a uniform sample, the same in all documents. ``likeness`` of
 two fingerprints is the Jaccard similarity of their anchor sets: exact if both are complete, else estimated on the
 ``size`` least of their union.
@@ -69,13 +70,15 @@ def with_anchors(df: DataFrame, text: Column, out: str) -> DataFrame:
 
 
 def sketch(anchors: Column, size: int = SIZE) -> Column:
-    """The ``size`` least distinct anchor hashes, as sorted 8-digit hexadecimal numbers."""
-    short = F.transform(anchors, lambda a: F.lpad(F.lower(F.hex(F.shiftrightunsigned(a["hash"], 32))), 8, "0"))
+    """The ``size`` least distinct anchor hashes, as sorted 32-bit numbers."""
+    short = F.transform(anchors, lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return F.slice(F.array_sort(F.array_distinct(short)), 1, size)
 
 
 def fingerprint(parts: Column) -> Column:
-    return F.array_join(parts, "")
+    """The numbers of a sketch as 8 hexadecimal digits each."""
+    digits = F.transform(parts, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0"))
+    return F.array_join(digits, "")
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
