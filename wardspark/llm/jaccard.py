@@ -6,8 +6,9 @@ length in any tree. The length starts at ``depth`` and is shortened until a pair
 target recall, 1 - (1 - t^length)^trees; more alike pairs are found more surely.
 
 Verification is exact and takes no pair twice. Every text with a partner in some bucket has one home, the largest
-bucket it is in, and homes are cut into blocks of about ``block`` texts. Two blocks meet if members of both share a
-bucket anywhere. A meeting counts the shingles that its texts share by blocked matrix products and returns per text the
+bucket it is in, and homes are cut into blocks of about ``block`` texts
+and ``block_grams`` shingles. Two blocks meet if members of both share a
+bucket anywhere. A meeting counts the shingles that its texts share in numpy and returns per text the
 number of its partners and one edge to the least text it is connected to within the meeting, never the pairs.
 Classes are the components of those edges.
 
@@ -95,32 +96,49 @@ def _shingled(rows: DataFrame, k: int) -> DataFrame:
 
 
 def linked(grams: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float,
-           width: int = 4096) -> np.ndarray:
-    """Matrix over left x right (row numbers): whether the Jaccard similarity reaches the threshold."""
+           width: int = 2048, light: int = 64) -> np.ndarray:
+    """Matrix over left x right (row numbers): whether the Jaccard similarity reaches the threshold.
+
+    A shingle that few pairs of the two sides share adds to those pairs one by one; the others are columns of blocked
+    matrix products.
+    """
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)
-    shared = np.zeros((len(left), len(right)), np.float32)
-    values, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
-    column = np.full(len(values), -1)
-    column[count > 1] = np.arange(np.count_nonzero(count > 1))
-    at = column[inverse]
-    keep = at >= 0
-    row, at = row[keep], at[keep]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    total = int(at[-1]) + 1 if len(at) else 0
-    place = np.full(len(size), -1)
-    for lo in range(0, total, width):
-        a, b = np.searchsorted(at, [lo, lo + width])
-        sides = []
-        for side in (left, right):
-            place[:] = -1
-            place[side] = np.arange(len(side))
-            m = np.zeros((len(side), min(width, total - lo)), np.float32)
-            p = place[row[a:b]]
-            m[p[p >= 0], at[a:b][p >= 0] - lo] = 1
-            sides.append(m)
-        shared += sides[0] @ sides[1].T
+    shared = np.zeros(len(left) * len(right), np.float32)
+    values, column, count = np.unique(grams, return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    row, column = row[keep], column[keep]
+    sides = []
+    for side in (left, right):
+        place = np.full(len(size), -1)
+        place[side] = np.arange(len(side))
+        p = place[row]
+        at, p = column[p >= 0], p[p >= 0]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], p[order], np.bincount(at, minlength=len(values))))
+    (at_l, row_l, n_l), (at_r, row_r, n_r) = sides
+    pairs = n_l * n_r
+    first_r = np.cumsum(n_r) - n_r
+    use = np.flatnonzero(pairs[at_l] * (pairs[at_l] <= light) > 0)
+    step = max(1, 4_000_000 // light)
+    for lo in range(0, len(use), step):
+        e = use[lo:lo + step]
+        n = n_r[at_l[e]]
+        partner = np.repeat(first_r[at_l[e]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        np.add.at(shared, np.repeat(row_l[e], n) * len(right) + row_r[partner], np.float32(1))
+    shared = shared.reshape(len(left), len(right))
+    heavy = np.flatnonzero(pairs > light)
+    new = np.full(len(values), -1)
+    new[heavy] = np.arange(len(heavy))
+    for lo in range(0, len(heavy), width):
+        both = []
+        for at, r, n in ((at_l, row_l, len(left)), (at_r, row_r, len(right))):
+            c = new[at]
+            inside = (c >= lo) & (c < lo + width)
+            m = np.zeros((n, min(width, len(heavy) - lo)), np.float32)
+            m[r[inside], c[inside] - lo] = 1
+            both.append(m)
+        shared += both[0] @ both[1].T
     union = size[left][:, None] + size[right][None, :] - shared
     return shared / np.maximum(union, 1).astype(np.float64) >= threshold
 
@@ -163,7 +181,7 @@ def _meet(t: pa.Table, threshold: float) -> pa.Table:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     threshold: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.99999,
-                    block: int = 1024) -> DataFrame:
+                    block: int = 2048, block_grams: int = 2_000_000) -> DataFrame:
     """(doc_id, class_id, n_copies, n_links) for every row of ``df``.
 
     ``class_id``: the least id of the rows connected by links of at least ``threshold``; ``n_copies``: rows of the same
@@ -179,11 +197,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                   F.min(F.col("doc_id")).alias("least"), F.max("size").alias("size"),
                                   F.first("keys").alias("keys"))
         .withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts")
-    in_tree = texts.where("size > 0").select("tid", F.explode("keys").alias("bucket"))
-    buckets = in_tree.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = materialize(in_tree.join(buckets, "bucket"), "jaccard-members")
-    home = member.groupBy("tid").agg(F.max(F.struct("members", "bucket")).alias("m")).select(
-        "tid", F.xxhash64("m.bucket", F.pmod(F.xxhash64("tid"), F.ceil(F.col("m.members") / F.lit(block)))).alias("block"))
+    in_tree = texts.where("size > 0").select("tid", "size", F.explode("keys").alias("bucket"))
+    # a bucket is cut so that a block has a bounded number of texts and of shingles
+    buckets = in_tree.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.greatest(
+            F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts")
+    ).where("members > 1")
+    member = materialize(in_tree.drop("size").join(buckets, "bucket"), "jaccard-members")
+    home = member.groupBy("tid").agg(F.max(F.struct("members", "bucket", "parts")).alias("m")).select(
+        "tid", F.xxhash64("m.bucket", F.pmod(F.xxhash64("tid"), F.col("m.parts"))).alias("block"))
     home = materialize(home, "jaccard-homes")
     seen = member.select("tid", "bucket").join(home, "tid").select("bucket", "block").distinct()
     a, b = seen.alias("a"), seen.alias("b")
