@@ -33,3 +33,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                 else:
                     yield from out
     return df.mapInArrow(run, schema)
+
+
+#: A side of a join is broadcast if its rows take no more than this together.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", row_bytes: int = 96) -> DataFrame:
+    """Join that broadcasts ``right``, a written table, if its counted size allows, and else shuffles both sides.
+
+    ``row_bytes`` is an upper bound of what a row of ``right`` takes.
+    """
+    small = right.count() * row_bytes <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right, on, how)

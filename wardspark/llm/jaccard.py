@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches
 from wardspark.llm.components import components
 from wardspark.session import materialize
 
@@ -182,10 +182,11 @@ def _meet(t: pa.Table, threshold: float) -> pa.Table:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     threshold: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.99999,
                     block: int = 2048, block_grams: int = 2_000_000) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links) for every row of ``df``.
+    """(doc_id, md5, class_key, class_id, n_copies, n_links) for every row of ``df``.
 
-    ``class_id``: the least id of the rows connected by links of at least ``threshold``; ``n_copies``: rows of the same
-    text; ``n_links``: other rows whose similarity reaches the threshold, copies included.
+    ``class_id``: the least id of the rows connected by links of at least ``threshold``; ``class_key`` tells classes
+    apart even where ids repeat, null for a text without words; ``n_copies``: rows of the same text; ``n_links``: other
+    rows whose similarity reaches the threshold, copies included.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = docs.withColumn("md5", F.unhex(F.md5(F.col("text"))))
@@ -216,8 +217,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")),
                 F.struct(F.col("y").alias("block"), F.lit(2).alias("side"))))).alias("s")).select(
         "meeting", "s.block", "s.side")
-    chosen = home.join(texts.select("tid", "md5", "first", "n"), "tid").select("tid", "block", "md5", "first", "n")
-    with_text = keyed.withColumn("first", low).join(chosen, ["md5", "first"]).select("tid", "n", "text", "block")
+    # text is read again for rows with partners only; where those are few, it isn't shuffled either
+    chosen = materialize(home.join(texts.select("tid", "md5", "first", "n"), "tid").select("tid", "md5", "first", "n"),
+                         "jaccard-chosen")
+    with_text = join_checked(keyed.withColumn("first", low), chosen, ["md5", "first"])
     grams = _shingled(with_text.select("tid", "n", "text"), k).join(home, "tid")
     met = (grams.join(sides, "block").select("meeting", "side", "tid", "n", "grams").groupBy("meeting")
            .applyInArrow(lambda t: _meet(t, threshold), "tid long, links long, root long"))
@@ -226,10 +229,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     least = texts.select("tid", "least").join(roots.withColumnRenamed("id", "tid"), "tid")
     class_of = least.groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = least.select("tid", "root").join(class_of, "root").join(links, "tid").select("tid", "class_id", "links")
+    classed = least.select("tid", "root").join(class_of, "root").join(links, "tid").select(
+        "tid", "root", "class_id", "links")
+    words = F.col("size") > 0
     answer = texts.select("md5", "tid", "n", "least", "size").join(classed, "tid", "left").select(
-        "md5", "n", F.when(F.col("size") > 0, F.coalesce("class_id", "least")).alias("class_id"),
-        F.when(F.col("size") > 0, F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(F.lit(0)).alias("links"))
+        "md5", "n", F.when(words, F.coalesce("root", "tid")).alias("class_key"),
+        F.when(words, F.coalesce("class_id", "least")).alias("class_id"),
+        F.when(words, F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(F.lit(0)).alias("links"))
     return signed.select("doc_id", "md5").join(answer, "md5").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n").alias("n_copies"),
-        F.col("links").alias("n_links"))
+        "doc_id", "md5", "class_key", F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.col("n").alias("n_copies"), F.col("links").alias("n_links"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` with one row of each class: that with the least id, of equal ids the least MD5.
+
+    Rows without words are no copies of anything and stay. The rows to drop are looked for, as they are fewer.
+    """
+    found = materialize(near_duplicates(df, id_col, text_col, **options), "jaccard-classes")
+    classed = found.where("class_key is not null")
+    row = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "md5")
+    keep = classed.groupBy("class_key").agg(F.min(row).alias("k")).select("k.id", "k.md5")
+    rows = classed.groupBy(row["id"].alias("id"), "md5").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.join(keep.withColumn("kept", F.lit(True)), ["id", "md5"], "left").select(
+        F.col("id").alias("_llm_id"), F.col("md5").alias("_llm_md5"), "n", "kept"), "jaccard-decisions")
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    md5 = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = df.withColumns({"_llm_id": own_id, "_llm_md5": md5})
+    key = ["_llm_id", "_llm_md5"]
+    single = join_checked(keyed, rows.where("kept is null").select(*key), key, "left_anti")
+    again = rows.where("kept and n > 1").select(*key)
+    if not again.limit(1).count():
+        return single.select(*df.columns)
+    # of rows that repeat the kept one, id and text, any one stays
+    twice = join_checked(single, again, key, "left_semi").groupBy(*key).agg(
+        F.first(F.struct(*df.columns)).alias("_llm_row")).select("_llm_row.*")
+    return join_checked(single, again, key, "left_anti").select(*df.columns).unionByName(twice)

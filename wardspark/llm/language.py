@@ -172,15 +172,16 @@ def score_rows(f: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return best, np.where(total > 0, share / np.maximum(total, 1e-12), 0) * np.minimum(1, share + 0.5)
 
 
-def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``df`` with ``lang_pred`` and ``score``."""
+def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``df`` with the language and its score under ``names``."""
     keep = list(keep or [])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(filters)
     fields = [df.schema[c] for c in keep]
     taken = df.select(*keep, F.col(text_col).alias("_llm_text"))
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in fields)
-    schema = f"{schema}{', ' if fields else ''}lang_pred string, score double"
+    schema = f"{schema}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double"
 
     def one(b):
         f = shared.value
@@ -196,11 +197,18 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list
             any_letter[lo:hi] = ascii_letter[o[1:]] > ascii_letter[o[:-1]]
             for i in np.flatnonzero(~any_letter[lo:hi] & (np.diff(o) > 0)):
                 any_letter[lo + i] = any(c.isalpha() for c in bytes(d[o[i]:o[i + 1]]).decode("utf-8", "replace"))
-        names = np.array([*f.languages, "und"], object)
+        label = np.array([*f.languages, "und"], object)
         known = any_letter & bool(f.languages)
-        pred = names[np.where(known, best, len(f.languages))]
+        pred = label[np.where(known, best, len(f.languages))]
         return pa.RecordBatch.from_arrays(
             [*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()),
-             pa.array(np.where(known, score, 0.0))], [*keep, "lang_pred", "score"])
+             pa.array(np.where(known, score, 0.0))], [*keep, *names])
 
     return map_batches(taken, one, schema)
+
+
+def recognised(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.25) -> DataFrame:
+    """``df`` without the rows whose text is in no learned language: ``und``, or a score below ``min_score``."""
+    filters = learn(df, text_col, lang_col)
+    found = identify(df, filters, text_col, df.columns, ("_llm_lang", "_llm_score"))
+    return found.where((F.col("_llm_lang") != "und") & (F.col("_llm_score") >= min_score)).select(*df.columns)

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.llm.common import join_checked
 from wardspark.session import materialize
 
 #: What counts as a word: a run of anything but ASCII white space.
@@ -107,7 +108,10 @@ def rates(sizes: DataFrame, targets: DataFrame, max_copies: float = 3.0, toleran
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = (1, 2, 3), max_ratio: float = 3.0, max_copies: int = 3,
         chunk: int = 100_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for every row of ``df``."""
+    """(doc_id, source, size, h, source_size, target, rate, copies, taken) for every row of ``df``.
+
+    ``h`` is the hash of id and text by which rows are ordered.
+    """
     docs = materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                  size_of(F.col(text_col)).alias("size"),
                                  F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")), "mix-docs")
@@ -140,6 +144,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     copies = (F.floor(at + 1e-9) - F.floor(at - F.col("b.rate") + 1e-9)).cast("long")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (
         F.col("a.part") == F.col("b.part")))
-    out = joined.select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.rate",
+    out = joined.select("a.doc_id", "a.source", "a.size", "a.h", "b.source_size", "b.target", "b.rate",
                         F.least(copies, F.lit(max_copies)).alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          **options) -> DataFrame:
+    """``df`` with every row as often as the mix takes it.
+
+    Rows that repeat id, text and source share the copies that fall to them: each gets their mean, rounded.
+    """
+    plan = mix(df, id_col, text_col, source_col, **options).groupBy("doc_id", "h", "source").agg(
+        F.round(F.avg("copies")).cast("int").alias("_llm_copies")).where("_llm_copies > 0")
+    plan = materialize(plan.select(F.col("h").alias("_llm_h"), F.xxhash64("source").alias("_llm_source"),
+                                   "_llm_copies"), "mix-plan")
+    keyed = df.withColumns({"_llm_h": F.xxhash64(F.col(id_col), F.col(text_col)),
+                            "_llm_source": F.xxhash64(F.col(source_col))})
+    taken = join_checked(keyed, plan, ["_llm_h", "_llm_source"])
+    return taken.withColumn("_llm_n", F.explode(F.sequence(F.lit(1), F.col("_llm_copies")))).select(*df.columns)

@@ -7,7 +7,8 @@ from wardspark.llm.common import table
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_copies", "n_links")
 
 
 # one row per document: its class by links of at least 0.8 on sets of five words, and the number of its links

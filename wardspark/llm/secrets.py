@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches
 from wardspark.session import materialize
 
 SLOTS = 1 << 18
@@ -269,9 +269,9 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thresh
     key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     texts = df.select(key.alias("_llm_key"), F.col(text_col).alias("_llm_text"))
     found = scan(texts, ["_llm_key"], "_llm_text", threshold=threshold).where("is_secret")
-    spans = found.select("_llm_key", F.struct("start", "length").alias("s")).distinct().groupBy("_llm_key").agg(
-        F.array_sort(F.collect_list("s")).alias("_llm_spans"))
-    joined = df.withColumn("_llm_key", key).join(spans, "_llm_key", "left")
+    spans = materialize(found.select("_llm_key", F.struct("start", "length").alias("s")).distinct().groupBy("_llm_key").agg(
+        F.array_sort(F.collect_list("s")).alias("_llm_spans")), "secret-spans")
+    joined = join_checked(df.withColumn("_llm_key", key), spans, "_llm_key", "left", row_bytes=512)
     whole = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc, s):
