@@ -1,4 +1,8 @@
-"""op10: fingerprints of every document, of its edited text, and how alike they and the next document's are."""
+"""op10: fingerprints of every document, of its edited text, and how alike they and the next document's are.
+
+Defined cases: a null id comes before all others. Of rows that repeat an id, the one with the least text is the next
+document of the id before; each of them has the same next document. A single id is followed by itself.
+"""
 
 from __future__ import annotations
 
@@ -34,23 +38,30 @@ def next_ids(ids: DataFrame, per_bucket: int = 100_000) -> DataFrame:
 
 
 def op10_fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = materialize(docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), "fp-ids")
-    near = materialize(next_ids(ids), "fp-next")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    ids = materialize(docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"),
+                                                 F.count(F.lit(1)).alias("rows")), "fp-ids")
+    repeated = bool(ids.where("rows > 1").limit(1).count())
+    near = materialize(next_ids(ids.drop("rows")), "fp-next")
     own = fp.with_anchors(docs, F.col("text"), "anchors")
-    own = own.select("doc_id", "text", fp.sketch(F.col("anchors")).alias("sketch")).join(near, "doc_id")
+    own = own.select("own_id", "doc_id", "text", fp.sketch(F.col("anchors")).alias("sketch")).join(near, "doc_id")
     # the edited text takes its end from the next document, which sends what its predecessor needs
-    given = own.select(F.col("prev_id").alias("doc_id"), F.col("sketch").alias("next_sketch"),
-                       F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
+    giver = own
+    if repeated:
+        giver = own.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("row = 1")
+    given = giver.select(F.col("prev_id").alias("doc_id"), F.col("sketch").alias("next_sketch"),
+                         F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = own.drop("next_id", "prev_id", "prev_n").join(given, "doc_id").withColumn(
-        "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), "tail"))
+        "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring("tail", F.lit(1), half)))
     rows = fp.with_anchors(edited, F.col("edited"), "edited_anchors")
     rows = rows.withColumn("edited_sketch", fp.sketch(F.col("edited_anchors")))
     return rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fp.fingerprint(F.col("sketch")).alias("fingerprint"),
+        F.col("own_id").alias("doc_id"), n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"), fp.fingerprint(F.col("sketch")).alias("fingerprint"),
         fp.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         fp.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
