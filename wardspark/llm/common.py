@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a vectorised scan holds; its arrays take about twenty times as much.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that one step of a vectorised scan holds; its arrays take up to a hundred times as much.
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def crc_mod(id_col: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(m)
 
 
+def scanned(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """``keep`` columns and the text for a scan, and the place of the text; a text that is kept is sent once."""
+    if text_col in keep:
+        return df.select(*keep), keep.index(text_col)
+    return df.select(*keep, F.col(text_col).alias("_llm_text")), len(keep)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; batches without rows are left out."""
@@ -32,6 +39,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                     yield out
                 else:
                     yield from out
+                del out, b
+                pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

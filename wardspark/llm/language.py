@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, map_batches, scanned
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 WORD_BITS = 63
@@ -179,13 +179,13 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(filters)
     fields = [df.schema[c] for c in keep]
-    taken = df.select(*keep, F.col(text_col).alias("_llm_text"))
+    taken, at = scanned(df, keep, text_col)
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in fields)
     schema = f"{schema}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double"
 
     def one(b):
         f = shared.value
-        data, off = bytesx.column_bytes(b.column(len(keep)))
+        data, off = bytesx.column_bytes(b.column(at))
         n = len(off) - 1
         best, score = np.zeros(n, np.int64), np.zeros(n)
         any_letter = np.zeros(n, bool)

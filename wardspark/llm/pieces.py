@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, map_batches, scanned
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -264,8 +264,8 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, n: int, c
                         -(-lens // _WIDTHS[-1]) * _WIDTHS[-1])
     for w in np.unique(width_of):
         group = np.flatnonzero(width_of == w)
-        for lo in range(0, len(group), max(1, 2_000_000 // int(w))):
-            g = group[lo:lo + max(1, 2_000_000 // int(w))]
+        for lo in range(0, len(group), max(1, 500_000 // int(w))):
+            g = group[lo:lo + max(1, 500_000 // int(w))]
             at = starts[first[g]][:, None] + np.arange(w)
             units = np.where(np.arange(w) < lens[g][:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
             best, second, step = viterbi(v, units)
@@ -329,7 +329,7 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, n: int, c
         for i in near:
             raw = bytes(data[starts[a + i]:ends[a + i]])
             if raw not in cache:
-                if len(cache) > 200_000:
+                if len(cache) > 20_000:
                     cache.clear()
                 cache[raw] = n_best(v, raw, n)
             lists.append(cache[raw])
@@ -366,11 +366,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     cache: dict = {}
+    taken, place = scanned(df, keep, text_col)
 
     def one(b):
         v = shared.value
-        raw, off = bytesx.column_bytes(b.column(len(keep)))
-        for lo, hi in bytesx.slices(off, SLICE_BYTES):
+        raw, off = bytesx.column_bytes(b.column(place))
+        for lo, hi in bytesx.slices(off, 2 * SLICE_BYTES):
             size = np.diff(off[lo:hi + 1])
             lead = (size > 0).astype(np.int64)
             o = np.concatenate([[0], np.cumsum(size + lead)])
@@ -384,7 +385,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str
                  pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(score),
                  pa.array(more, _ALTERNATIVE)], [*keep, "ids", "score", "alternatives"])
 
-    return map_batches(df.select(*keep, F.col(text_col).alias("_llm_text")), one, fields + ENCODED)
+    return map_batches(taken, one, fields + ENCODED)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:

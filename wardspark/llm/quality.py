@@ -89,7 +89,7 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
         seen = False
         for b in batches:
             data, off = bytesx.column_bytes(b.column(0))
-            for lo, hi in bytesx.slices(off, 2 * SLICE_BYTES):
+            for lo, hi in bytesx.slices(off, 6 * SLICE_BYTES):
                 w, at = words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 for distance in (1, 2):
@@ -199,7 +199,7 @@ def _apply(df: DataFrame, keep: list[str], shared, out: str, kind: str, finish)
         vectors, place, sign, net = shared.value
         data, off = bytesx.column_bytes(b.column(len(keep)))
         x = np.concatenate([features(vectors, place, sign, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                            for lo, hi in bytesx.slices(off, SLICE_BYTES // 2)])
+                            for lo, hi in bytesx.slices(off, SLICE_BYTES)])
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(keep))), finish(net, x)], [*keep, out])
     return map_batches(df, one, f"{fields}{out} {kind}")
 
