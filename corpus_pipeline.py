@@ -45,10 +45,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns named like one of the two are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "scores", "score", "alternatives")]
-    coded = pieces.encode(docs, pieces.load(), keep)
-    return coded.withColumn("scores", F.concat(F.array("score"), F.transform("alternatives", lambda a: a["score"]))
-                            ).drop("score", "alternatives")
+    keep = [c for c in docs.columns if c not in ("ids", "scores")]
+    coded = pieces.encode(docs, pieces.load(), keep, names=("ids", "_llm_score", "_llm_more"))
+    return coded.select(*keep, "ids", F.concat(
+        F.array("_llm_score"), F.transform("_llm_more", lambda a: a["score"])).alias("scores"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan),

@@ -354,12 +354,13 @@ def _piece_ids(v: Vocabulary, units, rows, starts, sizes) -> np.ndarray:
 
 _ALTERNATIVE = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct(
     [("first", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-ENCODED = ("ids array<int>, score double, alternatives array<struct<score: double, edits: "
-           "array<struct<first: int, count: int, ids: array<int>>>>>")
+ENCODED = ("array<int>", "double", "array<struct<score: double, edits: array<struct<first: int, count: int, "
+           "ids: array<int>>>>>")
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str = "text", n: int = 4) -> DataFrame:
-    """``keep`` columns, ``ids`` and ``score`` of the best segmentation, and the n - 1 next best.
+def encode(df: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str = "text", n: int = 4,
+           names: tuple[str, str, str] = ("ids", "score", "alternatives")) -> DataFrame:
+    """``keep`` columns, ``ids`` and ``score`` of the best segmentation, and the n - 1 next best, under ``names``.
 
     An alternative replaces ``count`` of the best pieces from ``first`` on by ``ids``, for each of its edits.
     """
@@ -383,9 +384,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c).slice(lo, hi - lo) for c in range(len(keep))),
                  pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(score),
-                 pa.array(more, _ALTERNATIVE)], [*keep, "ids", "score", "alternatives"])
+                 pa.array(more, _ALTERNATIVE)], [*keep, *names])
 
-    return map_batches(taken, one, fields + ENCODED)
+    return map_batches(taken, one, fields + ", ".join(f"`{c}` {t}" for c, t in zip(names, ENCODED, strict=True)))
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
