@@ -4,8 +4,9 @@ Scale notes
 -----------
 * Positions (splits, resampling draws) and ranks (Kruskal–Wallis, ROC AUC) need a global order. They are
   computed with a *bucketed prefix count*: rows are bucketed by an order-preserving key, bucket totals are
-  prefix-summed over at most ``buckets`` rows per group, and positions inside a bucket come from a window
-  over that bucket only. No window ever spans a whole table or a whole class.
+  prefix-summed over the buckets of a group, and positions inside a bucket come from a window over that bucket
+  only. The number of buckets follows the row count, and rank buckets are cut at approximate quantiles, so no
+  window spans a whole table or class, whatever the distribution of the values.
 * Fitted parameters (column means, normal values, L2 norms, Gram matrix) are vectors of one value per
   feature; like Spark ML's estimators they are aggregated in one distributed pass and applied as literals.
 * Random choices are hash-based (md5 of the key and a seed) so they are reproducible and identical in SQL.
@@ -15,28 +16,45 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.session import join_checked, materialize
+
 VISIT = ["subject_id", "hadm_id"]
 SPLITS = ("devel", "test", "valid")
+ROWS_PER_BUCKET = 100_000
+SYNTHETIC_BLOCK = 10_000
 
 
 # ---- hashing, positions, ranks ------------------------------------------------------------------------------
 
-def hash32(*cols, seed: int = 0) -> Column:
-    """Unsigned 32-bit hash: the first 8 hex digits of md5('seed|c1|c2...') as a number (same in SQL)."""
+def _hash(digits: int, cols, seed: int) -> Column:
     key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
                                               for c in cols])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("long")
+
+
+def hash32(*cols, seed: int = 0) -> Column:
+    """Unsigned 32-bit hash: the first 8 hex digits of md5('seed|c1|c2...') as a number (same in SQL)."""
+    return _hash(8, cols, seed)
 
 
-def positions(df: DataFrame, group: list[str], order: str, tiebreak: list[str], buckets: int = 4096,
+def hash60(*cols, seed: int = 0) -> Column:
+    """Unsigned 60-bit hash (15 hex digits), for draws modulo a count of any size."""
+    return _hash(15, cols, seed)
+
+
+def positions(df: DataFrame, group: list[str], order: str, tiebreak: list[str], buckets: int | None = None,
               out: str = "pos", size: str = "gsize") -> DataFrame:
     """0-based position of each row within its group in (order, tiebreak) order, plus the group size.
 
     ``order`` must be a non-negative 32-bit value (e.g. ``hash32``); the bucket is its top bits, so buckets
-    are order-preserving and balanced for hashed keys."""
+    are order-preserving and balanced for hashed keys. By default there is a bucket for every
+    ``ROWS_PER_BUCKET`` rows."""
+    if buckets is None:
+        buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
     b = F.floor(F.col(order) * F.lit(buckets) / F.lit(4294967296.0)).cast("int")
     x = df.withColumn("_b", b)
     cnt = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -68,19 +86,28 @@ def exclusive_prefix_sums(df: DataFrame, group: list[str], order: str, values: l
     return out.drop("_pb", *[f"_bo_{v}" for v in values])
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, extra: list[str] = (), buckets: int = 4096) -> DataFrame:
+def average_ranks(df: DataFrame, group: list[str], value: str, extra: list[str] = (),
+                  buckets: int | None = None) -> DataFrame:
     """Tie-averaged ranks of ``value`` within ``group`` from a value histogram.
 
     Returns one row per (group, value, extra) with ``cnt`` rows and ``rank`` = average rank of that value
-    (1-based, ties averaged) and ``t`` = number of rows sharing the value. Cumulative counts are prefix sums
-    over value buckets (min/max per group), so a group with many distinct values is spread over tasks."""
-    hist = df.groupBy(*group, value, *extra).agg(F.count(F.lit(1)).alias("cnt"))
+    (1-based, ties averaged) and ``t`` = number of rows sharing the value. Null values have no rank and no row;
+    infinite values rank at the ends and NaN above all (Spark's order). The histogram is written once. Its
+    buckets are cut at approximate quantiles of each group's distinct values, so an outlier leaves the others
+    balanced; by default there is a bucket for every ``ROWS_PER_BUCKET`` distinct values."""
+    hist = materialize(df.where(F.col(value).isNotNull()).groupBy(*group, value, *extra)
+                       .agg(F.count(F.lit(1)).alias("cnt")), "rank-histogram")
     tot = hist.groupBy(*group, value).agg(F.sum("cnt").alias("t"))
-    mm = tot.groupBy(*group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    span = F.col("_mx") - F.col("_mn")
-    bk = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("_mn")) / span * buckets), F.lit(buckets - 1))) \
-        .otherwise(F.lit(0)).cast("int")
-    tb = tot.join(mm, on=group, how="inner").withColumn("_b", bk).drop("_mn", "_mx")
+    if buckets is None:
+        buckets = max(1, -(-hist.count() // ROWS_PER_BUCKET))
+    if buckets == 1:
+        tb = tot.withColumn("_b", F.lit(0))
+    else:
+        shares = [i / buckets for i in range(1, buckets)]
+        cuts = materialize(tot.groupBy(*group).agg(F.percentile_approx(value, shares, 20 * buckets).alias("_cuts")),
+                           "rank-cuts")
+        tb = join_checked(tot, cuts, list(group), row_bytes=8 * buckets + 64).withColumn(
+            "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     bt = tb.groupBy(*group, "_b").agg(F.sum("t").alias("_bt"))
     boff = bt.select(*group, "_b", F.coalesce(F.sum("_bt").over(
         Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
@@ -145,7 +172,7 @@ def column_null_counts(df: DataFrame, features: list[str]) -> DataFrame:
 # ---- T3–T5 splits --------------------------------------------------------------------------------------------
 
 def split_visits(ids: DataFrame, keys=VISIT, test: float = 0.2, valid: float = 0.25, strata: str | None = None,
-                 seed: int = 0, buckets: int = 4096) -> DataFrame:
+                 seed: int = 0, buckets: int | None = None) -> DataFrame:
     """Assign each key to test / valid / devel by position in hash order (within ``strata`` if given):
     test = first ceil(test*n), valid = next ceil(valid*(n - n_test)), devel = the rest."""
     group = [strata] if strata else []
@@ -258,18 +285,14 @@ def mode_or_mean(df: DataFrame, group: list[str], features: list[str], modal: li
 
 
 def l2_normalize(df: DataFrame, features: list[str], split: str | None = "split") -> DataFrame:
-    """Divide each feature by its own L2 norm, per split (one aggregate per split, applied as literals)."""
-    groups = [r[split] for r in df.select(split).distinct().collect()] if split else [None]
-    parts = []
-    for g in groups:
-        part = df if g is None else df.where(F.col(split) == g)
-        norms = part.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in features]).first()
-        parts.append(part.select(*[F.try_divide(F.col(c), F.lit(norms[c])).alias(c) if c in features else F.col(c)
-                                   for c in df.columns]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Divide each feature by its own L2 norm, per split; one aggregate serves all splits."""
+    key = "_split"
+    x = df.withColumn(key, F.col(split) if split else F.lit(0))
+    norms = materialize(x.groupBy(key).agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_l2_{c}") for c in features]),
+                        "l2-norms")
+    out = join_checked(x, norms, key, row_bytes=16 * len(features) + 64)
+    return out.select(*[F.try_divide(F.col(c), F.col(f"_l2_{c}")).alias(c) if c in features else F.col(c)
+                        for c in df.columns])
 
 
 # ---- T10 class-ratio resampling --------------------------------------------------------------------------------
@@ -281,14 +304,19 @@ def resample_to_reference(df: DataFrame, features: list[str], label: str, modal:
     ceil((1 - ratio) * count) synthetic rows; each synthetic row is A18 (mean / mode) over ``draws`` rows
     drawn with replacement (hash draws) from that class of that subset. Returns ``df`` plus the new rows.
 
-    Work: counts per (split, class) are tiny; synthetic ids are an explode of those counts; each draw is an
-    equi-join on (split, class, position) where positions come from the bucketed prefix count."""
+    Work: synthetic ids are expanded in two levels, blocks of ``SYNTHETIC_BLOCK`` and then the ids of a block, so
+    their number may grow with the data; each draw is a 60-bit hash modulo the class size, and an equi-join on
+    (split, class, position) where positions come from the bucketed prefix count."""
     dist = class_distribution(df, label, split, reference)
     need = (dist.where(F.col(split).isin(list(subsets)) & (F.col("ratio") < 1))
-            .select(split, label, "count", F.ceil((1 - F.col("ratio")) * F.col("count")).cast("int").alias("n_syn")))
-    syn = need.select(split, label, "count", F.explode(F.sequence(F.lit(1), F.col("n_syn"))).alias("syn_id"))
+            .select(split, label, "count", F.ceil((1 - F.col("ratio")) * F.col("count")).cast("long").alias("n_syn")))
+    size = F.lit(SYNTHETIC_BLOCK).cast("long")
+    blocks = need.select(split, label, "count", "n_syn", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_syn") - 1) / size))).alias("_block"))
+    syn = blocks.repartition(split, label, "_block").select(split, label, "count", F.explode(F.sequence(
+        F.col("_block") * size + 1, F.least((F.col("_block") + 1) * size, F.col("n_syn")))).alias("syn_id"))
     drawn = syn.select(split, label, "syn_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), "count")
-    drawn = drawn.withColumn("pos", F.pmod(hash32(split, label, "syn_id", "draw", seed=seed), F.col("count")))
+    drawn = drawn.withColumn("pos", F.pmod(hash60(split, label, "syn_id", "draw", seed=seed), F.col("count")))
     pool = df.where(F.col(split).isin(list(subsets))).withColumn("_h", hash32(rid, seed=seed))
     pool = positions(pool, [split, label], "_h", [rid])
     picked = drawn.join(pool.drop("gsize"), on=[split, label, "pos"], how="inner")
@@ -347,7 +375,8 @@ def melt(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
 def kruskal_h(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Kruskal–Wallis H per feature over the classes of ``label`` (nulls dropped), with tie correction.
 
-    Returns feature, h (null when every value is equal), dof (= classes present - 1), n."""
+    Returns feature, h (null when every value is equal), dof (= classes present - 1), n. A feature without any
+    value has no row."""
     long = melt(df, features, [label]).where(F.col(label).isNotNull())
     r = average_ranks(long, ["feature"], "value", [label])
     per_class = r.groupBy("feature", label).agg(F.sum(F.col("rank") * F.col("cnt")).alias("R"),
@@ -385,58 +414,89 @@ def chi2_sf(x: float | None, k: int) -> float | None:
 
 
 def kruskal_select(df: DataFrame, features: list[str], label: str, threshold: float = 0.05,
-                   keep: str = "p_above") -> tuple[list[str], list[tuple]]:
-    """T1 decision: p per feature (from the few H rows); a test error (all values equal) gives p = 0.
-    ``keep='p_above'`` keeps features with p > threshold (the reference), 'p_below' the significant ones."""
-    rows = kruskal_h(df, features, label).collect()
-    stats = []
-    for r in rows:
-        p = 0.0 if r["h"] is None or r["dof"] < 1 else chi2_sf(r["h"], r["dof"])
-        stats.append((r["feature"], r["h"], r["dof"], p))
-    pmap = {f: p for f, _, _, p in stats}
-    kept = [f for f in features if f in pmap and ((pmap[f] > threshold) if keep == "p_above" else (pmap[f] <= threshold))]
+                   keep: str = "p_above", classes=(0, 1, 2, 3)) -> tuple[list[str], list[tuple]]:
+    """T1 decision: (kept features, [(feature, h, dof, p)]), p from the few H rows.
+
+    ``keep='p_above'`` keeps features with p > threshold (the reference), 'p_below' the significant ones. A feature
+    that has no value in one of ``classes`` has no test: p is None and the feature is dropped either way. So is one
+    whose values are all equal; the reference's test raises there and p counts as 0."""
+    stats, kept = [], []
+    rows = {r["feature"]: r for r in kruskal_h(df.where(F.col(label).isin(list(classes))), features, label).collect()}
+    for f in features:
+        r = rows.get(f)
+        if r is None or r["dof"] < len(classes) - 1:
+            stats.append((f, r and r["h"], r and r["dof"], None))
+        elif r["h"] is None:
+            stats.append((f, None, r["dof"], 0.0))
+        else:
+            p = chi2_sf(r["h"], r["dof"])
+            stats.append((f, r["h"], r["dof"], p))
+            if (p > threshold) if keep == "p_above" else (p <= threshold):
+                kept.append(f)
     return kept, stats
 
 
 # ---- T2 VIF -------------------------------------------------------------------------------------------------------
 
 def gram_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """X'X (uncentered) as long rows (i, j, g) for i <= j — one distributed aggregate pass."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    agg = df.agg(*[F.sum(F.col(features[i]).cast("double") * F.col(features[j]).cast("double")).alias(f"g_{i}_{j}")
-                   for i, j in pairs])
-    stack = ", ".join(f"{i}, {j}, g_{i}_{j}" for i, j in pairs)
-    return agg.selectExpr(f"stack({len(pairs)}, {stack}) AS (i, j, g)")
-
-
-def vif_eliminate(df: DataFrame, features: list[str], max_vif: float = 5.0) -> tuple[list[str], dict]:
-    """Repeatedly drop the feature with the largest VIF while it is >= max_vif (regression on the other
-    features without intercept: VIF_i = G_ii * inv(G)_ii of the uncentered Gram matrix G). The Gram matrix is
-    computed once; elimination iterates on its sub-matrices. A singular sub-matrix counts as infinite VIF.
-    Returns the kept features and their final VIFs."""
+    """X'X (uncentered) as long rows (i, j, g) for i <= j, from one pass.
+
+    Every task multiplies its batches and sends one row per pair; a null counts as 0 in its products. The number of
+    expressions doesn't grow with the features, as one sum per pair would."""
     import numpy as np
     p = len(features)
-    G = np.zeros((p, p))
+    upper = np.triu_indices(p)
+
+    def partial(batches):
+        g = np.zeros((p, p))
+        for b in batches:
+            x = np.column_stack([np.asarray(c.fill_null(0.0)) for c in b.columns])
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0].astype("int32")), pa.array(upper[1].astype("int32")),
+                                          pa.array(g[upper])], ["i", "j", "g"])
+
+    x = df.select(*[F.col(c).cast("double").alias(f"x{n}") for n, c in enumerate(features)])
+    return x.mapInArrow(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def vif_of(gram, tolerance: float = 1e-9):
+    """VIF of each feature by regression on the others without intercept, from the uncentered Gram matrix.
+
+    The matrix is scaled to unit diagonal. Features that take part in a linear dependency (a direction of variance
+    zero) have VIF infinity; the others' follow from the pseudo-inverse. A zero column has NaN."""
+    import numpy as np
+    g = np.asarray(gram, float)
+    d = np.sqrt(np.diag(g))
+    out = np.full(len(g), np.nan)
+    use = np.flatnonzero(d > 0)
+    if len(use):
+        r = g[np.ix_(use, use)] / np.outer(d[use], d[use])
+        value, vector = np.linalg.eigh(r)
+        null = value <= tolerance * len(use)
+        inverse = (vector[:, ~null] ** 2 / value[~null]).sum(1)
+        dependent = (vector[:, null] ** 2).sum(1) > tolerance ** 0.5
+        out[use] = np.where(dependent, np.inf, inverse)
+    return out
+
+
+def vif_eliminate(df: DataFrame, features: list[str], max_vif: float = 5.0, drop: str = "largest"
+                  ) -> tuple[list[str], dict]:
+    """(kept features, their final VIFs). The Gram matrix is computed once; sub-matrices are iterated on.
+
+    Zero columns go first. ``drop='largest'`` then drops the feature with the largest VIF, of equal ones the last,
+    while it is at least ``max_vif``; ``drop='all'`` drops all such features at once, in rounds."""
+    import numpy as np
+    p = len(features)
+    g = np.zeros((p, p))
     for r in gram_matrix(df, features).collect():
-        G[r["i"], r["j"]] = G[r["j"], r["i"]] = r["g"]
-    idx = list(range(p))
-    vifs: dict = {}
-    while idx:
-        sub = G[np.ix_(idx, idx)]
-        try:
-            inv = np.linalg.inv(sub)
-            v = np.diag(sub) * np.diag(inv)
-            if not np.all(np.isfinite(v)):
-                raise np.linalg.LinAlgError
-        except np.linalg.LinAlgError:
-            v = np.full(len(idx), np.inf)
-        vifs = {features[i]: float(x) for i, x in zip(idx, v)}
-        worst = int(np.argmax(v))
-        if v[worst] >= max_vif and len(idx) > 1:
-            idx.pop(worst)
-        else:
-            break
-    return [features[i] for i in idx], vifs
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
+    idx = [i for i in range(p) if g[i, i] > 0]
+    v = vif_of(g[np.ix_(idx, idx)])
+    while idx and v.max() >= max_vif:
+        bad = np.flatnonzero(v >= max_vif) if drop == "all" else np.flatnonzero(v >= v.max() * (1 - 1e-9))[-1:]
+        idx = [i for n, i in enumerate(idx) if n not in set(bad.tolist())]
+        v = vif_of(g[np.ix_(idx, idx)])
+    return [features[i] for i in idx], {features[i]: float(x) for i, x in zip(idx, v, strict=True)}
 
 
 # ---- T14 composite -------------------------------------------------------------------------------------------------
@@ -459,11 +519,9 @@ def prepare(df: DataFrame, splits: DataFrame, features: list[str], labels: list[
     rid = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "hour") if c in data.columns])
     data = data.select(*keys, rid.alias("rid"), "split", *feats, *labels)
     if resample:
-        from wardspark.session import checkpoint_dir
-        checkpoint_dir(data.sparkSession)
-        data = data.checkpoint()
+        data = materialize(data, "prepared")
         for lab in labels:
             # each pass reads the previous result three times (distribution, pool, union): cut the lineage
             # after every pass so the plan stays linear in the number of passes
-            data = resample_to_reference(data, feats, lab, labels, seed=seed, keys=keys).checkpoint()
+            data = materialize(resample_to_reference(data, feats, lab, labels, seed=seed, keys=keys), "prepared")
     return data, feats

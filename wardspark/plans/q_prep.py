@@ -63,6 +63,10 @@ def _h32(expr: str) -> str:
     return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
 
 
+def _h60(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
+
+
 def _lab(L):
     return (f"CAST(coalesce((SELECT arg_min(n.stage, (n.time, n.valuenum)) FROM nz n WHERE n.subject_id = w.subject_id"
             f" AND n.hadm_id = w.hadm_id AND n.time BETWEEN w.hour AND w.hour + {L}), 0) AS INT) AS stage_{L}")
@@ -250,12 +254,12 @@ def _resample_sql(label="stage_48", draws=5):
     return {
         "rs_dist": f"""SELECT split, {label} AS cls, count(*) AS cnt,
             count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split) AS share FROM imp GROUP BY split, {label}""",
-        "rs_need": """SELECT d.split, d.cls, d.cnt, CAST(ceil((1 - d.share / r.share) * d.cnt) AS INT) AS n_syn
+        "rs_need": """SELECT d.split, d.cls, d.cnt, CAST(ceil((1 - d.share / r.share) * d.cnt) AS BIGINT) AS n_syn
             FROM rs_dist d JOIN rs_dist r ON r.split = 'devel' AND r.cls = d.cls
             WHERE d.split IN ('test', 'valid') AND d.share / r.share < 1""",
         "rs_ids": "SELECT split, cls, cnt, unnest(range(1, n_syn + 1)) AS syn_id FROM rs_need",
         "rs_draw": f"""SELECT s.split, s.cls, s.syn_id, dr.draw,
-            {_h32(f"concat_ws('|', '{SEED}', s.split, s.cls, s.syn_id, dr.draw)")} % s.cnt AS pos
+            {_h60(f"concat_ws('|', '{SEED}', s.split, s.cls, s.syn_id, dr.draw)")} % s.cnt AS pos
             FROM rs_ids s CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw) dr""",
         "rs_pool": f"""SELECT *, row_number() OVER (PARTITION BY split, {label}
                 ORDER BY {_h32(f"concat_ws('|', '{SEED}', rid)")}, rid) - 1 AS pos

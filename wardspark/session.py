@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast if its rows take no more than this together.
+BROADCAST_BYTES = 32 << 20
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -83,3 +87,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", row_bytes: int = 128) -> DataFrame:
+    """Join that broadcasts ``right``, a written table, if its counted size allows, and else leaves the plan to Spark.
+
+    ``row_bytes`` is an upper bound of what a row of ``right`` takes.
+    """
+    small = right.count() * row_bytes <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right, on, how)
