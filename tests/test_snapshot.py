@@ -52,11 +52,9 @@ def test_w2_prior_with_earlier_admissions(spark):
 def _labels(spark, staged_rows, hours=12, horizons=(6,)):
     nz = spark.createDataFrame(staged_rows, "subject_id long, hadm_id long, time long, valuenum double, stage int")
     parts = snap.label_parts(nz, hours, list(horizons))
-    spine = spark.range(1, hours + 1).select(F.lit(1).cast("long").alias("subject_id"),
-                                             F.lit(1).cast("long").alias("hadm_id"), F.col("id").alias("hour"),
-                                             F.lit("spine").alias("kind"), F.lit(None).cast("long").alias("t"),
-                                             F.lit(None).cast("int").alias("stage"))
-    g = parts.unionByName(spine).groupBy("subject_id", "hadm_id", "hour").agg(*snap.label_aggs(list(horizons)))
+    spine = snap.spine_parts(spark.sql("SELECT 1L AS subject_id, 1L AS hadm_id"), hours)
+    g = snap.explode_hours(parts.unionByName(spine)).groupBy("subject_id", "hadm_id", "hour").agg(
+        *snap.label_aggs(list(horizons)))
     return {r.hour: r for r in g.collect()}
 
 

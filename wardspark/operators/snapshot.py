@@ -10,10 +10,10 @@ and a visit without any current observation at h gets no prior either (W5).
 
 Physical design. Events are first pre-aggregated to (visit, item, hour) with map-side partial aggregation, so
 even a visit that holds a large share of all events becomes items x hours rows before any window runs. The
-as-of steps are windows over (visit, item) or (visit) ordered by time with ``lead``/``lag``, and each row is
-then exploded over the hours it is valid for (an interval explode), so the work is proportional to events plus
-output rows, never to visits x hours x events. All parts are unioned in long form and turned wide by ONE
-conditional aggregation over (visit, hour) with an explicit feature list — one shuffle for the final assembly.
+as-of steps are windows over (visit, item) or (visit) ordered by time with ``lead``/``lag``; each row becomes the
+interval of hours it is valid for. Intervals are what is shuffled, by visit; hours are exploded behind the shuffle,
+where all later grouping by (visit, hour, ...) finds its rows in place. The wide snapshot is one grouping by
+(visit, hour) of long rows: cells, labels and the spine with demographics, so no wide table is joined or shuffled.
 Lookup tables (vocabulary, bounds) have a fixed size and are broadcast; nothing that grows with data is.
 """
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardspark.functions.clinical import gender_code, is_valid, label_columns, sentinel
 from wardspark.functions.vocab import ALL_FEATURES, LABEL_HORIZONS, bounds_table, item_vocab
@@ -55,6 +54,13 @@ def hour_spine(visits: DataFrame, hours: int, keys=VISIT, first: int = 1) -> Dat
     return visits.withColumn("hour", F.explode(F.sequence(F.lit(first), F.lit(hours))))
 
 
+def explode_hours(intervals: DataFrame, keys=VISIT) -> DataFrame:
+    """Rows with ``lo`` and ``hi`` to one row per ``hour``, behind a shuffle of the intervals by visit."""
+    cols = [c for c in intervals.columns if c not in ("lo", "hi")]
+    return (intervals.where(F.col("lo") <= F.col("hi")).repartition(*keys)
+            .select(*cols, F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("hour")))
+
+
 # ---- W1 latest value -----------------------------------------------------------------------------------------
 
 def snapshot_latest(conv: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, time="time",
@@ -95,22 +101,22 @@ def snapshot_prior(conv: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOUR
                    subject="subject_id", start="admittime", earlier: bool = True) -> DataFrame:
     """Per (visit, hour, feature): sum and count of same-visit values with time < hour plus all values of
     earlier admissions of the subject. Returns keys, hour, feature, prior_sum, prior_n."""
-    cur = (conv.where(F.col(time) < hours)
-           .groupBy(*keys, "feature", time).agg(F.sum("cv").alias("s"), F.count("cv").alias("n"))
-           .repartition(*keys))
+    from wardspark.session import materialize
+    hourly = materialize(hourly_sums(conv, keys, time), "hourly_sums") if earlier else hourly_sums(conv, keys, time)
+    cur = (hourly.where(F.col(time) < hours).groupBy(*keys, "feature", time)
+           .agg(F.sum("s").alias("s"), F.sum("n").alias("n")).repartition(*keys))
     w = Window.partitionBy(*keys, "feature").orderBy(time)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lo = F.greatest(F.col(time) + 1, F.lit(1))
     hi = F.least(F.coalesce(F.lead(time).over(w), F.lit(hours)), F.lit(hours))
-    iv = cur.select(*keys, "feature", F.sum("s").over(run).alias("s"), F.sum("n").over(run).alias("n"),
-                    lo.alias("lo"), hi.alias("hi")).where(F.col("lo") <= F.col("hi"))
-    parts = iv.select(*keys, "feature", F.explode(F.sequence("lo", "hi")).alias("hour"), "s", "n")
+    parts = cur.select(*keys, "feature", F.sum("s").over(run).alias("s"), F.sum("n").over(run).alias("n"),
+                       lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     if earlier:
-        e = earlier_admission_totals(conv, visits, keys, subject, start)
-        parts = parts.unionByName(
-            e.select(*keys, "feature", F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("hour"),
-                     F.col("e_sum").alias("s"), F.col("e_n").alias("n")))
-    return parts.groupBy(*keys, "hour", "feature").agg(F.sum("s").alias("prior_sum"), F.sum("n").alias("prior_n"))
+        e = earlier_from_hourly(hourly, visits, keys, subject, start)
+        parts = parts.unionByName(e.select(*keys, "feature", F.col("e_sum").alias("s"), F.col("e_n").alias("n"),
+                                           F.lit(1).alias("lo"), F.lit(hours).alias("hi")))
+    return explode_hours(parts, keys).groupBy(*keys, "hour", "feature").agg(
+        F.sum("s").alias("prior_sum"), F.sum("n").alias("prior_n"))
 
 
 # ---- W3/W4 labels ----------------------------------------------------------------------------------------------
@@ -121,19 +127,17 @@ def _first_per_time(nonzero: DataFrame, keys, time, value, stage):
 
 
 def label_next(nonzero: DataFrame, hours: int = DEFAULT_HOURS, horizons=LABEL_HORIZONS, keys=VISIT,
-               time="time", value="valuenum", stage="stage") -> DataFrame:
-    """W3 / J11 core: per (visit, hour g), the first non-zero staged event at or after g (any distance).
-    Returns keys, hour, t, stage. The horizon test ``t <= g + L`` is applied by the caller, so one pass serves
-    every horizon."""
+               time="time", value="valuenum", stage="stage", first_hour: int = 1) -> DataFrame:
+    """W3 / J11 core: per visit, the intervals of hours [lo, hi] whose first non-zero staged event at or after is
+    at ``t`` (any distance). Returns keys, t, stage, lo, hi. The horizon test ``t <= hour + L`` is applied by the
+    caller, so one pass serves every horizon."""
     max_h = max(horizons) if horizons else 0
-    ev = nonzero.where((F.col(time) >= 1) & (F.col(time) <= hours + max_h))
+    ev = nonzero.where((F.col(time) >= first_hour) & (F.col(time) <= hours + max_h))
     first = _first_per_time(ev, keys, time, value, stage)
     w = Window.partitionBy(*keys).orderBy(time)
-    lo = F.coalesce(F.lag(time).over(w) + 1, F.lit(1))
+    lo = F.coalesce(F.lag(time).over(w) + 1, F.lit(first_hour))
     hi = F.least(F.col(time), F.lit(hours))
-    iv = first.select(*keys, F.col(time).alias("t"), "stage", lo.alias("lo"), hi.alias("hi")) \
-        .where(F.col("lo") <= F.col("hi"))
-    return iv.select(*keys, F.explode(F.sequence("lo", "hi")).alias("hour"), "t", "stage")
+    return first.select(*keys, F.col(time).alias("t"), "stage", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
 def label_before_start(nonzero: DataFrame, keys=VISIT, time="time", value="valuenum", stage="stage",
@@ -145,43 +149,43 @@ def label_before_start(nonzero: DataFrame, keys=VISIT, time="time", value="value
     return last.select(*keys, "m.t", "m.stage")
 
 
-def label_table(nonzero: DataFrame, hours: int = DEFAULT_HOURS, horizons=LABEL_HORIZONS, keys=VISIT,
-                time="time", value="valuenum", stage="stage") -> DataFrame:
-    """W3 + W4 as a table over the hours that have any label information:
-    keys, hour, tstage_L, stage_L, ptstage_L, pstage_L for each horizon L (0 when none)."""
-    parts = label_parts(nonzero, hours, horizons, keys, time, value, stage)
-    g = parts.groupBy(*keys, "hour").agg(*label_aggs(horizons))
-    return g
+def label_parts(nonzero, hours=DEFAULT_HOURS, horizons=LABEL_HORIZONS, keys=VISIT, time="time",
+                value="valuenum", stage="stage", sides=("next", "prev"), first_hour: int = 1) -> DataFrame:
+    """Label intervals (keys, kind, t, stage, lo, hi): kind 'next' (first event at/after the hour), 'prev' (the
+    'next' of the hour before) and 'prev1' (last event before hour 1, for hour 1), for the sides asked for."""
+    nxt = label_next(nonzero, hours, horizons, keys, time, value, stage, first_hour)
+    # one generator emits the interval for its own hours and for the hours after them, so the as-of window is
+    # evaluated once
+    shift = {"next": 0, "prev": 1}
+    ivs = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("lo") + shift[k]).alias("lo"),
+                             F.least(F.col("hi") + shift[k], F.lit(hours)).alias("hi")) for k in sides])
+    out = nxt.select(*keys, "t", "stage", F.explode(ivs).alias("e")).select(
+        *keys, F.col("e.kind").alias("kind"), "t", "stage", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
+    if "prev" in sides:
+        one = F.lit(1)
+        out = out.unionByName(label_before_start(nonzero, keys, time, value, stage).select(
+            *keys, F.lit("prev1").alias("kind"), "t", "stage", one.alias("lo"), one.alias("hi")))
+    return out
 
 
-def label_parts(nonzero, hours=DEFAULT_HOURS, horizons=LABEL_HORIZONS, keys=VISIT, time="time",
-                value="valuenum", stage="stage") -> DataFrame:
-    """Long-form label rows: kind 'next' (first event at/after hour), 'prev' (the 'next' row of hour-1) and
-    'prev1' (last event before hour 1, for hour 1)."""
-    nxt = label_next(nonzero, hours, horizons, keys, time, value, stage)
-    # one generator emits the row for its own hour ('next') and for the following hour ('prev'), so the
-    # as-of window is evaluated once
-    two = F.array(F.struct(F.col("hour").alias("h"), F.lit("next").alias("k")),
-                  F.struct((F.col("hour") + 1).alias("h"), F.lit("prev").alias("k")))
-    both = nxt.select(*keys, "t", "stage", F.explode(two).alias("e")) \
-        .select(*keys, F.col("e.h").alias("hour"), F.col("e.k").alias("kind"), "t", "stage") \
-        .where(F.col("hour") <= hours)
-    p1 = label_before_start(nonzero, keys, time, value, stage) \
-        .select(*keys, F.lit(1).alias("hour"), F.lit("prev1").alias("kind"), "t", "stage")
-    return both.unionByName(p1)
-
-
-def label_aggs(horizons=LABEL_HORIZONS, with_previous: bool = True):
+def spine_parts(visits: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, first_hour=1) -> DataFrame:
+    """The spine as intervals in the form of ``label_parts``: kind 'spine', hours first..H of every visit."""
+    first = first_hour if not isinstance(first_hour, int) else F.lit(first_hour)
+    return visits.select(*keys, F.lit("spine").alias("kind"), F.lit(None).cast("long").alias("t"),
+                         F.lit(None).cast("int").alias("stage"), first.cast("int").alias("lo"), F.lit(hours).alias("hi"))
+
+
+def label_aggs(horizons=LABEL_HORIZONS, sides=("next", "prev")):
     k, t, s, h = F.col("kind"), F.col("t"), F.col("stage"), F.col("hour")
     out = []
-    if with_previous:
+    if "prev" in sides:
         for L in horizons:
             inw = (k == "prev") & (t <= h - 1 + L)
             out.append(F.coalesce(F.max(F.when(inw, t)), F.max(F.when(k == "prev1", t)), F.lit(0))
                        .cast("long").alias(f"ptstage_{L}"))
             out.append(F.coalesce(F.max(F.when(inw, s)), F.max(F.when(k == "prev1", s)), F.lit(0))
                        .cast("int").alias(f"pstage_{L}"))
-    for L in horizons:
+    for L in horizons if "next" in sides else ():
         inw = (k == "next") & (t <= h + L)
         out.append(F.coalesce(F.max(F.when(inw, t)), F.lit(0)).cast("long").alias(f"tstage_{L}"))
         out.append(F.coalesce(F.max(F.when(inw, s)), F.lit(0)).cast("int").alias(f"stage_{L}"))
@@ -201,32 +205,8 @@ def with_validity(df: DataFrame, mean_col: str, out_valid: str, bounds: DataFram
             .withColumn(out_valid, is_valid(mean_col, "low", "high")).drop("low", "high"))
 
 
-def feature_long(conv: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, time="time",
-                 lab_min_time: int | None = 1, bounds: DataFrame | None = None, earlier: bool = True) -> DataFrame:
-    """W1 + W2 + F5 in long form: keys, hour, feature, kind ('cur'/'prior'), mean, n, valid."""
-    cur = snapshot_latest(conv, hours, keys, time, lab_min_time) \
-        .select(*keys, "hour", "feature", F.lit("cur").alias("kind"),
-                (F.col("cur_sum") / F.col("cur_n")).alias("mean"), F.col("cur_n").alias("n"))
-    pri = snapshot_prior(conv, visits, hours, keys, time, earlier=earlier) \
-        .select(*keys, "hour", "feature", F.lit("prior").alias("kind"),
-                (F.col("prior_sum") / F.col("prior_n")).alias("mean"), F.col("prior_n").alias("n"))
-    return with_validity(cur.unionByName(pri), "mean", "valid", bounds)
-
-
 # ---- W5 + assembly --------------------------------------------------------------------------------------------
 
-def gate_start(conv: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, time="time",
-               lab_min_time: int | None = 1) -> DataFrame:
-    """First hour at which a visit has any current observation (valid or not): keys, gate_hour.
-
-    A current value exists at h exactly when some vocabulary event has time <= h (labs: lab_min_time <= time),
-    so the gate is open from min(greatest(time, 1)) onwards. One small aggregate per visit."""
-    ev = conv.where(F.col(time) <= hours)
-    if lab_min_time is not None:
-        ev = ev.where((F.col("source") != "lab") | (F.col(time) >= lab_min_time))
-    return ev.groupBy(*keys).agg(F.min(F.greatest(F.col(time), F.lit(1))).alias("gate_hour"))
-
-
 def hourly_sums(conv: DataFrame, keys=VISIT, time="time") -> DataFrame:
     """Pre-aggregate converted events to (visit, item, feature, source, hour): s = sum, n = count.
 
@@ -261,14 +241,13 @@ def snapshot_sums(hourly: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOU
                  F.col("s").alias("s"), F.col("n").alias("n")),
         F.struct(F.concat(F.lit("prior_"), F.col("feature")).alias("name"), p_lo.alias("lo"), p_hi.alias("hi"),
                  F.col("cs").alias("s"), F.col("cn").alias("n")))
-    iv = win.select(*keys, F.explode(ivs).alias("iv")).select(*keys, "iv.*").where(F.col("lo") <= F.col("hi"))
-    out = iv.select(*keys, "name", F.explode(F.sequence("lo", "hi")).alias("hour"), "s", "n")
+    out = win.select(*keys, F.explode(ivs).alias("iv")).select(*keys, "iv.*")
     if earlier:
         e = earlier_from_hourly(hourly, visits, keys, subject, start)
         out = out.unionByName(e.select(*keys, F.concat(F.lit("prior_"), F.col("feature")).alias("name"),
-                                       F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("hour"),
+                                       F.lit(1).alias("lo"), F.lit(hours).alias("hi"),
                                        F.col("e_sum").alias("s"), F.col("e_n").alias("n")))
-    return out
+    return explode_hours(out, keys)
 
 
 def earlier_from_hourly(hourly: DataFrame, visits: DataFrame, keys=VISIT, subject="subject_id",
@@ -287,9 +266,30 @@ def earlier_from_hourly(hourly: DataFrame, visits: DataFrame, keys=VISIT, subjec
     return out.where(F.col("e_n") > 0)
 
 
-def _bound_check(mean, feature: str, bounds: dict):
-    lo, hi = bounds.get(feature, (None, None))
-    return is_valid(mean, F.lit(lo).cast("double"), F.lit(hi).cast("double"))
+def snapshot_cells(hourly: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOURS, features=ALL_FEATURES,
+                   keys=VISIT, time="time", lab_min_time: int | None = 1, margin: float | None = None) -> DataFrame:
+    """W1 + W2 + F5 in long form: keys, hour, name ('cur_<f>' / 'prior_<f>'), mean, ok (within its bounds).
+
+    Bounds by name are a fixed table and broadcast."""
+    from wardspark.functions.vocab import VALIDITY_MARGIN, bounds_rows
+    bnd = {f: (lo, hi) for f, lo, hi in bounds_rows(VALIDITY_MARGIN if margin is None else margin)}
+    by_name = hourly.sparkSession.createDataFrame(
+        [(f"{k}_{n}", *bnd.get(n, (None, None))) for k in ("prior", "cur") for n in features],
+        "name string, low double, high double")
+    return (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time)
+            .groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
+            .join(F.broadcast(by_name), on="name", how="left")
+            .withColumn("ok", is_valid("mean", "low", "high")).drop("low", "high"))
+
+
+def gate_hours(hourly: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, time="time",
+               lab_min_time: int | None = 1) -> DataFrame:
+    """Keys, _gate: the first hour at which a visit has any current observation, valid or not (labs only from
+    ``lab_min_time``); visits without one have no row."""
+    src = hourly.where(F.col(time) <= hours)
+    if lab_min_time is not None:
+        src = src.where((F.col("source") != "lab") | (F.col(time) >= lab_min_time))
+    return src.groupBy(*keys).agg(F.min(F.greatest(F.col(time), F.lit(1))).cast("int").alias("_gate"))
 
 
 def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: int = DEFAULT_HOURS,
@@ -305,62 +305,45 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     W5). ``as_text``: render '?' (missing) and '!' (out of range) like the reference's CSV files; otherwise
     missing/invalid are NULL doubles.
 
-    Plan: W1 and W2 share one window; the mean and validity of each cell are computed in long form (bounds
-    by name are a fixed 196-row broadcast), then one value per cell is pivoted with Spark's two-phase pivot
-    over the explicit name list (values placed by index, O(rows)). Labels are a numeric aggregate over (visit, hour); the spine (visits x hours, with
-    demographics and the W5 gate) joins both on (visit, hour), co-partitioned with the two aggregates.
+    Plan: W1 and W2 share one window. Their intervals, the label intervals and the spine (with the W5 gate) are
+    shuffled by visit, each once, before hours are exploded; the mean and validity of each cell are computed there
+    in long form (bounds by name are a fixed 196-row broadcast). Cells, labels and spine then meet in ONE grouping by
+    (visit, hour), where a row's cells become a map, at most one entry per name; the columns are read from it.
 
     Columns: hour, keys, ethnicity, age, gender, prior_<f>..., ptstage_L/pstage_L..., cur_<f>...,
     tstage_L/stage_L...
     """
-    from wardspark.functions.vocab import VALIDITY_MARGIN, bounds_rows
-    spark = hourly.sparkSession
-    bnd = {f: (lo, hi) for f, lo, hi in bounds_rows(VALIDITY_MARGIN if margin is None else margin)}
-    names = [f"prior_{n}" for n in features] + [f"cur_{n}" for n in features]
-    by_name = spark.createDataFrame([(f"{k}_{n}", *bnd.get(n, (None, None))) for k in ("prior", "cur")
-                                     for n in features], "name string, low double, high double")
-    # mean and validity per (visit, hour, name) in long form; the pivot then places one value per cell
-    # partition the long cells by visit once: after the hourly pre-aggregation a visit holds at most
-    # 2 x features x hours cells (skew-safe), and the cell aggregate, both pivot phases and the label
-    # aggregate below all reuse this partitioning instead of shuffling again
-    cell = (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time).repartition(*keys)
-            .groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
-            .join(F.broadcast(by_name), on="name", how="left")
-            .withColumn("ok", is_valid("mean", "low", "high")))
+    cell = snapshot_cells(hourly, visits, hours, features, keys, time, lab_min_time, margin)
     if as_text:
-        cell = cell.select(*keys, "hour", "name",
-                           F.when(F.col("ok"), F.col("mean").cast("string")).otherwise(F.lit("!")).alias("v"))
+        value = F.when(F.col("ok"), F.col("mean").cast("string")).otherwise(F.lit("!"))
     else:
-        cell = cell.select(*keys, "hour", "name", F.when(F.col("ok"), F.col("mean")).alias("v"))
-    piv = cell.groupBy(*keys, "hour").pivot("name", names).agg(F.first("v"))
-
-    lab = label_parts(nonzero, hours, horizons, keys).withColumn("hour", F.col("hour").cast("int")) \
-        .repartition(*keys).groupBy(*keys, "hour").agg(*label_aggs(horizons))
+        value = F.when(F.col("ok"), F.col("mean"))
+    cell = cell.select(*keys, "hour", F.struct("name", value.alias("v")).alias("cell"))
 
-    gate_src = hourly.where(F.col(time) <= hours)
-    if lab_min_time is not None:
-        gate_src = gate_src.where((F.col("source") != "lab") | (F.col(time) >= lab_min_time))
-    gs = gate_src.groupBy(*keys).agg(F.min(F.greatest(F.col(time), F.lit(1))).cast("int").alias("_gate"))
-    vis = visits.select(*keys, "age", "gender", "ethnicity").join(gs, on=keys, how="left")
-    if emit_empty:
-        first_hour = F.lit(1)
-    else:
+    vis = visits.select(*keys, "age", "gender", "ethnicity").join(
+        gate_hours(hourly, hours, keys, time, lab_min_time), on=keys, how="left")
+    if not emit_empty:
         vis = vis.where(F.col("_gate").isNotNull())
-        first_hour = F.col("_gate")
-    spine = vis.repartition(*keys).select(*keys, F.explode(F.sequence(first_hour, F.lit(hours))).alias("hour"),
-                       F.col("age").cast("int").alias("age"), gender_code("gender").alias("gender"),
-                       "ethnicity", "_gate")
-    wide = spine.join(lab, on=[*keys, "hour"], how="left").join(piv, on=[*keys, "hour"], how="left")
+    demo = F.struct(F.col("age").cast("int").alias("age"), gender_code("gender").alias("gender"), "ethnicity", "_gate")
+    spine = vis.select(
+        *keys, F.lit("spine").alias("kind"), F.lit(None).cast("long").alias("t"),
+        F.lit(None).cast("int").alias("stage"), (F.lit(1) if emit_empty else F.col("_gate")).alias("lo"),
+        F.lit(hours).alias("hi"), demo.alias("demo"))
+    long = explode_hours(label_parts(nonzero, hours, horizons, keys).unionByName(spine, allowMissingColumns=True), keys)
+    together = long.unionByName(cell, allowMissingColumns=True)
+    wide = together.groupBy(*keys, "hour").agg(
+        F.max("demo").alias("demo"), F.map_from_entries(F.collect_list("cell")).alias("cells"), *label_aggs(horizons)
+    ).where(F.col("demo").isNotNull()).select("*", "demo.*")
 
     gate = F.col("_gate").isNotNull() & (F.col("hour") >= F.col("_gate"))
     missing = F.lit("?") if as_text else F.lit(None).cast("double")
 
     def prior(n):
-        c = F.col(f"prior_{n}")
+        c = F.try_element_at("cells", F.lit(f"prior_{n}"))
         return F.when(gate, F.coalesce(c, missing) if as_text else c).otherwise(missing).alias(f"prior_{n}")
 
     def cur(n):
-        c = F.col(f"cur_{n}")
+        c = F.try_element_at("cells", F.lit(f"cur_{n}"))
         return (F.coalesce(c, missing) if as_text else c).alias(f"cur_{n}")
 
     def lab_col(c):
@@ -386,16 +369,18 @@ def snapshot_exact(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hou
     """Per visit, the hourly average of each listed item at exactly ``hour`` (null when absent),
     age, gender code, and the first non-zero stage within [hour, hour + horizon] (tstage, stage; 0 when none).
 
-    ``hourly`` is the A1 hourly aggregate (keys, itemid, time, average). Pivot with the explicit item list."""
-    h = hourly.where((F.col("time") == hour) & F.col(item).isin(items))
-    wide = h.groupBy(*keys).agg(*[F.max(F.when(F.col(item) == i, F.col(value))).alias(f"item_{i}") for i in items])
+    ``hourly`` is the A1 hourly aggregate (keys, itemid, time, average). A visit's items of the hour become a map,
+    one entry per item, and the columns are read from it, so the plan doesn't grow with the item list."""
+    h = hourly.where((F.col("time") == hour) & F.col(item).isin(items)).groupBy(*keys, item).agg(
+        F.max(value).alias(value))
+    wide = h.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(item).cast("long"), value))).alias("m_i"))
     ev = nonzero.where((F.col("time") >= hour) & (F.col("time") <= hour + horizon))
     lab = ev.groupBy(*keys).agg(F.min_by(F.struct(F.col("time").alias("t"), F.col("stage").alias("s")),
                                          F.struct("time", "valuenum")).alias("m"))
     v = visits.select(*keys, "age", gender_code("gender").alias("gender"))
     out = v.join(wide, on=keys, how="left").join(lab, on=keys, how="left")
     return out.select(*keys, "age", "gender", F.coalesce(F.col("m.t"), F.lit(0)).cast("long").alias("tstage"),
-                      *[F.col(f"item_{i}") for i in items],
+                      *[F.try_element_at("m_i", F.lit(i).cast("long")).alias(f"item_{i}") for i in items],
                       F.coalesce(F.col("m.s"), F.lit(0)).cast("int").alias("stage"))
 
 
@@ -404,6 +389,3 @@ def snapshot_exact(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hou
 def last_write_wins(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """For each key, the value of the row that comes last in ``order``."""
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
-
-
-_ = T  # types imported for callers building schemas

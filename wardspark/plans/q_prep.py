@@ -1,6 +1,6 @@
 """Registered queries: modelling-table preparation (splits, imputation, selection, resampling, sequences).
 
-The model table is derived from the driver tables: per (visit, hour 1..200) the hourly mean of each fixture
+The model table is derived from the driver tables: per visit and hour with data the hourly mean of each fixture
 item, age, gender code and the forward stage labels at 6/24/48/72 hours (W3).
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardspark.functions.vocab import ALL_FEATURES, CHART_CATEGORIES, LAB_ITEMS, NORMAL_VALUES, feature_name
+from wardspark.functions.vocab import ALL_FEATURES, NORMAL_VALUES, feature_name
 from wardspark.operators import prep, snapshot as snap, staging
 from wardspark.plans.q_align import cohort, timed_events
 from wardspark.plans.q_snapshot import H, nonzero, sql as snap_sql, visits
@@ -28,12 +28,18 @@ SEED = 0
 
 # ---- model table (Spark) ----------------------------------------------------------------------------------------
 
-def model_table(spark, d):
-    t = timed_events(spark, d).where(F.col("time").between(1, H))
+def model_table(spark, d, hours: tuple[int, int] | None = None):
+    """One row per visit and hour with data. ``hours`` (first, last) limits them; by default the data's own first and
+    last hour do, so no event is left out."""
+    t = timed_events(spark, d)
+    if hours is None:
+        r = t.agg(F.min("time"), F.max("time")).first()
+        hours = (int(r[0] or 0), int(r[1] or 0))
+    t = t.where(F.col("time").between(*hours))
     wide = t.groupBy(*VISIT, F.col("time").cast("int").alias("hour")).pivot("itemid", FX_ITEMS).agg(F.avg("valuenum"))
     wide = wide.select(*VISIT, "hour", *[F.col(str(i)).alias(f"f_{i}") for i in FX_ITEMS])
-    lab = snap.label_parts(nonzero(spark, d), H, HORIZONS).withColumn("hour", F.col("hour").cast("int")) \
-        .groupBy(*VISIT, "hour").agg(*snap.label_aggs(HORIZONS, with_previous=False))
+    parts = snap.label_parts(nonzero(spark, d), hours[1], HORIZONS, sides=("next",), first_hour=hours[0])
+    lab = snap.explode_hours(parts).groupBy(*VISIT, "hour").agg(*snap.label_aggs(HORIZONS, sides=("next",)))
     v = visits(spark, d).select(*VISIT, "age", F.when(F.col("gender") == "F", 0).otherwise(1).alias("gender"))
     out = wide.join(v, on=VISIT).join(lab.select(*VISIT, "hour", *LABELS), on=[*VISIT, "hour"], how="left")
     return out.select(*VISIT, "hour", F.concat_ws("|", *VISIT, "hour").alias("rid"), "age", "gender", *FEATS,
@@ -75,7 +81,7 @@ def _lab(L):
 PREP_CTES = {
     "mt_wide": "SELECT subject_id, hadm_id, CAST(time AS INT) AS hour, "
                + ", ".join(f"avg(valuenum) FILTER (WHERE itemid = {i}) AS f_{i}" for i in FX_ITEMS)
-               + " FROM fx_timed WHERE time BETWEEN 1 AND 200 GROUP BY ALL",
+               + " FROM fx_timed GROUP BY ALL",
     "mt": "SELECT w.subject_id, w.hadm_id, w.hour, concat_ws('|', w.subject_id, w.hadm_id, w.hour) AS rid, a.age,"
           " CASE WHEN a.gender = 'F' THEN 0 ELSE 1 END AS gender, "
           + ", ".join(f"w.{f}" for f in FEATS) + ", " + ", ".join(_lab(L) for L in HORIZONS)
@@ -137,12 +143,9 @@ def q_p10(spark, d):
                                                + ", ".join(f"tstage_{L}, stage_{L}" for L in snap.LABEL_HORIZONS)
                                                + " FROM w3"))
 def q_p11(spark, d):
-    parts = snap.label_parts(nonzero(spark, d), H)
-    spine = snap.hour_spine(visits(spark, d).select(*VISIT), H).select(
-        *VISIT, "hour", F.lit("spine").alias("kind"), F.lit(None).cast("long").alias("t"),
-        F.lit(None).cast("int").alias("stage"))
-    g = parts.unionByName(spine).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
-    return prep.drop_by_phrase(g.withColumn("hour", F.col("hour").cast("int")), ("pstage", "ptstage"))
+    parts = snap.label_parts(nonzero(spark, d), H).unionByName(snap.spine_parts(visits(spark, d), H))
+    g = snap.explode_hours(parts).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
+    return prep.drop_by_phrase(g, ("pstage", "ptstage"))
 
 
 @register("t3_random_split", sql("SELECT subject_id, hadm_id, split FROM splits"))
@@ -333,12 +336,33 @@ def q_t1(spark, d):
     return k.select("feature", r6("h").alias("h"), "dof", "n")
 
 
-@register("t1_kruskal_select")
+_KW_SQL = """SELECT c.feature, sum(c.r * c.r / c.n_i) AS s, sum(c.n_i)::DOUBLE AS n, count(*) AS k,
+         1 - max(t.tie) / (sum(c.n_i)::DOUBLE ^ 3 - sum(c.n_i)::DOUBLE) AS corr
+  FROM (SELECT feature, cls, sum(rk) AS r, count(*) AS n_i FROM kw_ranked GROUP BY ALL) c
+  JOIN (SELECT feature, sum(t::DOUBLE ^ 3 - t) AS tie FROM (SELECT feature, value, count(*) AS t FROM kw_long
+        GROUP BY ALL) GROUP BY feature) t ON t.feature = c.feature GROUP BY c.feature"""
+# the H at which a test with three degrees of freedom has p = 0.05
+_H_CRITICAL = 7.814727903251179
+
+
+@register("t1_kruskal_select", sql(f"""
+SELECT feature, {R6('h')} AS h, CAST(k - 1 AS INT) AS dof, coalesce(k = 4 AND h < {_H_CRITICAL}, false) AS kept_above,
+       coalesce(k = 4 AND h >= {_H_CRITICAL}, false) AS kept_below
+FROM (SELECT feature, k, CASE WHEN corr > 0 THEN (12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / corr END AS h
+      FROM ({_KW_SQL}))""", {
+    "kw_long": " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, stage_48 AS cls FROM mt"
+                                  f" WHERE {f} IS NOT NULL" for f in FEATS),
+    "kw_ranked": """SELECT feature, cls, rank() OVER w + (count(*) OVER w2 - 1) / 2.0 AS rk FROM kw_long
+        WINDOW w AS (PARTITION BY feature ORDER BY value), w2 AS (PARTITION BY feature, value)"""}))
 def q_t1_select(spark, d):
-    """Kept features and p-values (p from the per-feature H rows; rows-only check)."""
-    kept, stats = prep.kruskal_select(model_table(spark, d), FEATS, "stage_48")
-    rows = [(f, h, dof, p, f in kept) for f, h, dof, p in stats]
-    return spark.createDataFrame(rows, "feature string, h double, dof int, p double, kept boolean")
+    """H per feature and whether it is kept, in both modes (the decision comes from p, the oracle's from H)."""
+    from wardspark.session import materialize
+    m = materialize(model_table(spark, d), "kruskal-input")
+    above, stats = prep.kruskal_select(m, FEATS, "stage_48")
+    below = [f for f, h, dof, p in stats if p is not None and h is not None and p <= 0.05]
+    rows = [(f, h, dof, f in above, f in below) for f, h, dof, _ in stats if dof is not None]
+    out = spark.createDataFrame(rows, "feature string, h double, dof int, kept_above boolean, kept_below boolean")
+    return out.withColumn("h", r6("h"))
 
 
 @register("t2_vif_gram", sql(
@@ -368,6 +392,24 @@ def q_t2_elim(spark, d):
     return spark.createDataFrame([(f, float(vifs.get(f, float("nan")))) for f in kept], "feature string, vif double")
 
 
+def _three(a, b, c):
+    """VIF of a in (a, b, c) by least squares on b and c without intercept, from the scaled Gram entries."""
+    return f"(1 - {b}{c} * {b}{c}) / (1 - ab * ab - ac * ac - bc * bc + 2 * ab * ac * bc)"
+
+
+@register("t2_vif_three", sql(
+    "SELECT feature, " + R6("vif") + " AS vif FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATS[:3])
+    + f"]) AS feature, unnest([{_three('a', 'b', 'c')}, {_three('b', 'a', 'c')}, {_three('c', 'a', 'b')}]) AS vif FROM ("
+    + "SELECT " + ", ".join(f"sum({FEATS[i]} * {FEATS[j]}) / sqrt(sum({FEATS[i]} * {FEATS[i]}) * sum({FEATS[j]} * "
+                            f"{FEATS[j]})) AS {n}" for i, j, n in ((0, 1, "ab"), (0, 2, "ac"), (1, 2, "bc")))
+    + " FROM imp WHERE split = 'devel'))"))
+def q_t2_three(spark, d):
+    """VIF of three features (the closed form for three is the oracle)."""
+    devel = imputed(spark, d).where(F.col("split") == "devel")
+    _, vifs = prep.vif_eliminate(devel, FEATS[:3], max_vif=float("inf"))
+    return spark.createDataFrame(list(vifs.items()), "feature string, vif double").withColumn("vif", r6("vif"))
+
+
 @register("u2_stack_hours", sql(" UNION ALL BY NAME ".join(
     f"SELECT {h} AS snapshot_hour, subject_id, hadm_id, hour, {_sql_round(FEATS)} FROM mt WHERE hour = {h}"
     for h in (1, 12, 24))))
@@ -378,9 +420,6 @@ def q_u2(spark, d):
     return _round_feats(prep.stack_hours(*frames))
 
 
-_ = (CHART_CATEGORIES, LAB_ITEMS)
-
-
 @register("j12_label_refresh", sql(
     f"SELECT m.subject_id, m.hadm_id, m.hour, {', '.join(f'{R6(f)} AS {f}' for f in FEATS)}, "
     + ", ".join(f"p.ptstage_{L}, p.pstage_{L}" for L in snap.LABEL_HORIZONS) + ", "
@@ -390,9 +429,9 @@ _ = (CHART_CATEGORIES, LAB_ITEMS)
 def q_j12(spark, d):
     """Drop the old label columns and attach the full previous/forward label set by key (not by position)."""
     from wardspark.functions.clinical import label_columns
-    data = model_table(spark, d).drop(*LABELS)
+    data = model_table(spark, d, (1, H)).drop(*LABELS)
     parts = snap.label_parts(nonzero(spark, d), H)
-    labels = parts.withColumn("hour", F.col("hour").cast("int")).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
+    labels = snap.explode_hours(parts).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
     cols = label_columns(previous=True) + label_columns()
     out = data.join(labels, on=[*VISIT, "hour"], how="left")
     return _round_feats(out.select(*VISIT, "hour", *FEATS,

@@ -147,27 +147,23 @@ def q_w2(spark, d):
                     F.col("prior_n").cast("long").alias("prior_n"))
 
 
-def _label_table(spark, d, previous: bool):
-    parts = snap.label_parts(nonzero(spark, d), H)
-    spine = snap.hour_spine(visits(spark, d).select(*VISIT), H).select(*VISIT, "hour", F.lit("spine").alias("kind"),
-                                                                       F.lit(None).cast("long").alias("t"),
-                                                                       F.lit(None).cast("int").alias("stage"))
-    aggs = snap.label_aggs(LABEL_HORIZONS, with_previous=True)
-    names = [f"{'p' if previous else ''}{k}_{L}" for L in LABEL_HORIZONS for k in ("tstage", "stage")]
-    g = parts.unionByName(spine).groupBy(*VISIT, "hour").agg(*aggs)
-    return g.select(*VISIT, F.col("hour").cast("int").alias("hour"), *names)
+def _label_table(spark, d, side: str):
+    parts = snap.label_parts(nonzero(spark, d), H, sides=(side,))
+    spine = snap.spine_parts(visits(spark, d), H)
+    g = snap.explode_hours(parts.unionByName(spine)).groupBy(*VISIT, "hour").agg(*snap.label_aggs(sides=(side,)))
+    return g
 
 
 @register("w3_label_forward", sql("SELECT subject_id, hadm_id, CAST(hour AS INT) AS hour, "
                                   + ", ".join(f"tstage_{L}, stage_{L}" for L in LABEL_HORIZONS) + " FROM w3"))
 def q_w3(spark, d):
-    return _label_table(spark, d, previous=False)
+    return _label_table(spark, d, "next")
 
 
 @register("w4_label_previous", sql("SELECT subject_id, hadm_id, CAST(hour AS INT) AS hour, "
                                    + ", ".join(f"ptstage_{L}, pstage_{L}" for L in LABEL_HORIZONS) + " FROM w4"))
 def q_w4(spark, d):
-    return _label_table(spark, d, previous=True)
+    return _label_table(spark, d, "prev")
 
 
 @register("f5_validity_status", sql(f"""
@@ -238,6 +234,23 @@ def q_w5_visit(spark, d):
     return snapshot_df(spark, d, emit_empty=True)
 
 
+@register("w5_snapshot_cells", sql(f"""
+SELECT x.subject_id, x.hadm_id, CAST(x.hour AS INT) AS hour, x.name, {R6('x.mean')} AS value, x.ok FROM (
+  SELECT w.subject_id, w.hadm_id, w.hour, 'cur_' || w.feature AS name, w.s / w.n AS mean,
+         {_validity_sql('w.s / w.n')} AS ok FROM w1 w LEFT JOIN bounds b ON b.feature = w.feature
+  UNION ALL
+  SELECT q.subject_id, q.hadm_id, q.hour, 'prior_' || q.feature, q.s / q.n, {_validity_sql('q.s / q.n')}
+  FROM w2 q LEFT JOIN bounds b ON b.feature = q.feature
+  WHERE EXISTS (SELECT 1 FROM w1 g WHERE g.subject_id = q.subject_id AND g.hadm_id = q.hadm_id AND g.hour = q.hour)
+) x"""))
+def q_w5_cells(spark, d):
+    """Every cell of the snapshot in long form, current and prior, with its validity; prior ones behind the gate."""
+    hourly, vis, _ = snapshot_inputs(spark, d)
+    cells = snap.snapshot_cells(hourly, vis, H).join(snap.gate_hours(hourly, H), on=VISIT, how="left")
+    shown = F.col("name").startswith("cur_") | (F.col("hour") >= F.col("_gate"))
+    return cells.where(shown).select(*VISIT, "hour", "name", r6("mean").alias("value"), "ok")
+
+
 @register("w8_exact_hour_snapshot", sql(f"""
 SELECT a.subject_id, a.hadm_id, a.age, CAST(CASE WHEN a.gender = 'F' THEN 0 ELSE 1 END AS INT) AS gender,
        coalesce(l.t, 0) AS tstage,

@@ -22,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- Spark side -------------------------------------------------------------------------------------------
 
 def _visit_id(ev: DataFrame):
-    return (F.col("user_id") * 100 + F.weekofyear("ts")).alias("hadm_id")
+    # the ISO year belongs to the id: weeks of two years must not collide
+    return (F.col("user_id") * 1_000_000 + F.expr("extract(YEAROFWEEK FROM ts)") * 100 + F.weekofyear("ts")
+            ).cast("long").alias("hadm_id")
 
 
 def fx_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +91,12 @@ def fx_line_events(spark, sf_dir) -> DataFrame:
 # ---- SQL side (DuckDB spelling) ----------------------------------------------------------------------------
 
 FIXTURE_CTES = {
-    "fx_admissions": """SELECT DISTINCT user_id AS subject_id, user_id*100 + weekofyear(ts) AS hadm_id,
+    "fx_admissions": """SELECT DISTINCT user_id AS subject_id, CAST(user_id * 1000000 + isoyear(ts) * 100 + weekofyear(ts) AS BIGINT) AS hadm_id,
         CAST(date_trunc('week', ts) AS TIMESTAMP) AS admittime,
         CASE WHEN user_id % 5 = 0 THEN 'BLACK/AFRICAN AMERICAN' ELSE 'WHITE' END AS ethnicity FROM events""",
     "fx_patients": """SELECT DISTINCT user_id AS subject_id, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
         make_date(CAST(2014 - user_id % 80 AS INT), 6, 15) AS dob FROM events""",
-    "fx_events": """SELECT user_id AS subject_id, user_id*100 + weekofyear(ts) AS hadm_id, ts AS charttime,
+    "fx_events": """SELECT user_id AS subject_id, CAST(user_id * 1000000 + isoyear(ts) * 100 + weekofyear(ts) AS BIGINT) AS hadm_id, ts AS charttime,
         CAST(CASE event_type WHEN 'click' THEN 50912 WHEN 'error' THEN 51006 WHEN 'view' THEN 677
                         WHEN 'purchase' THEN 678 ELSE 211 END AS BIGINT) AS itemid,
         CASE WHEN event_type IN ('click','error') THEN 'lab' ELSE 'chart' END AS src,
