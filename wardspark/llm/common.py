@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,14 @@ def scanned(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, i
     return df.select(*keep, F.col(text_col).alias("_llm_text")), len(keep)
 
 
+def release() -> None:
+    """Give freed memory back, so that a worker between batches and queries holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; batches without rows are left out."""
@@ -40,7 +49,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                 else:
                     yield from out
                 del out, b
-                pa.default_memory_pool().release_unused()
+                release()
     return df.mapInArrow(run, schema)
 
 

@@ -5,10 +5,9 @@ minima. Each tree is a prefix trie of its sorted keys; two texts are candidates
 length in any tree. The length starts at ``depth`` and is shortened until a pair at the threshold is found with the
 target recall, 1 - (1 - t^length)^trees; more alike pairs are found more surely.
 
-Verification is exact and takes no pair twice. Every text with a partner in some bucket has one home, the largest
-bucket it is in, and homes are cut into blocks of about ``block`` texts
-and ``block_grams`` shingles. Two blocks meet if members of both share a
-bucket anywhere. A meeting counts the shingles that its texts share in numpy and returns per text the
+Verification is exact and takes no pair twice. Every text with a partner in some bucket has one home, named by the
+least text that it shares a bucket with, and homes are cut into blocks of about ``block`` texts and ``block_grams``
+shingles. Two blocks meet if members of both share a bucket anywhere. A meeting counts the shingles that its texts share in numpy and returns per text the
 number of its partners and one edge to the least text it is connected to within the meeting, never the pairs.
 Classes are the components of those edges.
 
@@ -199,15 +198,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                   F.first("keys").alias("keys"))
         .withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts")
     in_tree = texts.where("size > 0").select("tid", "size", F.explode("keys").alias("bucket"))
-    # a bucket is cut so that a block has a bounded number of texts and of shingles
-    buckets = in_tree.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.greatest(
-            F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts")
-    ).where("members > 1")
-    member = materialize(in_tree.drop("size").join(buckets, "bucket"), "jaccard-members")
-    home = member.groupBy("tid").agg(F.max(F.struct("members", "bucket", "parts")).alias("m")).select(
-        "tid", F.xxhash64("m.bucket", F.pmod(F.xxhash64("tid"), F.col("m.parts"))).alias("block"))
-    home = materialize(home, "jaccard-homes")
+    buckets = in_tree.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("low")).where(
+        "members > 1").drop("members")
+    member = materialize(in_tree.join(buckets, "bucket"), "jaccard-members")
+    label = materialize(member.groupBy("tid").agg(F.min("low").alias("label"), F.first("size").alias("size")),
+                        "jaccard-labels")
+    # a home is cut so that a block has a bounded number of texts and of shingles
+    parts = materialize(label.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts")),
+        "jaccard-homes")
+    home = join_checked(label, parts, "label").select(
+        "tid", F.xxhash64("label", F.pmod(F.xxhash64("tid"), F.col("parts"))).alias("block"))
+    home = materialize(home, "jaccard-blocks")
     seen = member.select("tid", "bucket").join(home, "tid").select("bucket", "block").distinct()
     a, b = seen.alias("a"), seen.alias("b")
     meetings = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.block <= b.block").select(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches, scanned
+from wardspark.llm.common import SLICE_BYTES, map_batches, release, scanned
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 WORD_BITS = 63
@@ -109,6 +109,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", slots:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(v), i, np.int32)), pa.array(v.astype(np.int64)),
                      pa.array(c[k:k + (1 << 16)])], ["lang", "gram", "n"])
+        found.clear()
+        release()
 
     counts = known.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.where(F.col("n") >= min_count)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, map_batches, release
 from wardspark.session import materialize
 
 BUCKETS = 1 << 14
@@ -108,6 +108,8 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * DIMS),
                                                  pa.array(sums[s].astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), lists], ["bucket", "v"])
+        del total
+        release()
 
     parts = df.select(F.col(text_col).alias("t")).mapInArrow(run, "bucket int, v array<int>")
 

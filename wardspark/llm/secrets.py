@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches
+from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches, release
 from wardspark.session import materialize
 
 SLOTS = 1 << 18
@@ -102,6 +102,7 @@ def dictionary(df: DataFrame, text_col: str = "text", min_count: int = 20) -> Di
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)),
                                                   pa.array(at.astype(np.int32)), pa.array(table[at])],
                                                  ["kind", "slot", "n"])
+        release()
     rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, slot int, n long")
     sums = rows.groupBy("kind", "slot").agg(F.sum("n").alias("n")).where(
         (F.col("kind") == 1) | (F.col("n") >= min_count)).toArrow()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, map_batches
+from wardspark.llm.common import SLICE_BYTES, map_batches, release
 from wardspark.session import materialize
 
 ORDER = 5
@@ -207,6 +207,8 @@ def _counts(rows: DataFrame, folds: int) -> pa.Table:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(u[s]), k, np.int32)), pa.array(u[s].astype(np.int32)), pa.array(c[s])],
                     ["key", "code", "n"])
+        held.clear()
+        release()
     counted = rows.mapInArrow(run, "key int, code int, n long").groupBy(
         F.expr("key div 2").cast("int").alias("fold"), "code").agg(
         F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("toxic"),
