@@ -239,6 +239,7 @@ def learn(df: DataFrame, label_col: str = "toxic", text_col: str = "text", folds
                      F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
     # equal texts share a fold, else a copy of a held-out row would be learned from
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
+    rows = materialize(rows, "toxicity-rows")  # counted, and read again for the regression
     seen = _counts(rows.select("text", "label", "fold"), folds)
     fold, code, toxic, ordinary = (seen.column(i).to_numpy() for i in range(4))
     empty = np.zeros(1 + len(WINDOWS) * TOP)
