@@ -46,10 +46,21 @@ def test_sinks_round_trip(spark):
 
 
 def test_stage_trajectory(spark):
-    df = spark.createDataFrame([(1, 10, 1, 0), (1, 10, 2, 2), (2, 20, 1, 1)],
+    df = spark.createDataFrame([(1, 10, 2, 2), (1, 10, 1, 0), (2, 20, 1, 1)],
                                "subject_id long, hadm_id long, hour int, stage_48 int")
-    t = {r.hour: r for r in prep.stage_trajectory(df, [(1, 10), (2, 20)]).collect()}
-    assert (t[1]["1_10"], t[1]["2_20"], t[2]["1_10"], t[2]["2_20"]) == (0, 1, 2, None)
+    t = {r.hadm_id: (r.hours, r.stages) for r in prep.stage_trajectory(df).collect()}
+    assert t == {10: ([1, 2], [0, 2]), 20: ([1], [1])}
+
+
+def test_bad_rows_do_not_depend_on_the_columns_selected(spark):
+    d = tempfile.mkdtemp(prefix="ws-bad-")
+    with open(os.path.join(d, "ev.csv"), "w") as f:
+        f.write("row_id,subject_id,hadm_id,itemid,charttime,valuenum,valueuom\n")
+        f.write("1,1,1,1,2020-01-01 10:00:00,1,x\n2,1,1,1,nope,2,x\n3,1,1,1,2020-01-01 10:00:00,3,x\n")
+    df = io.read_delimited(spark, d, io.EVENT_SCHEMA)
+    assert df.count() == df.select("row_id").count() == len(df.collect()) == 2
+    assert io.bad_rows(spark, d, io.EVENT_SCHEMA) == 1
+    assert io.read_delimited(spark, d, io.EVENT_SCHEMA, bad_rows="keep").count() == 3
 
 
 def test_read_snapshot_csv_sentinels(spark):

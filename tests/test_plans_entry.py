@@ -44,3 +44,17 @@ def test_scan_pruning(spark):
     assert [c.split("#")[0] for c in cols.split(",")] == ["l_orderkey", "l_suppkey", "l_quantity", "l_returnflag",
                                                           "l_shipdate"]
     assert "PushedFilters: [IsNotNull(l_quantity)" in scan
+
+
+@pytest.mark.parametrize("name", ["w5_snapshot_by_hour", "w2_prior_snapshot", "w3_label_forward", "w4_label_previous"])
+def test_hours_are_exploded_behind_the_shuffle(spark, name):
+    """No exchange stands above a generator of hours: intervals are shuffled, never their hours."""
+    plan = _plan(ent.queries()[name](spark, SF)).split("== Initial Plan ==")[-1]
+    depth = [(len(line) - len(line.lstrip(" :+-*(0123456789)")), line) for line in plan.splitlines() if line.strip()]
+    for i, (d, line) in enumerate(depth):
+        if "Generate explode(sequence(lo" in line:
+            above = d
+            for e, other in reversed(depth[:i]):
+                if e < above:
+                    above = e
+                    assert "Exchange" not in other or "BroadcastExchange" in other, (name, other, line)

@@ -114,3 +114,102 @@ def test_positions_exact_with_few_and_many_buckets(spark):
         for g in range(3):
             rows = sorted((r.h, r.id, r.pos) for r in p if r.g == g)
             assert [x[2] for x in rows] == list(range(len(rows)))
+
+
+def test_ranks_with_an_outlier_stay_balanced_and_exact(spark):
+    rows = [(float(i % 1500) / 7,) for i in range(3000)] + [(1e12,), (float("inf"),), (float("-inf"),), (None,), (float("nan"),)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, v double")
+    one = {str(r.v): (r.rank, r.cnt) for r in prep.average_ranks(df, ["g"], "v", buckets=1).collect()}
+    many = {str(r.v): (r.rank, r.cnt) for r in prep.average_ranks(df, ["g"], "v", buckets=16).collect()}
+    assert one == many and len(one) == 1504
+    assert one["-inf"][0] == 1 and one["nan"][0] == 3004 and one["inf"][0] == 3003
+    cuts = df.where("v is not null").select("g", "v").distinct().groupBy("g").agg(
+        F.percentile_approx("v", [i / 16 for i in range(1, 16)], 320).alias("c")).first()["c"]
+    values = sorted({r[0] for r in rows if r[0] is not None and r[0] == r[0]})
+    import bisect
+    sizes = [0] * 16
+    for v in values:
+        sizes[bisect.bisect_left(cuts, v)] += 1
+    assert max(sizes) < 2 * len(values) / 16
+
+
+def test_auc_with_unordered_scores_is_null_and_labels_missing_are_left_out(spark):
+    schema = "label int, prediction int, score_0 double, score_1 double"
+    df = spark.createDataFrame([(0, 0, None, 0.1), (1, 1, 0.2, 0.8), (1, 0, 0.4, 0.7), (None, 0, 0.4, float("nan"))], schema)
+    assert {r["class"]: r.auc for r in score.roc_auc(df, 2).collect()} == {0: None, 1: 1.0}
+    nan = spark.createDataFrame([(0, 0, 0.9, float("nan")), (1, 1, 0.2, 0.8)], schema)
+    assert {r["class"]: r.auc for r in score.roc_auc(nan, 2).collect()} == {0: 1.0, 1: None}
+
+
+def test_kruskal_with_an_absent_class_drops_the_feature(spark):
+    df = spark.createDataFrame([(c, float(i), float(i) if c < 3 else None) for c in range(4) for i in range(5)],
+                               "y int, x double, z double")
+    for keep in ("p_above", "p_below"):
+        kept, stats = prep.kruskal_select(df, ["x", "z"], "y", keep=keep)
+        assert "z" not in kept and dict((s[0], s[3]) for s in stats)["z"] is None
+        assert ("x" in kept) == (keep == "p_above")
+    const = spark.createDataFrame([(c, 1.0) for c in range(4) for _ in range(3)], "y int, x double")
+    assert prep.kruskal_select(const, ["x"], "y", keep="p_below")[0] == []
+    assert prep.kruskal_select(df, [], "y") == ([], [])
+
+
+@pytest.mark.parametrize("drop", ["largest", "all"])
+def test_vif_names_what_stays(spark, drop):
+    rnd = random.Random(2)
+    a, b = [rnd.gauss(0, 1) for _ in range(200)], [rnd.gauss(0, 1) for _ in range(200)]
+    rows = [(x, y, y, 0.0) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, z double")
+    kept, vifs = prep.vif_eliminate(df, ["a", "b", "c"], drop=drop)
+    assert kept == (["a", "b"] if drop == "largest" else ["a"])
+    assert vifs["a"] == pytest.approx(1, abs=0.1)
+    assert prep.vif_eliminate(df, ["a", "b", "z"], drop=drop)[0] == ["a", "b"]
+    assert prep.vif_eliminate(df, ["z"], drop=drop) == ([], {})
+    assert prep.vif_eliminate(df, [], drop=drop) == ([], {})
+
+
+def test_vif_equals_least_squares(spark):
+    import numpy as np
+    r = np.random.default_rng(0)
+    x = r.normal(size=(300, 5))
+    x[:, 4] = x[:, 0] + 0.5 * x[:, 1] + 0.3 * r.normal(size=300)
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double, e double")
+    _, vifs = prep.vif_eliminate(df, list("abcde"), max_vif=float("inf"))
+    for i, n in enumerate("abcde"):
+        others = np.delete(x, i, 1)
+        rest = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert vifs[n] == pytest.approx((x[:, i] ** 2).sum() / (rest ** 2).sum(), rel=1e-6)
+
+
+def test_synthetic_rows_expand_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prep, "SYNTHETIC_BLOCK", 3)
+    rows = [(i, i, f"{i}", "devel" if i < 40 else "test", float(i), i % 2 if i < 40 else int(i >= 90)) for i in range(140)]
+    rows = [r if not (r[3] == "test" and r[5] == 1 and r[0] >= 110) else (*r[:5], 0) for r in rows]
+    df = spark.createDataFrame(rows, "subject_id long, hadm_id long, rid string, split string, x double, y int")
+    syn = prep.resample_to_reference(df, ["x"], "y", ["y"], subsets=("test",)).where("subject_id = 99999")
+    # class 1: 20 of 100 test rows against a half of devel: ceil(0.6 * 20) = 12 new rows, in four blocks
+    ids = sorted(r.rid for r in syn.collect())
+    assert len(ids) == len(set(ids)) == 12 and all(f"|{n}" in "".join(i[-3:] for i in ids) for n in (1, 12))
+
+
+def test_draws_use_sixty_bits(spark):
+    r = spark.range(200).select(prep.hash60("id").alias("h")).agg(F.max("h"), F.min("h")).first()
+    assert r[0] > 1 << 58 and r[0] < 1 << 60 and r[1] >= 0
+
+
+def test_knn_is_exact_with_cells_and_parts(spark):
+    import numpy as np
+
+    from wardspark.operators import models
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(c * 4, 1, (60, 3)) for c in range(4)] + [np.zeros((40, 3))])
+    df = spark.createDataFrame([(i, [float(x) for x in row], i % 3) for i, row in enumerate(v)], "id long, vec array<double>, label int")
+    for p in (1.0, 2.0):
+        got = {}
+        for row in models.knn_neighbors(df.where("id % 4 != 0"), df.where("id % 4 = 0"), k=4, p=p, rows_per_part=16).collect():
+            got.setdefault(row.test_id, []).append((row.rank, row.train_id))
+        train = [i for i in range(len(v)) if i % 4]
+        for i in range(0, len(v), 4):
+            d = (np.abs(v[train] - v[i]) ** p).sum(1)
+            want = [train[j] for j in np.lexsort((train, d))[:4]]
+            assert [t for _, t in sorted(got[i])] == want
+    assert models.knn_neighbors(df.where("false"), df, k=2).count() == 0

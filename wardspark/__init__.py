@@ -6,7 +6,6 @@ functions/   scalar column expressions (unit conversion, baseline creatinine, st
 sources/     scans and sinks (CSV with schema, snapshot files with sentinels, per-hour / per-visit sinks)
 operators/   align, staging, snapshot, profile, prep, score, models
 plans/       composite pipelines and the registered query catalog (Spark + equivalent SQL)
-streaming/   the reference has no streaming logic; see the module docstring
 """
 
 from wardspark.session import get_session, checkpoint_dir, materialize  # noqa: F401

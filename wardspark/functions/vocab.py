@@ -49,6 +49,9 @@ LAB_ITEMS = [
     51087, 50828, 50920, 51233, 51082, 51246, 50819, 51143, 51251, 51255, 51137,
     51252, 51100,
 ]
+# Lab items that the modelling data leaves out: estimated GFR, urine bilirubin and blood, ventilator, macrocytes,
+# specimen type, urine appearance, microcytes, intubated, nitrite.
+LEFT_OUT_ITEMS = [50920, 51464, 51466, 50828, 51246, 50800, 51506, 51252, 50812, 51487]
 # Validity bounds [low, high] by chart category or lab item id; None = no bound on that side.
 VALIDITY_BOUNDS = {
     "WEIGHT": (None, None), "HEIGHT": (None, None), "SYSTOLIC BP": (30, 305), "DIASTOLIC BP": (20, 180),

@@ -1,17 +1,17 @@
 """Classifiers, k-nearest neighbours, random trials and best-trial selection (inventory M1–M3, M13, M14, O3).
 
-Fitting is Spark ML (distributed estimators); the driver only loops over trials, each trial being an ordinary
-distributed fit. k-NN is exact and blocked: test and training rows are hashed into blocks, each (test block,
-training block) pair is one cogroup computed with numpy inside the task, which emits only the k best
-candidates per test row; the final top-k per test row is a window over at most blocks x k candidates.
+Fitting is Spark ML (distributed estimators); the driver starts a few trials at a time, each an ordinary distributed
+fit. k-NN is exact: training rows lie in cells around pivots, and a test row meets only the cells that the triangle
+inequality cannot rule out; the distances of a meeting are computed with numpy inside the task.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from wardspark.operators.prep import hash32
 from wardspark.operators.score import confusion, macro_f1_loss
+from wardspark.session import materialize
 
 MODEL_NAMES = ["logistic", "linear_svc", "gbt", "tree", "naive_bayes", "random_forest", "mlp"]
+PARALLEL_FITS = 4
 
 
 def classifier(name: str, params: dict | None = None, n_features: int | None = None, n_classes: int = 4,
@@ -69,60 +71,130 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
 def evaluate_models(train: DataFrame, test: DataFrame, features: list[str], label: str, names=MODEL_NAMES,
                     n_classes: int = 4) -> list[tuple]:
     """M2: fit every classifier and score it on ``test``: (model, macro F1, accuracy)."""
-    rows = []
-    for name in names:
+    def one(name):
         pred = fit_predict(train, test, features, label, name, n_classes=n_classes)
         conf = confusion(pred, n_classes)
         loss = macro_f1_loss(conf).first()["loss"]
         acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()["a"]
-        rows.append((name, -loss, acc))
-    return rows
-
-
-# ---- M3 exact blocked k-NN ---------------------------------------------------------------------------------------
-
-def _knn_block(k: int, p: float):
-    def fn(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        cols = ["test_id", "train_id", "dist", "label"]
-        if test.empty or train.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "dist" else "int64") for c in cols})
-        a = np.stack(test["vec"].to_numpy()).astype(np.float64)
-        b = np.stack(train["vec"].to_numpy()).astype(np.float64)
-        tid, rid, lab = test["id"].to_numpy(), train["id"].to_numpy(), train["label"].to_numpy()
-        out_t, out_r, out_d, out_l = [], [], [], []
-        kk = min(k, len(b))
-        step = max(1, int(2_000_000 // max(1, len(b) * a.shape[1])))
-        for s in range(0, len(a), step):
-            diff = np.abs(a[s:s + step, None, :] - b[None, :, :])
-            d = np.sqrt((diff * diff).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
-            for i in range(d.shape[0]):
-                order = np.lexsort((rid, d[i]))[:kk]
-                out_t.append(np.full(kk, tid[s + i]))
-                out_r.append(rid[order])
-                out_d.append(d[i][order])
-                out_l.append(lab[order])
-        return pd.DataFrame({"test_id": np.concatenate(out_t), "train_id": np.concatenate(out_r),
-                             "dist": np.concatenate(out_d), "label": np.concatenate(out_l)})
-    return fn
+        return name, -loss, acc
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(one, names))
+
+
+# ---- M3 exact k-NN with triangle pruning ----------------------------------------------------------------------------
+
+MOST_PIVOTS = 1024
+
+
+def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Minkowski distances of all rows of ``a`` to all rows of ``b``, in steps of bounded memory."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, int(2_000_000 // max(1, len(b) * a.shape[1])))
+    for s in range(0, len(a), step):
+        diff = np.abs(a[s:s + step, None, :] - b[None, :, :])
+        out[s:s + step] = np.sqrt((diff * diff).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
+    return out
+
+
+def _rows_of(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    col = b.column(name) if isinstance(b, pa.RecordBatch) else b[name].combine_chunks()
+    return np.asarray(col.flatten()).reshape(b.num_rows, -1)
+
+
+def _nearest(t: pa.Table, k: int, p: float) -> pa.Table:
+    """The k nearest training rows of each test row of one (cell, part) group."""
+    t = t.combine_chunks()
+    test = np.asarray(t["is_test"])
+    vec, ids, label = _rows_of(t, "vec"), np.asarray(t["id"]), np.asarray(t["label"].fill_null(0))
+    out = {"test_id": [], "train_id": [], "dist": [], "label": []}
+    b = np.flatnonzero(~test)
+    kk = min(k, len(b))
+    for lo in range(0, np.count_nonzero(test) if kk else 0, 256):
+        a = np.flatnonzero(test)[lo:lo + 256]
+        d = _distances(vec[a], vec[b], p)
+        # the k-th distance cuts the block; what is as near or nearer is sorted by (distance, id)
+        cut = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        for i, row in enumerate(d):
+            near = np.flatnonzero(row <= cut[i])
+            near = near[np.lexsort((ids[b[near]], row[near]))][:kk]
+            out["test_id"].append(np.full(len(near), ids[a[i]]))
+            out["train_id"].append(ids[b[near]])
+            out["dist"].append(row[near])
+            out["label"].append(label[b[near]])
+    kind = {"dist": np.float64}
+    return pa.table({c: np.concatenate(x) if x else np.zeros(0, kind.get(c, np.int64)) for c, x in out.items()})
 
 
 def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, p: float = 2.0, id_col="id", vec_col="vec",
-                  label_col="label", rows_per_block: int = 2048) -> DataFrame:
-    """M3 core: the exact k nearest training rows of every test row (Minkowski p), ties by training id.
-    Returns test_id, train_id, dist, label, rank (1..k)."""
-    n_test, n_train = test.count(), train.count()
-    bt, br = max(1, math.ceil(n_test / rows_per_block)), max(1, math.ceil(n_train / rows_per_block))
-    te = test.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")) \
-        .withColumn("tb", F.pmod(hash32("id", seed=1), F.lit(bt)).cast("int")) \
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-    tr = train.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                      F.col(label_col).cast("long").alias("label")) \
-        .withColumn("rb", F.pmod(hash32("id", seed=2), F.lit(br)).cast("int")) \
-        .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))))
-    cand = te.groupBy("tb", "rb").cogroup(tr.groupBy("tb", "rb")).applyInPandas(
-        _knn_block(k, p), "test_id long, train_id long, dist double, label long")
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                  label_col="label", rows_per_part: int = 4096) -> DataFrame:
+    """M3 core: the exact k nearest training rows of every test row (Minkowski p >= 1), ties by training id.
+    Returns test_id, train_id, dist, label, rank (1..k).
+
+    Training rows are assigned to the nearest of at most ``MOST_PIVOTS`` pivots (the rows with the least hashes, about
+    the square root of their number), and each cell knows its radius. A test row first meets its nearest cell; the
+    k-th distance found there bounds the answer, so by the triangle inequality it then meets only cells whose pivot
+    is no farther than that bound plus the radius. A cell is cut into parts of ``rows_per_part`` rows by hash, so a
+    cell of equal vectors is many groups. Work follows the cells met; on data without any structure all are met."""
+    schema = "id long, vec array<double>, label long"
+    tr = materialize(train.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
+                                  F.col(label_col).cast("long").alias("label")), "knn-train")
+    te = materialize(test.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
+                                 F.lit(None).cast("long").alias("label")), "knn-test")
+    n = tr.count()
+    order = "test_id long, train_id long, dist double, label long"
+    if not n:
+        return tr.sparkSession.createDataFrame([], order + ", rank int")
+    chosen = tr.orderBy(hash32("id", seed=2), "id").limit(min(MOST_PIVOTS, max(1, math.isqrt(n)))).select("vec").toArrow()
+    pivots = _rows_of(chosen, "vec")
+
+    def assign(batches):
+        for b in batches:
+            d = _distances(_rows_of(b, "vec"), pivots, p)
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype("int32")),
+                                              pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "far"])
+    tr = materialize(tr.mapInArrow(assign, schema + ", cell int, far double"), "knn-cells")
+    cells = tr.groupBy("cell").agg(F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_part))
+                                   .cast("int").alias("parts")).collect()  # a row per pivot
+    radius, parts = np.full(len(pivots), -1.0), np.zeros(len(pivots), int)
+    for r in cells:
+        radius[r["cell"]], parts[r["cell"]] = r["radius"], r["parts"]
+
+    def visits(batches):
+        """One row per cell part that a test row meets: its nearest cell without a bound, the others within it."""
+        for b in batches:
+            bound = np.asarray(b.column("bound").fill_null(np.inf)) if "bound" in b.schema.names else None
+            d = _distances(_rows_of(b, "vec"), pivots, p)
+            first = np.where(radius >= 0, d, np.inf).argmin(1)
+            own = np.zeros(d.shape, bool)
+            own[np.arange(len(d)), first] = True
+            # the slack absorbs rounding in the distances
+            meet = own if bound is None else (~own & (radius >= 0) & (d - radius <= bound[:, None] * (1 + 1e-9) + 1e-9))
+            row, cell = np.nonzero(meet)
+            count = parts[cell]
+            row, cell = np.repeat(row, count), np.repeat(cell, count)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            for lo in range(0, len(row), 8192):
+                s = slice(lo, lo + 8192)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c).take(pa.array(row[s])) for c in ("id", "vec", "label")), pa.array(cell[s].astype("int32")),
+                     pa.array(part[s].astype("int32"))], ["id", "vec", "label", "cell", "part"])
+
+    # at most one row per pivot
+    by_cell = tr.sparkSession.createDataFrame([(r["cell"], r["parts"]) for r in cells], "cell int, parts int")
+    sized = tr.join(F.broadcast(by_cell), "cell")
+    side = sized.select("id", "vec", "label", "cell", F.pmod(hash32("id", seed=3), F.col("parts")).cast("int").alias("part"),
+                        F.lit(False).alias("is_test"))
+
+    def meet(tests: DataFrame) -> DataFrame:
+        met = tests.mapInArrow(visits, schema + ", cell int, part int").withColumn("is_test", F.lit(True))
+        return met.unionByName(side).groupBy("cell", "part").applyInArrow(lambda t: _nearest(t, k, p), order)
+    near = materialize(meet(te), "knn-first")
+    ranked = Window.partitionBy("test_id").orderBy("dist", "train_id")
+    kth = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(
+        F.col("test_id").alias("id"), F.col("dist").alias("bound"))
+    cand = near.unionByName(meet(te.join(kth, "id", "left")))
+    return cand.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
@@ -170,19 +242,35 @@ def draw_trials(n: int, seed: int = 0, models=MODEL_NAMES) -> list[tuple[int, st
 
 def run_trials(spark, train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 6,
                seed: int = 0, dataset: str = "data", n_classes: int = 4) -> DataFrame:
-    """Fit each drawn trial on ``train``, loss = macro-F1 loss (M10) on ``valid``.
+    """Fit each drawn trial on ``train``, loss = macro-F1 loss (M10) on ``valid``; ``PARALLEL_FITS`` at a time.
     Returns dataset, trial_id, model, params (map), loss."""
-    rows = []
-    for t, m, params in draw_trials(n_trials, seed):
+    def one(trial):
+        t, m, params = trial
         pred = fit_predict(train, valid, features, label, m, params, n_classes)
         loss = macro_f1_loss(confusion(pred, n_classes)).first()["loss"]
-        rows.append((dataset, t, m, {k: str(v) for k, v in params.items()}, float(loss)))
+        return dataset, t, m, {k: str(v) for k, v in params.items()}, float(loss)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        rows = list(pool.map(one, draw_trials(n_trials, seed)))
     return spark.createDataFrame(rows, "dataset string, trial_id int, model string, params map<string,string>, "
                                        "loss double")
 
 
-def best_trial(trials: DataFrame, by=("dataset",), loss="loss") -> DataFrame:
-    """Per group, the trial with the lowest loss (ties: smallest trial id)."""
+def run_grid(spark, data_sets: dict, features: list[str], labels: list[str], n_trials: int = 2, seed: int = 0,
+             n_classes: int = 4) -> DataFrame:
+    """M13 over data sets: for each data hour ``{name: (train, valid)}`` and each label, the trials of that data set."""
+    out = None
+    for name, (train, valid) in data_sets.items():
+        for label in labels:
+            t = run_trials(spark, train, valid, features, label, n_trials, seed, f"{name}_{label}", n_classes)
+            out = t if out is None else out.unionByName(t)
+    return out
+
+
+def best_trial(trials: DataFrame, by=("dataset",), loss="loss", min_estimators: int | None = None) -> DataFrame:
+    """Per group, the trial with the lowest loss (ties: smallest trial id); with ``min_estimators`` only
+    trials whose parameter numTrees is larger count."""
+    if min_estimators is not None:
+        trials = trials.where(F.col("params")["numTrees"].cast("int") > min_estimators)
     order = F.struct(F.col(loss), F.col("trial_id"))
     return trials.groupBy(*by).agg(F.min_by(F.struct(*[c for c in trials.columns if c not in by]), order).alias("b")) \
         .select(*by, "b.*")

@@ -145,6 +145,15 @@ def drop_by_phrase(df: DataFrame, phrases=("pstage", "ptstage"), also=()) -> Dat
     return df.drop(*drop)
 
 
+def model_columns(df: DataFrame, keys=VISIT, hour="hour") -> tuple[DataFrame, list[str]]:
+    """P11 on the wide snapshot: (frame without hour, ethnicity, previous labels and the left-out items, its feature
+    columns). 226 columns become 192, of which 178 are features (ids and forward labels are not)."""
+    from wardspark.functions.vocab import LEFT_OUT_ITEMS, feature_name
+    names = [f"{side}_{feature_name(i)}" for side in ("prior", "cur") for i in LEFT_OUT_ITEMS]
+    out = drop_by_phrase(df, also=(hour, "ethnicity", *names))
+    return out, [c for c in out.columns if c not in keys and "stage" not in c]
+
+
 def select_columns(df: DataFrame, first: list[str], drop=()) -> DataFrame:
     """P10: move ``first`` to the front, drop ``drop``, keep the rest in order."""
     rest = [c for c in df.columns if c not in set(first) | set(drop)]
@@ -158,6 +167,8 @@ def drop_empty_rows(df: DataFrame, features: list[str]) -> DataFrame:
 
 def nonempty_columns(df: DataFrame, features: list[str]) -> list[str]:
     """Names of features with at least one non-null value (one aggregate pass; one count per column)."""
+    if not features:
+        return []
     row = df.agg(*[F.count(c).alias(c) for c in features]).first()
     return [c for c in features if row[c] > 0]
 
@@ -207,6 +218,8 @@ def class_distribution(df: DataFrame, label: str, split="split", reference: str
 
 def column_means(df: DataFrame, features: list[str]) -> dict:
     """Mean of each feature (one aggregate pass); a fitted parameter vector."""
+    if not features:
+        return {}
     row = df.agg(*[F.avg(c).alias(c) for c in features]).first()
     return {c: row[c] for c in features}
 
@@ -217,12 +230,6 @@ def fill(df: DataFrame, values: dict) -> DataFrame:
                        if c in values and values[c] is not None else F.col(c) for c in df.columns])
 
 
-def mean_impute(fit_on: DataFrame, features: list[str], *others: DataFrame):
-    """Fit means on ``fit_on`` and apply them to it and to ``others``. Returns (means, frames...)."""
-    means = column_means(fit_on, features)
-    return (means, fill(fit_on, means), *[fill(o, means) for o in others])
-
-
 def hierarchical_impute(df: DataFrame, features: list[str], keys=VISIT, normals: dict | None = None) -> DataFrame:
     """Value -> mean of the visit over its hours -> mean over visits of the visit means -> normal value.
 
@@ -243,24 +250,9 @@ def hierarchical_impute(df: DataFrame, features: list[str], keys=VISIT, normals:
     return vm.select(*cols)
 
 
-def normals_vector(features: list[str], normals: dict, category_means: dict | None = None,
-                   item_means: dict | None = None) -> dict:
-    """Normal value per feature, falling back to the category mean (A13) then the item mean."""
-    out = {}
-    for f in features:
-        base = f.split("_", 1)[1] if f.startswith(("prior_", "cur_")) else f
-        v = normals.get(base)
-        if v is None and category_means:
-            v = category_means.get(base)
-        if v is None and item_means:
-            v = item_means.get(base)
-        out[f] = v
-    return out
-
-
 def normals_lookup(normals: DataFrame, category_means: DataFrame | None = None,
                    item_means: DataFrame | None = None) -> DataFrame:
-    """T9 as a join: feature -> coalesce(normal, category mean (A13), item mean (A6)).
+    """Feature -> coalesce(normal, category mean (A13), item mean (A6)).
 
     ``normals``: feature, normal; ``category_means``: feature, category_mean; ``item_means``: feature,
     item_mean. All three have one row per feature."""
@@ -348,11 +340,12 @@ def label_extract(df: DataFrame, features: list[str], labels=("stage_6", "stage_
     return df.select(*[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).cast("int").alias(c) for c in labels])
 
 
-def stage_trajectory(df: DataFrame, visits: list, keys=VISIT, hour="hour", label="stage_48") -> DataFrame:
-    """Stage by hour with the given visits as columns (explicit pivot list)."""
-    vid = F.concat_ws("_", *[F.col(k).cast("string") for k in keys])
-    names = ["_".join(map(str, v)) for v in visits]
-    return df.withColumn("_v", vid).groupBy(hour).pivot("_v", names).agg(F.max(label))
+def stage_trajectory(df: DataFrame, keys=VISIT, hour="hour", label="stage_48") -> DataFrame:
+    """Per visit, its hours and stages in order of the hour, as two arrays (the reference's visits as columns
+    would make the table as wide as there are visits)."""
+    steps = F.sort_array(F.collect_list(F.struct(F.col(hour).alias("hour"), F.col(label).alias("stage"))))
+    return df.groupBy(*keys).agg(steps.alias("_s")).select(
+        *keys, F.col("_s.hour").alias("hours"), F.col("_s.stage").alias("stages"))
 
 
 def stack_hours(*frames: DataFrame) -> DataFrame:
@@ -421,7 +414,8 @@ def kruskal_select(df: DataFrame, features: list[str], label: str, threshold: fl
     that has no value in one of ``classes`` has no test: p is None and the feature is dropped either way. So is one
     whose values are all equal; the reference's test raises there and p counts as 0."""
     stats, kept = [], []
-    rows = {r["feature"]: r for r in kruskal_h(df.where(F.col(label).isin(list(classes))), features, label).collect()}
+    tested = kruskal_h(df.where(F.col(label).isin(list(classes))), features, label).collect() if features else []
+    rows = {r["feature"]: r for r in tested}
     for f in features:
         r = rows.get(f)
         if r is None or r["dof"] < len(classes) - 1:
@@ -487,6 +481,8 @@ def vif_eliminate(df: DataFrame, features: list[str], max_vif: float = 5.0, drop
     while it is at least ``max_vif``; ``drop='all'`` drops all such features at once, in rounds."""
     import numpy as np
     p = len(features)
+    if not p:
+        return [], {}
     g = np.zeros((p, p))
     for r in gram_matrix(df, features).collect():
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]

@@ -56,7 +56,7 @@ def visit_stage_counts(staged: DataFrame, keys=VISIT, ratio="ratio", age="age",
 
 
 def minors_skipped(staged: DataFrame, age="age", min_age=18) -> DataFrame:
-    """A12 side count: measurements skipped because the patient is under ``min_age``."""
+    """A12 side count: one row, the measurements skipped because the patient is under ``min_age``."""
     return staged.agg(F.count_if(F.col(age) < min_age).alias("skipped"))
 
 

@@ -190,6 +190,33 @@ def q_a12(spark, d):
     return staging.visit_stage_counts(staged(spark, d))
 
 
+# staged measurements of all ages: the age tests of A12 have something to skip
+_ALL_STAGED = """SELECT a.subject_id, a.hadm_id, a.age, l.valuenum / ({b}) AS ratio
+  FROM fx_adm_age a JOIN fx_labevents l ON a.subject_id = l.subject_id AND a.hadm_id = l.hadm_id
+  WHERE l.itemid = 50912 AND l.valuenum IS NOT NULL AND a.age > 0""".replace("{b}", _baseline_sql())
+
+
+def staged_all_ages(spark, d):
+    ap = align.admissions_with_age(fx.fx_admissions(spark, d), fx.fx_patients(spark, d)).where("age > 0")
+    lab = fx.fx_labevents(spark, d).where("itemid = 50912 AND valuenum IS NOT NULL")
+    return staging.add_stage(ap.join(lab, on=VISIT))
+
+
+@register("a12_all_ages_stage_counts", sql(f"""
+WITH s AS ({_ALL_STAGED})
+SELECT subject_id, hadm_id, CAST(count(*) FILTER (WHERE ratio < 1.5) AS BIGINT) AS neg_aki,
+       CAST(count(*) FILTER (WHERE ratio >= 1.5) AS BIGINT) AS pos_aki,
+       CAST(count(*) FILTER (WHERE ratio >= 1.5 AND ratio < 2.0) AS BIGINT) AS stage1,
+       CAST(count(*) FILTER (WHERE ratio >= 2.0 AND ratio < 3.0) AS BIGINT) AS stage2,
+       CAST(count(*) FILTER (WHERE ratio >= 3.0) AS BIGINT) AS stage3,
+       (SELECT CAST(count(*) AS BIGINT) FROM s WHERE age < 18) AS skipped
+FROM s WHERE age >= 18 GROUP BY subject_id, hadm_id""".replace("\nWITH s AS (", "\nSELECT * FROM (WITH s AS (") + ")"))
+def q_a12_all(spark, d):
+    """A12 over patients of all ages: the counts per adult visit, and how many measurements of minors were skipped."""
+    s = staged_all_ages(spark, d)
+    return staging.visit_stage_counts(s).crossJoin(F.broadcast(staging.minors_skipped(s)))
+
+
 @register("a5_stage_by_hour", sql("""
 SELECT time, CAST(count(*) FILTER (WHERE stage = 0) AS BIGINT) AS stage0,
        CAST(count(*) FILTER (WHERE stage = 1) AS BIGINT) AS stage1,

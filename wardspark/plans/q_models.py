@@ -70,29 +70,63 @@ def q_m3(spark, d):
     return models.knn_vote(nb, "uniform")
 
 
-@register("m3_knn_distance_weighted_p1")
+_KNN_W_SQL = _KNN_SQL.replace("SELECT test_id, label, count(*) AS w FROM (", "SELECT test_id, label, sum(CASE WHEN z THEN "
+                              "CAST(dist = 0 AS DOUBLE) ELSE 1 / dist END) AS w FROM (SELECT *, bool_or(dist = 0) OVER "
+                              "(PARTITION BY test_id) AS z FROM (").replace(
+    "SELECT test_id, label, row_number()", "SELECT test_id, label, dist, row_number()").replace(
+    "sqrt(list_sum(list_transform(range(1, len(t.v) + 1), lambda i: (t.v[i] - r.v[i]) * (t.v[i] - r.v[i]))))",
+    "list_sum(list_transform(range(1, len(t.v) + 1), lambda i: abs(t.v[i] - r.v[i])))").replace(
+    f"WHERE rk <= {K} GROUP BY ALL)", "WHERE rk <= 7) GROUP BY ALL)")
+
+
+@register("m3_knn_distance_weighted_p1", _KNN_W_SQL)
 def q_m3w(spark, d):
     train, test = _embeddings(spark, d)
     nb = models.knn_neighbors(train, test, k=7, p=1.0)
     return models.knn_vote(nb, "distance")
 
 
-def _trials(spark, d, n=6):
-    devel, valid, _ = _splits(spark, d)
+# the trial table of O3: models and losses by rule from the tables, so that the choice has an oracle
+@register("o3_best_trial_rule", with_fixtures("""
+SELECT p_brand AS dataset, arg_min(p_partkey, (loss, p_partkey)) AS trial_id, min(loss) AS loss FROM (
+  SELECT p_brand, CAST(p_partkey AS INT) AS p_partkey, CAST(p_retailprice AS DOUBLE) AS loss FROM part)
+GROUP BY p_brand"""))
+def q_o3(spark, d):
+    """Arg-min per group over a deterministic trial table: parts as trials, brands as data sets, prices as losses."""
+    part = fx.table(spark, d, "part")
+    trials = part.select(F.col("p_brand").alias("dataset"), F.col("p_partkey").cast("int").alias("trial_id"),
+                         F.lit("tree").alias("model"), F.create_map(F.lit("numTrees"), F.lit("10")).alias("params"),
+                         F.col("p_retailprice").cast("double").alias("loss"))
+    return models.best_trial(trials).select("dataset", "trial_id", "loss")
+
+
+def _trials(spark, splits, n=6):
+    devel, valid, _ = splits
     return models.run_trials(spark, devel, valid, MODEL_FEATS, LABEL, n_trials=n, dataset="hour_all_label_48")
 
 
 @register("m13_random_trials")
 def q_m13(spark, d):
-    return _trials(spark, d)
+    return _trials(spark, _splits(spark, d))
+
+
+@register("m13_trial_grid")
+def q_m13_grid(spark, d):
+    """Trials for every (data hour, label) data set: data up to hours 12 and 24, stage within 24 and 48 hours."""
+    from wardspark.session import materialize
+    labels = ["stage_24", "stage_48"]
+    data = materialize(imputed(spark, d).select("hour", "split", *MODEL_FEATS, *labels), "model_grid")
+    sets = {f"hour_{h}": tuple(data.where((F.col("split") == s) & (F.col("hour") <= h)) for s in ("devel", "valid"))
+            for h in (12, 24)}
+    return models.run_grid(spark, sets, MODEL_FEATS, labels)
 
 
 @register("m14_best_trial_refit")
 def q_m14(spark, d):
     """Best trial (O3 arg-min) refitted on devel and scored on test: dataset, trial, model, loss, test F1."""
-    trials = _trials(spark, d)
-    best = models.best_trial(trials).first()
-    devel, _, test = _splits(spark, d)
+    splits = _splits(spark, d)
+    best = models.best_trial(_trials(spark, splits)).first()
+    devel, _, test = splits
     pred = models.fit_predict(devel, test, MODEL_FEATS, LABEL, best["model"], dict(best["params"]))
     from wardspark.operators.score import confusion, macro_f1_loss
     f1 = -macro_f1_loss(confusion(pred, 4)).first()["loss"]

@@ -223,7 +223,7 @@ def q_t8(spark, d):
 
 
 @register("t9_normals_vector", sql(
-    "SELECT v.feature, " + R6("coalesce(v.normal, c.category_mean)") + " AS value FROM (VALUES "
+    "SELECT v.feature, " + R6("coalesce(v.normal, c.category_mean, i.item_mean)") + " AS value FROM (VALUES "
     + ", ".join(f"('{f}', {('NULL' if NORMAL_VALUES[f] is None else repr(float(NORMAL_VALUES[f])) + '::DOUBLE')})"
                 for f in ALL_FEATURES)
     + """) AS v(feature, normal) LEFT JOIN (
@@ -231,13 +231,18 @@ def q_t8(spark, d):
       FROM (SELECT itemid, avg(average) AS avg_average, count(average) AS n_average FROM (
               SELECT subject_id, hadm_id, itemid, time, avg(valuenum) AS average FROM fx_timed GROUP BY ALL)
             GROUP BY itemid) m JOIN vocab vo ON vo.itemid = m.itemid WHERE vo.source = 'chart'
-      GROUP BY vo.feature) c ON c.feature = v.feature"""))
+      GROUP BY vo.feature) c ON c.feature = v.feature LEFT JOIN (
+      SELECT CAST(itemid AS VARCHAR) AS feature, avg(average) AS item_mean FROM (
+        SELECT subject_id, hadm_id, itemid, time, avg(valuenum) AS average FROM fx_timed GROUP BY ALL)
+      GROUP BY itemid) i ON i.feature = v.feature"""))
 def q_t9(spark, d):
     from wardspark.functions.vocab import item_vocab, normals_table
     from wardspark.operators import profile
     from wardspark.plans.q_profile import item_means
-    cats = profile.weighted_category_mean(item_means(spark, d), item_vocab(spark))
-    vec = prep.normals_lookup(normals_table(spark), cats)
+    means = item_means(spark, d)
+    cats = profile.weighted_category_mean(means, item_vocab(spark))
+    items = means.select(F.col("itemid").cast("string").alias("feature"), F.col("avg_average").alias("item_mean"))
+    vec = prep.normals_lookup(normals_table(spark), cats, items)
     return vec.select("feature", r6("value").alias("value"))
 
 
@@ -439,6 +444,13 @@ def q_j12(spark, d):
                                      for c in cols]))
 
 
+@register("t15_stage_trajectory", sql(
+    "SELECT subject_id, hadm_id, list(hour ORDER BY hour) AS hours, list(stage_48 ORDER BY hour) AS stages FROM mt "
+    "GROUP BY subject_id, hadm_id"))
+def q_t15(spark, d):
+    return prep.stage_trajectory(model_table(spark, d))
+
+
 @register("t14_prepare_pipeline")
 def q_t14(spark, d):
     """T5 -> P13 -> T1 -> T7 -> T6 -> T2 -> T10 (labels 6, 24, 48, 72) on the model table (rows-only check)."""
@@ -447,3 +459,54 @@ def q_t14(spark, d):
     data, feats = prep.prepare(base, split_table(spark, d), FEATS, LABELS, kruskal=True, vif=True,
                                normals=FX_NORMALS, resample=True, seed=SEED)
     return data
+
+
+def _wide_features():
+    from wardspark.functions.vocab import LEFT_OUT_ITEMS
+    out = {feature_name(i) for i in LEFT_OUT_ITEMS}
+    return [f"{side}_{f}" for side in ("prior", "cur") for f in ALL_FEATURES if f not in out]
+
+
+def _wide_sql():
+    from wardspark.plans.q_snapshot import _snapshot_sql
+    cols = _wide_features()
+    some = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in cols)
+    total = " + ".join(f"coalesce({c}, 0)" for c in cols)
+    return (f"SELECT subject_id, hadm_id, hour, age, gender, {some} AS n_features, {R6(total)} AS total, "
+            + ", ".join(LABELS) + f" FROM ({_snapshot_sql(emit_empty=False)})")
+
+
+def snapshot_frame(spark, d):
+    """The by-hour snapshot at its full width, written once, with an extra row id."""
+    from wardspark.plans.q_snapshot import snapshot_inputs
+    from wardspark.session import materialize
+    hourly, vis, nz = snapshot_inputs(spark, d)
+    return materialize(snap.snapshot(hourly, vis, nz, hours=H), "snapshot")
+
+
+@register("p11_snapshot_model_columns", _wide_sql())
+def q_p11_wide(spark, d):
+    """The snapshot without left-out columns (226 to 192, 178 features): per row, its features' count and sum."""
+    df = snapshot_frame(spark, d)
+    kept, feats = prep.model_columns(df)
+    if (len(df.columns), len(kept.columns), len(feats)) != (226, 192, 178):
+        raise ValueError("the snapshot's columns have changed")
+    values = [F.col(c) for c in feats if c.startswith(("prior_", "cur_"))]
+    count = sum((c.isNotNull().cast("long") for c in values[1:]), values[0].isNotNull().cast("long"))
+    total = sum((F.coalesce(r6(c), F.lit(0.0)) for c in values[1:]), F.coalesce(r6(values[0]), F.lit(0.0)))
+    return prep.model_columns(df.withColumn("hour_", F.col("hour")))[0].select(
+        *VISIT, F.col("hour_").alias("hour"), "age", "gender", count.alias("n_features"), r6(total).alias("total"), *LABELS)
+
+
+@register("t14_prepare_snapshot_width")
+def q_t14_wide(spark, d):
+    """The composite preparation on the snapshot's 178 features: split, empty columns of devel, Kruskal, normals, mean,
+    VIF and resampling for each label. Most fixture features have no normal or no value, so every fallback is used."""
+    from wardspark.session import materialize
+    df = snapshot_frame(spark, d)
+    kept, feats = prep.model_columns(df.withColumn("hour_", F.col("hour")))
+    feats = [c for c in feats if c != "hour_"]
+    base = materialize(kept.withColumnRenamed("hour_", "hour"), "snapshot-model")
+    normals = {f"{side}_{f}": v for f, v in NORMAL_VALUES.items() for side in ("prior", "cur")}
+    data, _ = prep.prepare(base, split_table(spark, d), feats, LABELS, kruskal=True, vif=True, normals=normals, seed=SEED)
+    return data

@@ -43,8 +43,8 @@ def _stats_sql(src: str, by: str) -> str:
         FROM (SELECT itemid, {by}, count(*) AS n FROM {src} GROUP BY ALL) GROUP BY itemid"""
 
 
-def _stats_out(df):
-    return df.select("itemid", F.col("count").cast("long").alias("count"), F.col("num").cast("long").alias("num"),
+def _stats_out(df, *more):
+    return df.select("itemid", *more, F.col("count").cast("long").alias("count"), F.col("num").cast("long").alias("num"),
                      F.col("min").cast("long").alias("min"), r6("avg").alias("avg"),
                      F.col("max").cast("long").alias("max"), r6("sd").alias("sd"))
 
@@ -121,7 +121,7 @@ def q_a9(spark, d):
     defs = fx.table(spark, d, "part").select(F.col("p_partkey").alias("itemid"), F.col("p_name").alias("label"),
                                              F.col("p_brand").alias("brand"))
     st = profile.item_statistics(line_items(spark, d), defs, def_cols=("label", "brand"))
-    return _stats_out(st).join(st.select("itemid", "label", "brand"), on="itemid")
+    return _stats_out(st, "label", "brand")
 
 
 @register("a10_distinct_item_units", sql("SELECT DISTINCT itemid, valueuom FROM fx_line_events"))

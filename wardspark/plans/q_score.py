@@ -186,3 +186,63 @@ def q_m11(spark, d):
 def q_m12(spark, d):
     rep = score.metric_report(score.scores(score.confusion(predictions(spark, d), N)))
     return _round(rep, [f"class_{c}" for c in range(N)] + ["average"])
+
+
+_HOURS = list(range(0, 25))
+
+
+def _metric_values(src):
+    return (f"SELECT * FROM (SELECT * EXCLUDE (tp, fp, tn, fn), unnest(['acc','ppv','npv','sen','spe','f1']) AS metric, "
+            "unnest([(tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), tp::DOUBLE / nullif(tp + fp, 0), "
+            "tn::DOUBLE / nullif(tn + fn, 0), tp::DOUBLE / nullif(tp + fn, 0), tn::DOUBLE / nullif(tn + fp, 0), "
+            f"2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0)]) AS value FROM {src})")
+
+
+@register("m12_hours_report", sql(
+    "SELECT o.class, o.metric, "
+    + ", ".join(f"{R6(f'max(h.value) FILTER (WHERE h.hour = {h})')} AS hour_{h}" for h in _HOURS)
+    + f", {R6('max(o.value)')} AS overall FROM ({_metric_values('conf')}) o LEFT JOIN ({_metric_values('conf_h')}) h "
+    "ON h.class = o.class AND h.metric = o.metric GROUP BY o.class, o.metric"))
+def q_m12_hours(spark, d):
+    p = predictions(spark, d)
+    rep = score.hours_report(score.confusion(p, N, by=("hour",)), score.confusion(p, N), _HOURS)
+    return _round(rep, [*(f"hour_{h}" for h in _HOURS), "overall"])
+
+
+@register("m12_auc_report", sql(
+    f"SELECT h.class, {R6('h.auc')} AS hour_mean, {R6('o.auc')} AS overall, coalesce(s.n, 0) AS support FROM "
+    f"(SELECT class, avg(auc) AS auc FROM ({_auc_sql('hour')}) GROUP BY class) h "
+    f"LEFT JOIN ({_auc_sql('')}) o ON o.class = h.class "
+    "LEFT JOIN (SELECT label AS class, CAST(count(*) AS BIGINT) AS n FROM pr GROUP BY label) s ON s.class = h.class"))
+def q_m12_auc(spark, d):
+    p = predictions(spark, d)
+    rep = score.auc_report(score.roc_auc(p, N, by=("hour",)), score.roc_auc(p, N), score.support(p))
+    return _round(rep, ["hour_mean", "overall"])
+
+
+@register("m6_scores_with_auc", sql(
+    f"SELECT s.* EXCLUDE (acc), {R6('a.auc')} AS auc FROM ({_scores_sql('conf', 'class')}) s "
+    f"LEFT JOIN ({_auc_sql('')}) a ON a.class = s.class"))
+def q_m6_auc(spark, d):
+    p = predictions(spark, d)
+    sc = score.scores_with_auc(_counts(score.confusion(p, N)), score.roc_auc(p, N))
+    return _round(sc, ["ppv", "npv", "sen", "spe", "f1", "auc"])
+
+
+@register("m12_model_report", sql(
+    "SELECT model, " + R6("avg(f1)") + " AS average, "
+    + ", ".join(f"{R6(f'max(f1) FILTER (WHERE class = {c})')} AS class_{c}" for c in range(N))
+    + " FROM (SELECT model, class, 2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0) AS f1 FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, c.class, count(*) FILTER (WHERE i.{m} = c.class AND i.stage_48 = c.class) AS tp, "
+        f"count(*) FILTER (WHERE i.{m} = c.class AND i.stage_48 <> c.class) AS fp, "
+        f"count(*) FILTER (WHERE i.{m} <> c.class AND i.stage_48 = c.class) AS fn "
+        "FROM imp i CROSS JOIN classes c GROUP BY c.class" for m in ("stage_6", "stage_24")) + ")) GROUP BY model"))
+def q_m12_models(spark, d):
+    """Two rules as models: the stage within 6 and within 24 hours as predictions of the stage within 48."""
+    m = imputed(spark, d)
+    rows = m.select(F.col("stage_48").alias("label"), F.explode(F.array(
+        F.struct(F.lit("stage_6").alias("model"), F.col("stage_6").alias("prediction")),
+        F.struct(F.lit("stage_24").alias("model"), F.col("stage_24").alias("prediction")))).alias("x")).select("label", "x.*")
+    rep = score.model_report(score.scores(score.confusion(rows, N, by=("model",))), N)
+    return _round(rep, ["average", *(f"class_{c}" for c in range(N))])
