@@ -132,22 +132,25 @@ def features(vectors: np.ndarray, place: np.ndarray, sign: np.ndarray, data: np.
     full = np.flatnonzero(size)
     if not len(full):
         return out
-    first, count = at[:-1][full], size[full][:, None]
+    first, count = at[:-1][full], size[full]
     v = vectors[w]
-    out[full, :DIMS] = np.add.reduceat(v, first, axis=0) / count
-    out[full, DIMS:2 * DIMS] = np.add.reduceat(v * v, first, axis=0) / count
+    ones = np.ones(int(count.max()), np.float32)
+    for r, lo, k in zip(full.tolist(), first.tolist(), count.tolist(), strict=True):
+        x = v[lo:lo + k]
+        out[r, :DIMS] = ones[:k] @ x
+        out[r, DIMS:2 * DIMS] = np.einsum("ij,ij->j", x, x)
+        out[r, 3 * DIMS] = np.einsum("ij,ij->", x[:-1], x[1:])
+    out[full, :2 * DIMS] /= count[:, None]
+    out[full, 3 * DIMS] /= count
     row = np.repeat(np.arange(n), size)
     own = np.zeros(n * DIMS)
     for j in range(NONZERO):
         own += np.bincount(row * DIMS + place[w, j], sign[w, j], n * DIMS)
     own = own.reshape(n, DIMS) / np.maximum(size, 1)[:, None]
     out[:, 2 * DIMS:3 * DIMS] = own
-    near = np.zeros(len(w), np.float32)
-    near[:-1] = (v[:-1] * v[1:]).sum(1)
     same = np.zeros(len(w), np.float32)
-    same[:-1] = w[:-1] == w[1:]
-    out[full, 3 * DIMS] = np.add.reduceat(near, first) / count[:, 0]
-    out[full, 3 * DIMS + 1] = np.add.reduceat(same, first) / count[:, 0]
+    same[:-1] = (w[:-1] == w[1:]) & (row[:-1] == row[1:])
+    out[full, 3 * DIMS + 1] = np.add.reduceat(same, first) / count
     out[:, 3 * DIMS + 2] = np.linalg.norm(own, axis=1)
     out[:, 3 * DIMS + 3] = np.log1p(size)
     return out
