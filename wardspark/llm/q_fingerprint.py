@@ -14,6 +14,10 @@ from wardspark.llm.common import table
 from wardspark.session import materialize
 
 
+#: Stands for a null id inside the query.
+NO_ID = -(1 << 63)
+
+
 def next_ids(ids: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     """(doc_id, next_id, prev_id, prev_n) of a table (doc_id, n), circular, without one window over all rows.
 
@@ -39,15 +43,15 @@ def next_ids(ids: DataFrame, per_bucket: int = 100_000) -> DataFrame:
 
 def op10_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"))
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = materialize(docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"),
                                                  F.count(F.lit(1)).alias("rows")), "fp-ids")
     repeated = bool(ids.where("rows > 1").limit(1).count())
     near = materialize(next_ids(ids.drop("rows")), "fp-next")
     own = fp.with_anchors(docs, F.col("text"), "anchors")
-    own = own.select("own_id", "doc_id", "text", fp.sketch(F.col("anchors")).alias("sketch")).join(near, "doc_id")
-    # the edited text takes its end from the next document, which sends what its predecessor needs
+    own = own.select("doc_id", "text", fp.sketch(F.col("anchors")).alias("sketch")).join(near, "doc_id")
+    # the edited text takes its end from the next document, which sends what its predecessor needs; both read the
+    # same columns of the same shuffle, so the texts move once
     giver = own
     if repeated:
         giver = own.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("row = 1")
@@ -60,7 +64,7 @@ def op10_fingerprints(spark, sf_dir):
     rows = fp.with_anchors(edited, F.col("edited"), "edited_anchors")
     rows = rows.withColumn("edited_sketch", fp.sketch(F.col("edited_anchors")))
     return rows.select(
-        F.col("own_id").alias("doc_id"), n.cast("long").alias("n_chars"),
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), fp.fingerprint(F.col("sketch")).alias("fingerprint"),
         fp.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         fp.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
