@@ -104,10 +104,3 @@ def page(df: DataFrame, order: list[str], offset: int = 0, limit: int | None = N
     if limit is not None:
         out = out.limit(limit)
     return out
-
-
-def point_lookup(df: DataFrame, subject: int, visit: int, hour: int, items: list[int],
-                 time="time", item="itemid") -> DataFrame:
-    """All rows of one visit and hour for a list of items (conjunction pushed to the scan)."""
-    return df.where((F.col("subject_id") == subject) & (F.col("hadm_id") == visit)
-                    & (F.col(time) == hour) & F.col(item).isin(items))

@@ -240,30 +240,34 @@ def draw_trials(n: int, seed: int = 0, models=MODEL_NAMES) -> list[tuple[int, st
     return out
 
 
-def run_trials(spark, train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 6,
-               seed: int = 0, dataset: str = "data", n_classes: int = 4) -> DataFrame:
-    """Fit each drawn trial on ``train``, loss = macro-F1 loss (M10) on ``valid``; ``PARALLEL_FITS`` at a time.
-    Returns dataset, trial_id, model, params (map), loss."""
-    def one(trial):
-        t, m, params = trial
+_TRIALS = "dataset string, trial_id int, model string, params map<string,string>, loss double"
+
+
+def _losses(jobs: list[tuple], features: list[str], n_classes: int) -> list[tuple]:
+    """(dataset, trial, model, params, loss) of (dataset, train, valid, label, trial) jobs, a few fits at a time."""
+    def one(job):
+        dataset, train, valid, label, (t, m, params) = job
         pred = fit_predict(train, valid, features, label, m, params, n_classes)
         loss = macro_f1_loss(confusion(pred, n_classes)).first()["loss"]
         return dataset, t, m, {k: str(v) for k, v in params.items()}, float(loss)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        rows = list(pool.map(one, draw_trials(n_trials, seed)))
-    return spark.createDataFrame(rows, "dataset string, trial_id int, model string, params map<string,string>, "
-                                       "loss double")
+        return list(pool.map(one, jobs))
+
+
+def run_trials(spark, train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 6,
+               seed: int = 0, dataset: str = "data", n_classes: int = 4) -> DataFrame:
+    """Fit each drawn trial on ``train``, loss = macro-F1 loss (M10) on ``valid``.
+    Returns dataset, trial_id, model, params (map), loss."""
+    jobs = [(dataset, train, valid, label, t) for t in draw_trials(n_trials, seed)]
+    return spark.createDataFrame(_losses(jobs, features, n_classes), _TRIALS)
 
 
 def run_grid(spark, data_sets: dict, features: list[str], labels: list[str], n_trials: int = 2, seed: int = 0,
              n_classes: int = 4) -> DataFrame:
     """M13 over data sets: for each data hour ``{name: (train, valid)}`` and each label, the trials of that data set."""
-    out = None
-    for name, (train, valid) in data_sets.items():
-        for label in labels:
-            t = run_trials(spark, train, valid, features, label, n_trials, seed, f"{name}_{label}", n_classes)
-            out = t if out is None else out.unionByName(t)
-    return out
+    jobs = [(f"{name}_{label}", train, valid, label, t) for name, (train, valid) in data_sets.items()
+            for label in labels for t in draw_trials(n_trials, seed)]
+    return spark.createDataFrame(_losses(jobs, features, n_classes), _TRIALS)
 
 
 def best_trial(trials: DataFrame, by=("dataset",), loss="loss", min_estimators: int | None = None) -> DataFrame:

@@ -266,16 +266,22 @@ def earlier_from_hourly(hourly: DataFrame, visits: DataFrame, keys=VISIT, subjec
     return out.where(F.col("e_n") > 0)
 
 
+def cell_names(features=ALL_FEATURES) -> list[tuple[str, str]]:
+    """(side, feature) of all cells in order."""
+    return [(k, n) for k in ("prior", "cur") for n in features]
+
+
 def snapshot_cells(hourly: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOURS, features=ALL_FEATURES,
                    keys=VISIT, time="time", lab_min_time: int | None = 1, margin: float | None = None) -> DataFrame:
-    """W1 + W2 + F5 in long form: keys, hour, name ('cur_<f>' / 'prior_<f>'), mean, ok (within its bounds).
+    """W1 + W2 + F5 in long form: keys, hour, name ('cur_<f>' / 'prior_<f>'), mean, pos (the name's place in
+    ``cell_names``), ok (within its bounds).
 
     Bounds by name are a fixed table and broadcast."""
     from wardspark.functions.vocab import VALIDITY_MARGIN, bounds_rows
     bnd = {f: (lo, hi) for f, lo, hi in bounds_rows(VALIDITY_MARGIN if margin is None else margin)}
     by_name = hourly.sparkSession.createDataFrame(
-        [(f"{k}_{n}", *bnd.get(n, (None, None))) for k in ("prior", "cur") for n in features],
-        "name string, low double, high double")
+        [(f"{k}_{n}", i, *bnd.get(n, (None, None))) for i, (k, n) in enumerate(cell_names(features))],
+        "name string, pos int, low double, high double")
     return (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time)
             .groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
             .join(F.broadcast(by_name), on="name", how="left")
@@ -318,7 +324,7 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
         value = F.when(F.col("ok"), F.col("mean").cast("string")).otherwise(F.lit("!"))
     else:
         value = F.when(F.col("ok"), F.col("mean"))
-    cell = cell.select(*keys, "hour", F.struct("name", value.alias("v")).alias("cell"))
+    cell = cell.select(*keys, "hour", F.struct("pos", value.alias("v")).alias("cell"))
 
     vis = visits.select(*keys, "age", "gender", "ethnicity").join(
         gate_hours(hourly, hours, keys, time, lab_min_time), on=keys, how="left")
@@ -335,15 +341,16 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
         F.max("demo").alias("demo"), F.map_from_entries(F.collect_list("cell")).alias("cells"), *label_aggs(horizons)
     ).where(F.col("demo").isNotNull()).select("*", "demo.*")
 
+    place = {x: i for i, x in enumerate(cell_names(features))}
     gate = F.col("_gate").isNotNull() & (F.col("hour") >= F.col("_gate"))
     missing = F.lit("?") if as_text else F.lit(None).cast("double")
 
     def prior(n):
-        c = F.try_element_at("cells", F.lit(f"prior_{n}"))
+        c = F.try_element_at("cells", F.lit(place["prior", n]))
         return F.when(gate, F.coalesce(c, missing) if as_text else c).otherwise(missing).alias(f"prior_{n}")
 
     def cur(n):
-        c = F.try_element_at("cells", F.lit(f"cur_{n}"))
+        c = F.try_element_at("cells", F.lit(place["cur", n]))
         return (F.coalesce(c, missing) if as_text else c).alias(f"cur_{n}")
 
     def lab_col(c):
