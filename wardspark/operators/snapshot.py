@@ -301,7 +301,7 @@ def gate_hours(hourly: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT, time="
 def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: int = DEFAULT_HOURS,
              horizons=LABEL_HORIZONS, features=ALL_FEATURES, keys=VISIT, emit_empty: bool = False,
              as_text: bool = False, lab_min_time: int | None = 1, margin: float | None = None,
-             time="time") -> DataFrame:
+             time="time", shape=None) -> DataFrame:
     """Wide hour-by-hour snapshot (the reference's per-visit / per-hour files).
 
     ``hourly``: output of ``hourly_sums`` (keys, itemid, feature, source, time, s, n) — compute it once and
@@ -309,7 +309,7 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     ``nonzero``: staged events with stage > 0 (keys, time, valuenum, stage). ``emit_empty``: True emits every
     hour 1..H (per-visit file form), False omits hours without any current observation (per-hour file form,
     W5). ``as_text``: render '?' (missing) and '!' (out of range) like the reference's CSV files; otherwise
-    missing/invalid are NULL doubles.
+    missing/invalid are NULL doubles. ``shape``: a function of columns applied to every mean in long form, e.g. rounding.
 
     Plan: W1 and W2 share one window. Their intervals, the label intervals and the spine (with the W5 gate) are
     shuffled by visit, each once, before hours are exploded; the mean and validity of each cell are computed there
@@ -323,7 +323,7 @@ def snapshot(hourly: DataFrame, visits: DataFrame, nonzero: DataFrame, hours: in
     if as_text:
         value = F.when(F.col("ok"), F.col("mean").cast("string")).otherwise(F.lit("!"))
     else:
-        value = F.when(F.col("ok"), F.col("mean"))
+        value = F.when(F.col("ok"), shape(F.col("mean")) if shape else F.col("mean"))
     cell = cell.select(*keys, "hour", F.struct("pos", value.alias("v")).alias("cell"))
 
     vis = visits.select(*keys, "age", "gender", "ethnicity").join(

@@ -218,10 +218,7 @@ def snapshot_inputs(spark, d):
 
 def snapshot_df(spark, d, emit_empty: bool, hours: int = H):
     hourly, vis, nz = snapshot_inputs(spark, d)
-    w = snap.snapshot(hourly, vis, nz, hours=hours, emit_empty=emit_empty)
-    num = [c for c in w.columns if c.startswith(("cur_", "prior_"))]
-    return w.select(F.col("hour").cast("int").alias("hour"),
-                    *[r6(c).alias(c) if c in num else F.col(c) for c in w.columns if c != "hour"])
+    return snap.snapshot(hourly, vis, nz, hours=hours, emit_empty=emit_empty, shape=r6)
 
 
 @register("w5_snapshot_by_hour", _snapshot_sql(emit_empty=False))
