@@ -8,7 +8,7 @@ temperature is fitted on rows that the network wasn't trained on, so that scores
 
 Words are runs of letters and digits, lower-cased, and every other mark by itself, so layout shows.
 
-Size bounds: the word vectors are ``buckets * dims`` numbers (8 MB at the defaults), whatever the corpus; that and the
+Size bounds: the word vectors are ``buckets * dims`` numbers (4 MB at the defaults), whatever the corpus; that and the
 network are broadcast. Word vectors are gathered from all texts. The network is fitted on at most ``max_fit`` labelled
 rows, the first by hash of their text; the bound only limits the training set.
 
