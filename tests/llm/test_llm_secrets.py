@@ -72,3 +72,60 @@ def test_odd_rows_and_no_labels(spark):
     assert secrets.redact(no_documents(spark)).count() == 0
     only = spark.createDataFrame([(1, "password=0a1b2c3d4e5f")], "doc_id long, text string")
     assert [r["score"] for r in secrets.scan(only, ["doc_id"]).collect()] == [1.0]
+
+
+def _hidden_secrets():
+    r = random.Random(5)
+
+    def rnd(n, chars="abcdefghijkmnpqrstuvwxyz23456789"):
+        return "".join(r.choice(chars) for _ in range(n - 2)) + "47"
+    k = [rnd(24) for _ in range(12)]
+    ghp = "ghp_" + rnd(36)
+    akia = "AKIA" + "".join(r.choice("BCDFGHJKLMNP") for _ in range(16))
+    return [
+        (f"he said \u201cpassword={k[0]}\u201d and left", k[0]), (f"the key is api_key={k[1]}\u2026", k[1]),
+        (f"\u5bc6\u94a5password={k[2]}\u3002\u8bf7\u4fdd\u7ba1", k[2]),
+        ("{" + ",".join(f'"a{i}":{i}' for i in range(900)) + f',"token":"{k[3]}"' + "}", k[3]),
+        (f'{{"user":"bob","token":"{ghp}"}}', ghp), (f"https://api.example.org/v1?user=bob&token={k[4]}&page=2", k[4]),
+        (f"https://host.org/{akia}/list", akia), (f"\\u00e9{akia}", None), (f"\u00e9{akia}", akia),
+        ('{"password":"qwzxvbnmkjhg"}', "qwzxvbnmkjhg"), ("password=p&zq,w9x;r7kt", "p&zq,w9x;r7kt"),
+        ("secret=zürqwx7kvpq9 here", "zürqwx7kvpq9"), ('passphrase = "xkqz vbnw 77 plmj"', "xkqz vbnw 77 plmj"),
+        (f"token={k[5]}==", k[5] + "==")]
+
+
+def test_secrets_inside_other_text_are_candidates_with_right_spans(spark):
+    texts = [t for t, _ in _hidden_secrets()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in secrets.candidates(df, secrets.dictionary(df), ["doc_id"]).collect():
+        assert texts[r["doc_id"]][r["start"]:r["start"] + r["length"]] == r["value"]
+        found.setdefault(r["doc_id"], {})[r["value"]] = r["rule"]
+    for i, (t, want) in enumerate(_hidden_secrets()):
+        if want:
+            assert found.get(i, {}).get(want) == 1, (t[-80:], want, found.get(i))
+
+
+def test_redaction_reaches_secrets_inside_other_text(spark):
+    hidden = [(1000 + i, t, s) for i, (t, s) in enumerate(_hidden_secrets()) if s]
+    rows = secret_documents(120) + hidden
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, t, s in hidden:
+        assert s not in got[i] and "[SECRET]" in got[i], (t[-80:], got[i][-80:])
+        assert got[i][0] == t[0] and len(got[i]) >= len(t) - len(s) - 30
+
+
+def test_overlapping_secrets_get_one_mark(spark, monkeypatch):
+    def found(texts, *a, **k):
+        return texts.crossJoin(spark.createDataFrame(
+            [(2, 6), (2, 3), (4, 8), (14, 2)], "start long, length long")).selectExpr("_llm_key", "start", "length", "true AS is_secret")
+    monkeypatch.setattr(secrets, "scan", found)
+    df = spark.createDataFrame([("abcdefghijklmnopqrst",)], "text string")
+    assert secrets.redact(df).first()["text"] == "ab[SECRET]mn[SECRET]qrst"
+
+
+def test_coverage_reads_the_whole_value(spark):
+    df = spark.createDataFrame([("harbour " * 30,)], "text string")
+    d = secrets.dictionary(df)
+    share, longest = secrets._coverage(d, "7" * 300 + "harbour" * 60)
+    assert longest == 7 and abs(share - 420 / 720) < 1e-9

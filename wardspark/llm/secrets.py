@@ -1,8 +1,11 @@
 """Secret scan: wide detection of candidates, then a random forest that removes the false positives.
 
 ``dictionary`` makes one pass over all texts and counts words and character transitions into tables of fixed size.
-``candidates`` scans whole texts: every blank-separated token with two digits and eight characters, or with an
-assignment, is a candidate, described by its length, its character classes and transitions, how much of it dictionary
+``candidates`` scans whole texts. Candidates are blank-separated tokens with two digits and eight characters, or with
+an assignment; the parts of every token, of any length, between quotes and non-ASCII characters, and again between
+commas, brackets, ``&`` and ``?``; the forms that providers give to keys, wherever they stand; and the whole values of
+keys that hold secrets. Near such a key or word, six characters without a digit are enough. Each is described by its
+length, its character classes and transitions, how much of it dictionary
 words cover, the path around it (key, URL, mail address, file path) and its neighbouring words. ``label`` marks the
 findings that are sure either way, by the form of the value: these are the labelled findings that ``fit`` learns from,
 unless a table of findings with a column ``label`` from reviewers is given. ``score`` applies the forest to every
@@ -14,8 +17,8 @@ only limits the training set. All texts are counted, scanned and scored.
 
 Defined cases: null and empty texts have no candidates. A candidate's start counts code points. Equal texts have equal
 findings, repeated rows repeat them. With findings of one label only, every candidate gets that label's score (1 or
-0); without any finding there are no rows. Only ASCII tokens are candidates; a longer token than 4096 bytes is none,
-as no known form of secret is that long.
+0); without any finding there are no rows. Candidates can overlap; ``redact`` replaces overlapping secrets by one mark. A
+value has non-ASCII letters only as the value of a key that holds secrets, a blank only there and in quotes.
 """
 
 from __future__ import annotations
@@ -47,8 +50,22 @@ PROVIDER_FORMS = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0
 EXAMPLE_WORDS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "xxxx", "test")
 
 _PROVIDER = re.compile("|".join(f"(?:{p})" for p in PROVIDER_FORMS))
+_PROVIDER_AT = re.compile(rf"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:{_PROVIDER.pattern})(?![A-Za-z0-9])".encode())
 _SECRET_KEY = re.compile("|".join(SECRET_KEYS), re.I)
+_SECRET_AT = re.compile(_SECRET_KEY.pattern.encode(), re.I)
 _EXAMPLE = re.compile("|".join(EXAMPLE_WORDS), re.I)
+# the whole value of a key that holds a secret: up to its closing quote, or up to a blank, a bracket or the next key
+_QUOTE = rb"""\\?(?:["'`]|\xE2\x80[\x98-\x9F]|\xC2[\xAB\xBB])?"""
+_SEPARATOR = rb"[ \t]*(?::=|=>|=|:(?!//))[ \t]*"
+_KEYED = re.compile(rb"""[\w.\-]*""" + _QUOTE + _SEPARATOR + rb"""(?:"((?:\\.|[^"\\\r\n]){6,})"|'((?:\\.|[^'\\\r\n]){6,})'|"""
+                    rb"""((?:(?![&,;?]["']?[\w.\-]+["']?[=:])(?:[!#-&(-;=?-\[\]-_a-|~]|[\xC3-\xD4][\x80-\xBF])){6,}))""")
+_KEY_BEFORE = re.compile(rb"([A-Za-z][\w.\-]*)" + _QUOTE + _SEPARATOR + _QUOTE + rb"$")
+# parts of a token lie between these: quotes and non-ASCII characters, and for the narrow parts separators too
+_WIDE_CUT = np.zeros(256, bool)
+_WIDE_CUT[[ord(c) for c in "\"'`"]] = True
+_WIDE_CUT[0x80:] = True
+_NARROW_CUT = _WIDE_CUT.copy()
+_NARROW_CUT[[ord(c) for c in ",;{}[]()<>&?|\\"]] = True
 _ASSIGN = re.compile(r"""^["'({\[]*([A-Za-z][\w.\-]*)["']?(?::=|=>|=|:(?!//))["']?(.*)$""", re.S)
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
 _NUMBER = re.compile(r"[+(]?[\d\s().,:/+\-]+%?")
@@ -115,40 +132,67 @@ def dictionary(df: DataFrame, text_col: str = "text", min_count: int = 20) -> Di
     return Dictionary(np.packbits(known), np.log(pairs / pairs.sum(1, keepdims=True)))
 
 
+def _is_known(d: Dictionary, hashes: np.ndarray) -> np.ndarray:
+    """Whether the word of each hash is in the dictionary."""
+    slot = (hashes % np.uint64(SLOTS)).astype(np.int64)
+    return ((d.known[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool)
+
+
 def _known_words(d: Dictionary, text: bytes) -> list[bool]:
     """Whether each run of letters of ``text`` is a dictionary word."""
     data = np.frombuffer(text, np.uint8)
-    slot = (_letters(data, np.array([0, len(data)])) % np.uint64(SLOTS)).astype(np.int64)
-    return ((d.known[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool).tolist()
+    return _is_known(d, _letters(data, np.array([0, len(data)]))).tolist()
+
+
+# what bytesx.span_hashes multiplies each byte by, and adds for the length
+_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(11, bytesx._R)]))
+_LENGTHS = np.arange(13, dtype=np.uint64) * bytesx._M2
 
 
 def _coverage(d: Dictionary, value: str) -> tuple[float, int]:
     """Share of the characters that dictionary words of three letters and more cover, and the longest such word."""
-    raw = value[:256].encode()
+    raw = bytesx.lower(np.frombuffer(value.encode(), np.uint8))
     n = len(raw)
     if n < 3:
         return 0.0, 0
-    at = [(i, i + k) for k in range(3, min(n, 12) + 1) for i in range(n - k + 1) if raw[i:i + k].isalpha()]
-    if not at:
-        return 0.0, 0
-    flags = _known_words(d, b" ".join(raw[a:b] for a, b in at))
-    covered, longest = bytearray(n), 0
-    for (a, b), yes in zip(at, flags, strict=True):
-        if yes:
-            covered[a:b] = b"\x01" * (b - a)
-            longest = max(longest, b - a)
-    return sum(covered) / n, longest
-
-
-def describe(d: Dictionary, token: str, before: list[str], after: list[str]) -> tuple[str, str, list[float], int]:
-    """(value, key, features, rule) of a token between its neighbouring words; the rule is 1, 0 or -1 (not sure)."""
-    m = _ASSIGN.match(token)
+    letter = bytesx.LETTER[raw] & (raw < 0x80)
+    v = raw.astype(np.uint64) + np.uint64(1)
+    total, alpha = np.zeros(n, np.uint64), np.ones(n, bool)
+    edges, longest = np.zeros(n + 1, np.int64), 0
+    for k in range(1, min(n, 12) + 1):  # total: the sum that bytesx.span_hashes makes of the k bytes from each place
+        m = n - k + 1
+        total, alpha = total[:m] + v[k - 1:] * _POWERS[k - 1], alpha[:m] & letter[k - 1:]
+        if k >= 3:
+            at = np.flatnonzero(alpha)
+            at = at[_is_known(d, bytesx.mix(total[at] + _LENGTHS[k]))]
+            if len(at):
+                longest = k
+                edges[at] += 1
+                edges[at + k] -= 1
+    return float((np.cumsum(edges[:-1]) > 0).mean()), longest
+
+
+def _assigned(token: str, key_before: str, whole: bool) -> re.Match | None:
+    """Key and value of a token that is an assignment; padding at the end of a value is none."""
+    m = None if whole or key_before else _ASSIGN.match(token)
+    return m if m and m[2].strip("=") else None
+
+
+def describe(d: Dictionary, token: str, before: list[str], after: list[str], key_before: str = "",
+             whole: bool = False, in_quotes: bool = False) -> tuple[str, str, list[float], int]:
+    """(value, key, features, rule) of a token between its neighbouring words; the rule is 1, 0 or -1 (not sure).
+
+    A part of a token has the key that stands before it in ``key_before``; with ``whole``, all of it is the value.
+    """
+    m = _assigned(token, key_before, whole)
     near = " ".join(before[-3:])
     key, value = (m[1], m[2]) if m else ("", token)
     if not m and before and before[-1] in ("=", ":", ":=", "=>") and len(before) > 1:
         key = before[-2].strip("\"'")
-    quoted = token[:1] in "\"'" or value[:1] in "\"'" or token[-1:] in "\"'"
-    value = re.split("[\"'`]", value.lstrip("\"'`.,;:()[]{}<>"), maxsplit=1)[0].rstrip(".,;:!?#()[]{}<>")
+    key = key or key_before
+    quoted = in_quotes or token[:1] in "\"'" or value[:1] in "\"'" or token[-1:] in "\"'"
+    if not whole:
+        value = re.split("[\"'`]", value.lstrip("\"'`.,;:()[]{}<>"), maxsplit=1)[0].rstrip(".,;:!?#()[]{}<>")
     n = max(len(value), 1)
     count = {c: value.count(c) for c in set(value)}
     digits, upper, lower = (sum(f(c) for c in value) for f in (str.isdigit, str.isupper, str.islower))
@@ -170,9 +214,11 @@ def describe(d: Dictionary, token: str, before: list[str], after: list[str]) ->
         float(zlib.crc32((before or [""])[-1].lower().encode()) % 16), float(zlib.crc32((after or [""])[0].lower().encode()) % 16)]
     example = bool(_EXAMPLE.search(value))
     rule = -1
-    if in_mail or in_url or _NUMBER.fullmatch(value) or example or cover > 0.8 or len(value) < 6:
+    if _PROVIDER.fullmatch(value) and not example:
+        rule = 1
+    elif in_mail or in_url or _NUMBER.fullmatch(value) or example or cover > 0.8 or len(value) < 6:
         rule = 0
-    elif _PROVIDER.fullmatch(value) or (_SECRET_KEY.search(key) and len(value) >= 8 and features[6] >= 2.5):
+    elif _SECRET_KEY.search(key) and len(value) >= 8 and features[6] >= 2.5:
         rule = 1
     return value, key, features, rule
 
@@ -192,6 +238,40 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, chosen
 
 
+def _spans(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+           chosen: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(start, end, whole) of all candidates, whose tokens are ``starts`` to ``ends``; ``whole``: all of it is the value."""
+    raw = data.tobytes()
+    first = offsets[bytesx.rows_of(starts, offsets)]
+    third = starts[np.maximum(np.arange(len(starts)) - 3, 0)]
+    secret = np.array([m.start() for m in _SECRET_AT.finditer(raw)], np.int64)
+    out = dict.fromkeys(zip(starts[chosen].tolist(), ends[chosen].tolist(), [False] * int(chosen.sum()), strict=True))
+    digits, letters, assigns = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (
+        bytesx.DIGIT[data], bytesx.LETTER[data], (data == ord("=")) | (data == ord(":"))))
+    for cut in (_WIDE_CUT, _NARROW_CUT):
+        lo, hi = bytesx.runs(~(cut | bytesx.SPACE)[data], offsets)
+        of = np.searchsorted(starts, lo, "right") - 1
+        back = np.maximum(np.maximum(third[of], first[of]), lo - 256)
+        near = np.searchsorted(secret, hi) > np.searchsorted(secret, back)
+        size = hi - lo
+        take = (size >= 8) & ((digits[hi] - digits[lo] >= 2)
+                              | (assigns[hi] > assigns[lo]) & (letters[hi] - letters[lo] >= 6)) | near & (size >= 6)
+        out.update(dict.fromkeys(zip(lo[take].tolist(), hi[take].tolist(), [False] * int(take.sum()), strict=True)))
+    edges = offsets.tolist()
+    for r in np.flatnonzero(np.diff(offsets)).tolist():
+        text = raw[edges[r]:edges[r + 1]]
+        for m in _SECRET_AT.finditer(text):
+            v = _KEYED.match(text, m.end())
+            if v:
+                a, z = v.span(v.lastindex)
+                if v.lastindex == 3:
+                    z = a + len(text[a:z].rstrip(b".,;:!?#()[]{}<>"))
+                out[edges[r] + a, edges[r] + z, True] = None
+        for m in _PROVIDER_AT.finditer(text):
+            out[edges[r] + m.start(), edges[r] + m.start() + len(m[0].rstrip(b".")), True] = None
+    return sorted(out)
+
+
 def candidates(df: DataFrame, d: Dictionary, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns of ``df`` and ``FINDING`` for every candidate in every text."""
     shared = df.sparkSession.sparkContext.broadcast(d)
@@ -205,20 +285,34 @@ def candidates(df: DataFrame, d: Dictionary, keep: list[str], text_col: str = "t
             starts, ends, chosen = _tokens(part, o)
             row = bytesx.rows_of(starts, o)
             points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int64)])
-            out = []
+            out, seen = [], set()
+
+            def text(a, z):
+                return bytes(part[a:z]).decode("utf-8", "ignore")
 
             def word(i, r):
-                return bytes(part[starts[i]:min(ends[i], starts[i] + 64)]).decode("utf-8", "ignore") if (
-                    0 <= i < len(starts) and row[i] == r) else None
-            for i in np.flatnonzero(chosen):
+                return text(starts[i], min(ends[i], starts[i] + 64)) if 0 <= i < len(starts) and row[i] == r else None
+            for a, z, whole in _spans(part, o, starts, ends, chosen):
+                i = int(np.searchsorted(starts, a, "right")) - 1
+                last = int(np.searchsorted(starts, z - 1, "right")) - 1
                 r = row[i]
-                token = bytes(part[starts[i]:ends[i]]).decode("ascii")
+                token = text(a, z)
                 before = [w for w in (word(i - 3, r), word(i - 2, r), word(i - 1, r)) if w]
-                after = [w for w in (word(i + 1, r), word(i + 2, r)) if w]
-                value, key, features, rule = describe(own, token, before, after)
-                at = token.find(value) if value else 0
-                out.append((lo + r, int(points[starts[i]] - points[o[r]]) + max(at, 0), len(value), value, key,
-                            features, rule))
+                after = [w for w in (word(last + 1, r), word(last + 2, r)) if w]
+                inner, rest = text(max(starts[i], a - 64), a), text(z, min(ends[last], z + 64))
+                before += [inner] if any(c.isalnum() or c in "=:" for c in inner) else []
+                after = ([rest] if any(c.isalnum() for c in rest) else []) + after
+                named = _KEY_BEFORE.search(bytes(part[max(o[r], a - 96):a]))
+                named = named[1].decode("ascii") if named else ""
+                value, key, features, rule = describe(own, token, before, after, named, whole,
+                                                      inner[-1:] in ("\"", "'", "`"))
+                m = _assigned(token, named, whole)
+                at = max(token.find(value, m.start(2) if m else 0), 0)
+                start = int(points[a] - points[o[r]]) + at
+                if (r, start, len(value)) in seen:
+                    continue
+                seen.add((r, start, len(value)))
+                out.append((lo + r, start, len(value), value, key, features, rule))
             if out:
                 r, start, length, value, key, features, rule = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -276,9 +370,13 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thresh
     whole = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc, s):
-        return F.struct(F.concat(acc["done"], F.substring(text_col, (acc["at"] + 1).cast("int"),
-                                                          (s["start"] - acc["at"]).cast("int")),
-                                 F.lit(mark)).alias("done"), (s["start"] + s["length"]).alias("at"))
+        end = s["start"] + s["length"]
+        apart = F.struct(F.concat(acc["done"], F.substring(text_col, (acc["at"] + 1).cast("int"),
+                                                           (s["start"] - acc["at"]).cast("int")),
+                                  F.lit(mark)).alias("done"), end.alias("at"))
+        # a span that begins inside the one before has its mark already
+        joined = F.struct(acc["done"].alias("done"), F.greatest(acc["at"], end).alias("at"))
+        return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), joined).otherwise(apart)
 
     def rest(acc):
         return F.concat(acc["done"], F.substring(text_col, (acc["at"] + 1).cast("int"), F.length(text_col)))
