@@ -129,3 +129,28 @@ def test_coverage_reads_the_whole_value(spark):
     d = secrets.dictionary(df)
     share, longest = secrets._coverage(d, "7" * 300 + "harbour" * 60)
     assert longest == 7 and abs(share - 420 / 720) < 1e-9
+
+
+def test_dictionary_does_not_fill_up_with_rare_words(spark):
+    r = random.Random(9)
+    rare = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(400_000)]
+    many = [" ".join(w for w in rare[i::400] for _ in range(19)) + " harbour" * 200 for i in range(400)]
+    d = secrets.dictionary(spark.createDataFrame([(t,) for t in many], "text string"))
+    assert len(d.known) == 1
+    assert secrets._known_words(d, b"harbour " + " ".join(rare[:500]).encode()) == [True] + [False] * 500
+
+
+def test_known_words_keep_their_share_in_a_larger_corpus(spark):
+    texts = spark.createDataFrame([("ocean " * 99_900 + "velvet " * 80 + "cobalt " * 20,)], "text string")
+    small = secrets.dictionary(texts, min_share=5e-4)
+    large = secrets.dictionary(spark.range(30).crossJoin(texts).select("text"), min_share=5e-4)
+    assert secrets._known_words(small, b"ocean velvet cobalt") == [True, True, False]
+    assert secrets._known_words(large, b"ocean velvet cobalt") == [True, True, False]
+
+
+def test_provider_and_key_rules_come_before_coverage(spark):
+    d = secrets.dictionary(spark.createDataFrame([("correct horse battery staple " * 30,)], "text string"))
+    d.known = np.sort(np.append(d.known, bytesx.span_hashes(np.frombuffer(b"bcdf", np.uint8), np.array([0]), np.array([4]))))
+    rules = [secrets.describe(d, t, [], [])[3] for t in
+             ("AKIA" + "BCDF" * 4, 'password="correcthorsebattery"', "correcthorsebattery", "password:correcthorsebattery")]
+    assert rules == [1, 1, 0, -1]

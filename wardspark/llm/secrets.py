@@ -1,6 +1,8 @@
 """Secret scan: wide detection of candidates, then a random forest that removes the false positives.
 
-``dictionary`` makes one pass over all texts and counts words and character transitions into tables of fixed size.
+``dictionary`` makes one pass over all texts and counts every word by its 64-bit hash, and character transitions. A word
+is known if it is seen at least ``min_count`` times and makes up ``min_share`` of all words, so that knowing a word means
+the same in a corpus of any size.
 ``candidates`` scans whole texts. Candidates are blank-separated tokens with two digits and eight characters, or with
 an assignment; the parts of every token, of any length, between quotes and non-ASCII characters, and again between
 commas, brackets, ``&`` and ``?``; the forms that providers give to keys, wherever they stand; and the whole values of
@@ -11,7 +13,8 @@ findings that are sure either way, by the form of the value: these are the label
 unless a table of findings with a column ``label`` from reviewers is given. ``score`` applies the forest to every
 candidate, also to those that no rule decides.
 
-Size bounds: the dictionary is 2^18 bits and the transitions 64 x 64 numbers, whatever the corpus; both are broadcast.
+Size bounds: words are counted in a Spark aggregation that grows with the corpus; of them at most 1 / ``min_share`` can
+be known (200,000 hashes, 1.6 MB), and the transitions are 64 x 64 numbers; both are broadcast.
 The forest is fitted on at most ``max_findings`` labelled findings, the first by hash, half of each label; the bound
 only limits the training set. All texts are counted, scanned and scored.
 
@@ -39,7 +42,6 @@ from wardspark.llm import bytesx
 from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches, release
 from wardspark.session import materialize
 
-SLOTS = 1 << 18
 SYMBOLS = 64
 LONGEST = 4096
 # Names of keys that hold secrets, forms that providers give to keys, words that mark an example.
@@ -78,7 +80,7 @@ FINDING = ("start long, length long, value string, key string, features array<do
 
 @dataclass
 class Dictionary:
-    """``known``: one bit per hashed word; ``transitions``: log-probability of each pair of symbols."""
+    """``known``: sorted hashes of the known words; ``transitions``: log-probability of each pair of symbols."""
 
     known: np.ndarray
     transitions: np.ndarray
@@ -102,40 +104,61 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return bytesx.span_hashes(low, starts, ends)
 
 
-def dictionary(df: DataFrame, text_col: str = "text", min_count: int = 20) -> Dictionary:
-    """Words seen at least ``min_count`` times (by hash) and character transitions, over all texts."""
+def dictionary(df: DataFrame, text_col: str = "text", min_count: int = 20, min_share: float = 5e-6) -> Dictionary:
+    """Words seen at least ``min_count`` times that make up ``min_share`` of all, and character transitions."""
     def run(batches):
-        words, pairs = np.zeros(SLOTS, np.int64), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        pairs, total = np.zeros(SYMBOLS * SYMBOLS, np.int64), 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            h = np.concatenate([p[0] for p in parts])
+            u, inv = np.unique(h, return_inverse=True)
+            return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+
+        def rows(kind, key, n):
+            for k in range(0, len(key), 1 << 16):
+                own = key[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own),
+                                                  pa.array(n[k:k + (1 << 16)])], ["kind", "word", "n"])
+
         for b in batches:
             data, off = bytesx.column_bytes(b.column(0))
             for lo, hi in bytesx.slices(off, SLICE_BYTES):
                 d, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-                words += np.bincount((_letters(d, o) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                h = _letters(d, o)
+                total += len(h)
+                parts.append(np.unique(h.view(np.int64), return_counts=True))
+                if len(parts) > 8:
+                    parts = [merged()]
+                if len(parts) == 1 and len(parts[0][0]) > 1 << 20:  # so that a task holds little
+                    yield from rows(0, *parts.pop())
                 s = _symbols(d)
                 pairs += np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=SYMBOLS * SYMBOLS)
-        for kind, table in ((0, words), (1, pairs)):
-            at = np.flatnonzero(table)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)),
-                                                  pa.array(at.astype(np.int32)), pa.array(table[at])],
-                                                 ["kind", "slot", "n"])
+        if parts:
+            yield from rows(0, *merged())
+        at = np.flatnonzero(pairs)
+        yield from rows(1, at.astype(np.int64), pairs[at])
+        yield from rows(2, np.zeros(1, np.int64), np.array([total], np.int64))
+        parts.clear()
         release()
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, slot int, n long")
-    sums = rows.groupBy("kind", "slot").agg(F.sum("n").alias("n")).where(
-        (F.col("kind") == 1) | (F.col("n") >= min_count)).toArrow()
-    kind, slot, n = (sums.column(i).to_numpy() for i in range(3))
-    known = np.zeros(SLOTS, bool)
-    known[slot[kind == 0]] = True
+    counted = df.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, word long, n long")
+    counted = materialize(counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).where(
+        (F.col("kind") > 0) | (F.col("n") >= min_count)), "secret-words")
+    fixed = counted.where("kind > 0").toArrow()
+    kind, at, n = (fixed.column(i).to_numpy() for i in range(3))
+    least = max(min_count, min_share * float(n[kind == 2].sum()))
+    known = counted.where((F.col("kind") == 0) & (F.col("n") >= F.lit(least))).select("word").toArrow()
     pairs = np.zeros(SYMBOLS * SYMBOLS)
-    pairs[slot[kind == 1]] = n[kind == 1]
+    pairs[at[kind == 1]] = n[kind == 1]
     pairs = pairs.reshape(SYMBOLS, SYMBOLS) + 0.5
-    return Dictionary(np.packbits(known), np.log(pairs / pairs.sum(1, keepdims=True)))
+    return Dictionary(np.sort(known.column(0).to_numpy().view(np.uint64)), np.log(pairs / pairs.sum(1, keepdims=True)))
 
 
 def _is_known(d: Dictionary, hashes: np.ndarray) -> np.ndarray:
     """Whether the word of each hash is in the dictionary."""
-    slot = (hashes % np.uint64(SLOTS)).astype(np.int64)
-    return ((d.known[slot >> 3] >> (7 - (slot & 7))) & 1).astype(bool)
+    if not len(d.known):
+        return np.zeros(len(hashes), bool)
+    return d.known[np.minimum(np.searchsorted(d.known, hashes), len(d.known) - 1)] == hashes
 
 
 def _known_words(d: Dictionary, text: bytes) -> list[bool]:
@@ -216,10 +239,13 @@ def describe(d: Dictionary, token: str, before: list[str], after: list[str], key
     rule = -1
     if _PROVIDER.fullmatch(value) and not example:
         rule = 1
-    elif in_mail or in_url or _NUMBER.fullmatch(value) or example or cover > 0.8 or len(value) < 6:
+    elif in_mail or in_url or _NUMBER.fullmatch(value) or example or len(value) < 6:
         rule = 0
     elif _SECRET_KEY.search(key) and len(value) >= 8 and features[6] >= 2.5:
-        rule = 1
+        # "token: something" may be prose
+        rule = 1 if cover <= 0.8 or quoted or digits else -1
+    elif cover > 0.8:
+        rule = 0
     return value, key, features, rule
 
 
