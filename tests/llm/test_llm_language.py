@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -71,3 +73,17 @@ def test_more_languages_than_one_machine_word(spark):
     data, off = bytesx.column_bytes(pa.array([r[0] for r in rows]))
     best, _ = language.score_rows(f, data, off)
     assert (best == np.arange(70)).mean() > 0.9
+
+
+def test_stage_keeps_clean_rows_of_many_languages(spark):
+    r = random.Random(4)
+
+    def vocabulary(n):
+        return ["".join(r.choice("aeioubdfgklmnprst") for _ in range(6)) for _ in range(n)]
+    common = vocabulary(30)
+    own = [vocabulary(20) for _ in range(40)]
+    rows = [(i * 10 + j, " ".join(r.choice(common if k % 2 else own[i]) for k in range(80)), f"l{i:02}")
+            for i in range(40) for j in range(10)]
+    rows.append((-1, " ".join("wxyzjqvhc"[k % 9] * 2 + "zxqj"[k % 4] * 3 for k in range(60)), None))
+    kept = language.recognised(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(400))

@@ -152,8 +152,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", slots:
     return Filters(names, words, filled, hashes)
 
 
-def score_rows(f: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the winning language and its corrected share, for each row of a slice."""
+def shares(f: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the winning language, its corrected share and the sum of all shares, for each row of a slice."""
     g, at = grams(data, offsets)
     n = np.maximum(np.diff(at), 1)
     false = f.filled ** f.hashes
@@ -170,13 +170,21 @@ def score_rows(f: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
             x = np.clip((hits / n - false[i]) / max(1 - false[i], 1e-9), 0, 1)
             total += x
             best, share = np.where(x > share, i, best), np.maximum(x, share)
-    share = np.maximum(share, 0)
+    return best, np.maximum(share, 0), total
+
+
+def score_rows(f: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the winning language and its part of all languages' shares, for each row of a slice."""
+    best, share, total = shares(f, data, offsets)
     return best, np.where(total > 0, share / np.maximum(total, 1e-12), 0) * np.minimum(1, share + 0.5)
 
 
 def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list[str] | None = None,
-             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` columns of ``df`` with the language and its score under ``names``."""
+             names: tuple[str, str] = ("lang_pred", "score"), own_share: bool = False) -> DataFrame:
+    """``keep`` columns of ``df`` with the language and its score under ``names``.
+
+    With ``own_share``, the score is the winner's own corrected share, which other languages don't lower.
+    """
     keep = list(keep or [])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(filters)
@@ -194,7 +202,7 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list
         for lo, hi in bytesx.slices(off, SLICE_BYTES):
             d, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
             if f.languages:
-                best[lo:hi], score[lo:hi] = score_rows(f, d, o)
+                best[lo:hi], score[lo:hi] = shares(f, d, o)[:2] if own_share else score_rows(f, d, o)
             ascii_letter = np.concatenate([[0], np.cumsum(bytesx.LETTER[d] & (d < 0x80), dtype=np.int64)])
             any_letter[lo:hi] = ascii_letter[o[1:]] > ascii_letter[o[:-1]]
             for i in np.flatnonzero(~any_letter[lo:hi] & (np.diff(o) > 0)):
@@ -210,7 +218,10 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text", keep: list
 
 
 def recognised(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.25) -> DataFrame:
-    """``df`` without the rows whose text is in no learned language: ``und``, or a score below ``min_score``."""
+    """``df`` without the rows whose text is in no learned language: ``und``, or an own share below ``min_score``.
+
+    The share is that of the n-grams which the winner's filter holds; it doesn't depend on how many languages there are.
+    """
     filters = learn(df, text_col, lang_col)
-    found = identify(df, filters, text_col, df.columns, ("_llm_lang", "_llm_score"))
+    found = identify(df, filters, text_col, df.columns, ("_llm_lang", "_llm_score"), own_share=True)
     return found.where((F.col("_llm_lang") != "und") & (F.col("_llm_score") >= min_score)).select(*df.columns)
