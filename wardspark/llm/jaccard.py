@@ -1,9 +1,12 @@
-"""Jaccard self-join of texts on word n-grams: MinHash LSH forest, then exact verification.
+"""Jaccard self-join of texts on word n-grams: MinHash in fixed bands, then exact verification.
 
-Texts are sets of hashed word k-grams. A signature of ``trees * depth`` minima is cut into ``trees`` keys of ``depth``
-minima. Each tree is a prefix trie of its sorted keys; two texts are candidates if they share a prefix of the matching
-length in any tree. The length starts at ``depth`` and is shortened until a pair at the threshold is found with the
-target recall, 1 - (1 - t^length)^trees; more alike pairs are found more surely.
+Texts are sets of hashed word k-grams. Two texts are candidates if they share all minima of one of ``trees`` bands. A
+band's length is fixed before the scan: the longest, ``depth`` at most, at which a pair at the threshold is found with
+the target recall, 1 - (1 - t^length)^trees; more alike pairs are found more surely.
+
+This is banding and not an LSH forest: no signatures are sorted, and no prefix is shortened row by row. A forest stops
+at longer prefixes for queries that want their few nearest texts; here every pair above a known threshold is wanted, so
+every row would go down to the shortest length anyway, and the longer prefixes find only pairs that it finds too.
 
 Verification is exact and takes no pair twice. Every text with a partner in some bucket has one home, named by the
 least text that it shares a bucket with, and homes are cut into blocks of about ``block`` texts and ``block_grams``
