@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from wardspark.llm import q_fingerprint, q_jaccard, q_language, q_mixing, q_pieces, q_quality, q_secrets, q_topk, q_toxicity, q_warc
+from wardspark.llm import (q_fingerprint, q_jaccard, q_language, q_mixing, q_pieces, q_quality, q_secrets, q_substring,
+                           q_topk, q_toxicity, q_warc)
 
-_MODULES = (q_jaccard, q_topk, q_mixing, q_language, q_warc, q_secrets, q_fingerprint, q_pieces, q_toxicity, q_quality)
+_MODULES = (q_jaccard, q_topk, q_mixing, q_language, q_warc, q_secrets, q_fingerprint, q_pieces, q_toxicity, q_quality,
+            q_substring)
 
 
 def queries():
