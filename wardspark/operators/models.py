@@ -1,7 +1,7 @@
 """Classifiers, k-nearest neighbours, random trials and best-trial selection (inventory M1–M3, M13, M14, O3).
 
-Fitting is Spark ML (distributed estimators); the driver starts a few trials at a time, each an ordinary distributed
-fit. k-NN is exact: training rows lie in cells around pivots, and a test row meets only the cells that the triangle
+Fitting is Spark ML (distributed estimators), and ``operators.linear`` for SGD. All logistic and SGD trials of a data set
+advance together there; of the others the driver starts a few at a time, each an ordinary distributed fit. k-NN is exact: training rows lie in cells around pivots, and a test row meets only the cells that the triangle
 inequality cannot rule out; the distances of a meeting are computed with numpy inside the task.
 """
 
@@ -17,15 +17,19 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.operators import linear
 from wardspark.operators.prep import hash32
-from wardspark.operators.score import confusion, macro_f1_loss
+from wardspark.operators.score import binary_report, confusion, macro_f1_loss
 from wardspark.session import materialize
 
-MODEL_NAMES = ["logistic", "linear_svc", "gbt", "tree", "naive_bayes", "random_forest", "mlp"]
+MODEL_NAMES = ["logistic", "linear_svc", "gbt", "tree", "naive_bayes", "random_forest", "mlp", "sgd_linear"]
 PARALLEL_FITS = 4
+#: Trials of these models are fitted together, by ``fit_together``.
+JOINT = ("logistic", "sgd_linear")
 
 
 def classifier(name: str, params: dict | None = None, n_features: int | None = None, n_classes: int = 4,
@@ -57,6 +61,9 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                 params: dict | None = None, n_classes: int = 4, keep=()) -> DataFrame:
     """M1: fit on ``train`` (one-vs-rest around binary-capable models, native for MLP) and predict ``test``.
     Returns ``keep`` columns, label, prediction (ints)."""
+    if name == "sgd_linear":
+        fit = linear.fit_sgd(train, features, label, [sgd_setting(params)], n_classes)
+        return linear.predict(fit, test, label, keep).select(*keep, "label", F.col("predictions")[0].alias("prediction"))
     est = classifier(name, params, len(features), n_classes)
     if name != "mlp":
         est = OneVsRest(classifier=est)
@@ -68,6 +75,37 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     return out.select(*keep, F.col(label).cast("int").alias("label"), F.col("_p").cast("int").alias("prediction"))
 
 
+def sgd_setting(params: dict | None) -> linear.Setting:
+    """Setting of an SGD trial; parameters may be text, as trial tables hold them."""
+    p = dict(params or {})
+    return linear.Setting(loss=p.get("loss", "hinge"), alpha=float(p.get("alpha", 1e-4)))
+
+
+def fit_together(train: DataFrame, features: list[str], label: str, name: str, params: list[dict],
+                 n_classes: int = 4) -> linear.Fit:
+    """One model of each of ``params``, all in the same passes; ``name`` is one of ``JOINT``."""
+    if name == "sgd_linear":
+        return linear.fit_sgd(train, features, label, [sgd_setting(p) for p in params], n_classes)
+    settings = [linear.Setting("log", float(p.get("regParam", 0.0)), float(p.get("elasticNetParam", 0.0))) for p in params]
+    return linear.fit_gradient(train, features, label, settings, n_classes)
+
+
+def fit_binary(train: DataFrame, test: DataFrame, features: list[str], label: str, name: str,
+               params: dict | None = None) -> DataFrame:
+    """Positive label against 0: label, prediction and score of class 1 of ``test``."""
+    positive = lambda df: df.withColumn("_y", (F.col(label) > 0).cast("double"))
+    if name == "sgd_linear":
+        fit = linear.fit_sgd(positive(train), features, "_y", [sgd_setting(params)], 2)
+        return linear.predict(fit, positive(test), "_y").select(
+            "label", F.col("predictions")[0].alias("prediction"), F.col("margins")[0].alias("score"))
+    est = classifier(name, params, len(features), 2).setFeaturesCol("features").setLabelCol("_y").setPredictionCol("_p")
+    est = est.setRawPredictionCol("_raw")
+    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    out = Pipeline(stages=[asm, est]).fit(positive(train)).transform(positive(test))
+    return out.select(F.col("_y").cast("int").alias("label"), F.col("_p").cast("int").alias("prediction"),
+                      vector_to_array("_raw")[1].alias("score"))
+
+
 def evaluate_models(train: DataFrame, test: DataFrame, features: list[str], label: str, names=MODEL_NAMES,
                     n_classes: int = 4) -> list[tuple]:
     """M2: fit every classifier and score it on ``test``: (model, macro F1, accuracy)."""
@@ -223,6 +261,7 @@ PARAM_SPACE = {
     "naive_bayes": {},
     "random_forest": {"numTrees": [10, 20], "maxDepth": [3, 5]},
     "mlp": {"hidden": [8, 16]},
+    "sgd_linear": {"loss": ["hinge", "log"], "alpha": [0.0001, 0.001, 0.01]},
 }
 
 
@@ -240,33 +279,69 @@ def draw_trials(n: int, seed: int = 0, models=MODEL_NAMES) -> list[tuple[int, st
     return out
 
 
+def draw_table(data_sets: DataFrame, n: int, seed: int = 0, models=MODEL_NAMES) -> DataFrame:
+    """The draws of ``draw_trials`` for every row of ``data_sets`` (column ``dataset``), by expressions: dataset,
+    trial_id, model and params (map)."""
+    def drawn(values: list, *key: str):
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("trial_id").cast("string"), *[F.lit(k) for k in key])
+        at = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(len(values))).cast("int")
+        return F.array(*[F.lit(str(v)) for v in values])[at]
+    t = data_sets.select("dataset", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("trial_id"))
+    t = t.withColumn("model", drawn(list(models), "model"))
+    params = F.create_map().cast("map<string,string>")
+    for m in models:
+        space = PARAM_SPACE[m]
+        if space:
+            pairs = [x for k, v in space.items() for x in (F.lit(k), drawn(v, k))]
+            params = F.when(F.col("model") == m, F.create_map(*pairs)).otherwise(params)
+    return t.withColumn("params", params)
+
+
 _TRIALS = "dataset string, trial_id int, model string, params map<string,string>, loss double"
 
 
 def _losses(jobs: list[tuple], features: list[str], n_classes: int) -> list[tuple]:
-    """(dataset, trial, model, params, loss) of (dataset, train, valid, label, trial) jobs, a few fits at a time."""
-    def one(job):
-        dataset, train, valid, label, (t, m, params) = job
+    """(dataset, trial, model, params, loss) of (dataset, train, valid, label, trials) jobs.
+
+    The trials of a data set that belong to a model of ``JOINT`` are one fit; the rest a few fits at a time."""
+    def text(params):
+        return {k: str(v) for k, v in params.items()}
+
+    def together(job):
+        dataset, train, valid, label, name, trials = job
+        fit = fit_together(train, features, label, name, [p for _, _, p in trials], n_classes)
+        found = linear.losses(fit, valid, label, n_classes)
+        return [(dataset, t, m, text(p), loss) for (t, m, p), loss in zip(trials, found, strict=True)]
+
+    def alone(job):
+        dataset, train, valid, label, _, [(t, m, params)] = job
         pred = fit_predict(train, valid, features, label, m, params, n_classes)
         loss = macro_f1_loss(confusion(pred, n_classes)).first()["loss"]
-        return dataset, t, m, {k: str(v) for k, v in params.items()}, float(loss)
+        return [(dataset, t, m, text(params), float(loss))]
+
+    work = []
+    for dataset, train, valid, label, trials in jobs:
+        for name in JOINT:
+            if any(m == name for _, m, _ in trials):
+                work.append((together, (dataset, train, valid, label, name, [t for t in trials if t[1] == name])))
+        work += [(alone, (dataset, train, valid, label, t[1], [t])) for t in trials if t[1] not in JOINT]
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(one, jobs))
+        return sorted((r for rows in pool.map(lambda w: w[0](w[1]), work) for r in rows), key=lambda r: r[:2])
 
 
 def run_trials(spark, train: DataFrame, valid: DataFrame, features: list[str], label: str, n_trials: int = 6,
                seed: int = 0, dataset: str = "data", n_classes: int = 4) -> DataFrame:
     """Fit each drawn trial on ``train``, loss = macro-F1 loss (M10) on ``valid``.
     Returns dataset, trial_id, model, params (map), loss."""
-    jobs = [(dataset, train, valid, label, t) for t in draw_trials(n_trials, seed)]
+    jobs = [(dataset, train, valid, label, draw_trials(n_trials, seed))]
     return spark.createDataFrame(_losses(jobs, features, n_classes), _TRIALS)
 
 
 def run_grid(spark, data_sets: dict, features: list[str], labels: list[str], n_trials: int = 2, seed: int = 0,
              n_classes: int = 4) -> DataFrame:
     """M13 over data sets: for each data hour ``{name: (train, valid)}`` and each label, the trials of that data set."""
-    jobs = [(f"{name}_{label}", train, valid, label, t) for name, (train, valid) in data_sets.items()
-            for label in labels for t in draw_trials(n_trials, seed)]
+    jobs = [(f"{name}_{label}", train, valid, label, draw_trials(n_trials, seed)) for name, (train, valid) in data_sets.items()
+            for label in labels]
     return spark.createDataFrame(_losses(jobs, features, n_classes), _TRIALS)
 
 
@@ -278,3 +353,24 @@ def best_trial(trials: DataFrame, by=("dataset",), loss="loss", min_estimators:
     order = F.struct(F.col(loss), F.col("trial_id"))
     return trials.groupBy(*by).agg(F.min_by(F.struct(*[c for c in trials.columns if c not in by]), order).alias("b")) \
         .select(*by, "b.*")
+
+
+def refit_best(trials: DataFrame, data_sets: dict, features: list[str], min_estimators: int | None = None) -> DataFrame:
+    """The best trial of each data set, refitted as positive against 0, with its binary report on the test rows.
+
+    ``data_sets``: {dataset: (data hour, label hour, label, train, test)}. One row per data set that has a trial."""
+    chosen = [(r["dataset"], r) for r in best_trial(trials, min_estimators=min_estimators).collect()]  # one per data set
+
+    def one(item):
+        name, r = item
+        data_hour, label_hour, label, train, test = data_sets[name]
+        pred = materialize(fit_binary(train, test, features, label, r["model"], dict(r["params"] or {})), "refit")
+        report = binary_report(pred, data_hour=data_hour, label_hour=label_hour).first()
+        return (name, r["trial_id"], r["model"], float(r["loss"]), *report)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        rows = list(pool.map(one, chosen))
+    return trials.sparkSession.createDataFrame(rows, _REPORT)
+
+
+_REPORT = ("dataset string, trial_id int, model string, valid_loss double, data_hour int, label_hour int, tp long, fp long, "
+           "tn long, fn long, acc double, auc double, ppv double, npv double, sen double, spe double, f1 double")

@@ -110,25 +110,65 @@ def q_m13(spark, d):
     return _trials(spark, _splits(spark, d))
 
 
-@register("m13_trial_grid")
-def q_m13_grid(spark, d):
-    """Trials for every (data hour, label) data set: data up to hours 12 and 24, stage within 24 and 48 hours."""
+# draws by the same rule in SQL: one row per item and trial
+def _draw_sql(n=20):
+    def pick(values, key):
+        h = f"CAST(('0x' || substr(md5(concat_ws('|', '0', t, '{key}')), 1, 8)) AS BIGINT) % {len(values)}"
+        return f"[{', '.join(repr(str(v)) for v in values)}][1 + {h}]"
+    params = "CASE model " + " ".join(
+        f"WHEN '{m}' THEN " + " || ',' || ".join(f"'{k}=' || {pick(v, k)}" for k, v in sorted(space.items()))
+        for m, space in models.PARAM_SPACE.items() if space) + " ELSE '' END"
+    return with_fixtures(f"""
+SELECT dataset, CAST(t AS INT) AS trial_id, model, {params} AS params FROM (
+  SELECT *, {pick(models.MODEL_NAMES, 'model')} AS model FROM (
+    SELECT dataset, unnest(range({n})) AS t FROM (SELECT DISTINCT 'item_' || itemid AS dataset FROM fx_events)))""")
+
+
+@register("m13_draw_table", _draw_sql())
+def q_m13_draws(spark, d):
+    """The draws of 20 trials for the data set of every item."""
+    sets = fx.fx_events(spark, d).select(F.concat(F.lit("item_"), F.col("itemid").cast("string")).alias("dataset")).distinct()
+    pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return models.draw_table(sets, 20).withColumn("params", F.array_join(pairs, ","))
+
+
+def _grid(spark, d):
+    """Data sets of the grid: data up to hours 12 and 24, stage within 24 and 48 hours."""
     from wardspark.session import materialize
     labels = ["stage_24", "stage_48"]
     data = materialize(imputed(spark, d).select("hour", "split", *MODEL_FEATS, *labels), "model_grid")
-    sets = {f"hour_{h}": tuple(data.where((F.col("split") == s) & (F.col("hour") <= h)) for s in ("devel", "valid"))
+    sets = {h: [data.where((F.col("split") == s) & (F.col("hour") <= h)) for s in ("devel", "valid", "test")]
             for h in (12, 24)}
-    return models.run_grid(spark, sets, MODEL_FEATS, labels)
+    trials = models.run_grid(spark, {f"hour_{h}": tuple(s[:2]) for h, s in sets.items()}, MODEL_FEATS, labels)
+    by_name = {f"hour_{h}_{label}": (h, int(label.split("_")[1]), label, s[0], s[2]) for h, s in sets.items() for label in labels}
+    return trials, by_name
+
+
+@register("m13_trial_grid")
+def q_m13_grid(spark, d):
+    """Trials for every (data hour, label) data set."""
+    return _grid(spark, d)[0]
 
 
 @register("m14_best_trial_refit")
 def q_m14(spark, d):
-    """Best trial (O3 arg-min) refitted on devel and scored on test: dataset, trial, model, loss, test F1."""
-    splits = _splits(spark, d)
-    best = models.best_trial(_trials(spark, splits)).first()
-    devel, _, test = splits
-    pred = models.fit_predict(devel, test, MODEL_FEATS, LABEL, best["model"], dict(best["params"]))
-    from wardspark.operators.score import confusion, macro_f1_loss
-    f1 = -macro_f1_loss(confusion(pred, 4)).first()["loss"]
-    return spark.createDataFrame([(best["dataset"], best["trial_id"], best["model"], float(best["loss"]), float(f1))],
-                                 "dataset string, trial_id int, model string, valid_loss double, test_macro_f1 double")
+    """The best trial of every data set of the grid, refitted, with its binary report: one row per data set."""
+    trials, sets = _grid(spark, d)
+    return models.refit_best(trials, sets, MODEL_FEATS)
+
+
+# forests by rule from the parts: brand as data set, size as number of trees, price as loss
+@register("m14_best_trial_min_estimators", with_fixtures("""
+SELECT p_brand AS dataset, arg_min(p_partkey, (loss, p_partkey)) AS trial_id, min(loss) AS loss,
+       CAST(arg_min(p_size, (loss, p_partkey)) AS INT) AS trees FROM (
+  SELECT p_brand, CAST(p_partkey AS INT) AS p_partkey, p_size, CAST(p_retailprice AS DOUBLE) AS loss FROM part WHERE p_size > 20)
+GROUP BY p_brand"""))
+def q_m14_rule(spark, d):
+    """The choice among trials with more than 20 estimators only."""
+    part = fx.table(spark, d, "part")
+    trials = part.select(F.col("p_brand").alias("dataset"), F.col("p_partkey").cast("int").alias("trial_id"),
+                         F.lit("random_forest").alias("model"),
+                         F.create_map(F.lit("numTrees"), F.col("p_size").cast("string")).alias("params"),
+                         F.col("p_retailprice").cast("double").alias("loss"))
+    best = models.best_trial(trials, min_estimators=20)
+    return best.select("dataset", "trial_id", "loss", F.col("params")["numTrees"].cast("int").alias("trees"))
