@@ -432,25 +432,34 @@ def kruskal_select(df: DataFrame, features: list[str], label: str, threshold: fl
 
 # ---- T2 VIF -------------------------------------------------------------------------------------------------------
 
-def gram_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+def gram_matrix(df: DataFrame, features: list[str], stripe: int = 512) -> DataFrame:
     """X'X (uncentered) as long rows (i, j, g) for i <= j, from one pass.
 
     Every task multiplies its batches and sends one row per pair; a null counts as 0 in its products. The number of
     expressions doesn't grow with the features, as one sum per pair would."""
     import numpy as np
     p = len(features)
-    upper = np.triu_indices(p)
-
-    def partial(batches):
-        g = np.zeros((p, p))
-        for b in batches:
-            x = np.column_stack([np.asarray(c.fill_null(0.0)) for c in b.columns])
-            g += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(upper[0].astype("int32")), pa.array(upper[1].astype("int32")),
-                                          pa.array(g[upper])], ["i", "j", "g"])
-
     x = df.select(*[F.col(c).cast("double").alias(f"x{n}") for n, c in enumerate(features)])
-    return x.mapInArrow(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+    def part(first, last):
+        def partial(batches):
+            g = np.zeros((last - first, p))
+            for b in batches:
+                x = np.column_stack([np.asarray(c.fill_null(0.0)) for c in b.columns])
+                g += x[:, first:last].T @ x
+            i, j = np.indices(g.shape)
+            i += first
+            use = j >= i
+            for lo in range(0, np.count_nonzero(use), 1 << 20):
+                s = slice(lo, lo + (1 << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(i[use][s].astype("int32")), pa.array(j[use][s].astype("int32")),
+                                                  pa.array(g[use][s])], ["i", "j", "g"])
+        return x.mapInArrow(partial, "i int, j int, g double")
+
+    out = part(0, min(stripe, p))
+    for first in range(stripe, p, stripe):
+        out = out.unionByName(part(first, min(first + stripe, p)))
+    return out.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def vif_of(gram, tolerance: float = 1e-9):
@@ -475,7 +484,8 @@ def vif_of(gram, tolerance: float = 1e-9):
 
 def vif_eliminate(df: DataFrame, features: list[str], max_vif: float = 5.0, drop: str = "largest"
                   ) -> tuple[list[str], dict]:
-    """(kept features, their final VIFs). The Gram matrix is computed once; sub-matrices are iterated on.
+    """(kept features, their final VIFs). The Gram matrix is computed once and inverted by sweeps; dropping a
+    feature is one rank-one update of the inverse.
 
     Zero columns go first. ``drop='largest'`` then drops the feature with the largest VIF, of equal ones the last,
     while it is at least ``max_vif``; ``drop='all'`` drops all such features at once, in rounds."""
@@ -486,13 +496,55 @@ def vif_eliminate(df: DataFrame, features: list[str], max_vif: float = 5.0, drop
     g = np.zeros((p, p))
     for r in gram_matrix(df, features).collect():
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
-    idx = [i for i in range(p) if g[i, i] > 0]
-    v = vif_of(g[np.ix_(idx, idx)])
-    while idx and v.max() >= max_vif:
+    idx = np.flatnonzero(np.diag(g) > 0)
+    d = np.sqrt(np.diag(g)[idx])
+    r = g[np.ix_(idx, idx)] / np.outer(d, d)
+    while True:
+        # dependencies first: the sweeps skip the last feature of each, as dropping the largest, infinite ones would
+        swept, inverse, skipped = sweep_inverse(r)
+        if drop != "all" or not len(skipped):
+            break
+        tied = np.abs(swept[:, skipped]).max(1) > DEPENDENT
+        tied[skipped] = True
+        keep = ~tied
+        keep[keep] = np.diag(inverse)[~tied[np.setdiff1d(np.arange(len(r)), skipped)]] < max_vif
+        idx, r = idx[keep], r[np.ix_(keep, keep)]
+    idx = np.delete(idx, skipped)
+    while len(idx) and np.diag(inverse).max() >= max_vif:
+        v = np.diag(inverse)
         bad = np.flatnonzero(v >= max_vif) if drop == "all" else np.flatnonzero(v >= v.max() * (1 - 1e-9))[-1:]
-        idx = [i for n, i in enumerate(idx) if n not in set(bad.tolist())]
-        v = vif_of(g[np.ix_(idx, idx)])
-    return [features[i] for i in idx], {features[i]: float(x) for i, x in zip(idx, v, strict=True)}
+        for n, k in enumerate(bad.tolist()):
+            # without feature k the inverse loses the part that goes through it
+            k -= n
+            inverse = inverse - np.outer(inverse[:, k], inverse[k]) / inverse[k, k]
+            inverse = np.delete(np.delete(inverse, k, 0), k, 1)
+        idx = np.delete(idx, bad)
+    return [features[i] for i in idx], {features[i]: float(x) for i, x in zip(idx, np.diag(inverse), strict=True)}
+
+
+#: A swept feature takes part in a dependency if its coefficient for the dependent one is larger.
+DEPENDENT = 1e-4
+
+
+def sweep_inverse(r, tolerance: float = 1e-9):
+    """(swept matrix, inverse over the features that were swept, features that were not) of a correlation matrix.
+
+    Features are swept in order, one rank-one update each; one that the features before it determine, whose residual
+    variance is at most ``tolerance`` times their number, is skipped."""
+    import numpy as np
+    a = np.array(r, float)
+    swept = np.zeros(len(a), bool)
+    for k in range(len(a)):
+        if a[k, k] <= tolerance * len(a):
+            continue
+        row = a[k] / a[k, k]
+        pivot = a[k, k]
+        a -= np.outer(a[:, k], row)
+        a[k], a[:, k] = row, row
+        a[k, k] = -1 / pivot
+        swept[k] = True
+    keep = np.flatnonzero(swept)
+    return a, -a[np.ix_(keep, keep)], np.flatnonzero(~swept)
 
 
 # ---- T14 composite -------------------------------------------------------------------------------------------------

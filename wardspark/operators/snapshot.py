@@ -225,29 +225,54 @@ def snapshot_sums(hourly: DataFrame, visits: DataFrame, hours: int = DEFAULT_HOU
     [max(t,1), next-1] (W1, labs only from ``lab_min_time``) and the running sums valid for hours
     [t+1, next] (W2, same visit, time < h); a single generator emits both intervals. Earlier admissions (J5)
     are added per (visit, feature)."""
-    hr = hourly.where(F.col(time) <= hours)
+    stored = snapshot_intervals(hourly.where(F.col(time) <= hours), visits, keys, time, lab_min_time, subject, start, earlier)
+    return expand_intervals(stored, hours, keys)
+
+
+def snapshot_intervals(hourly: DataFrame, visits: DataFrame, keys=VISIT, time="time", lab_min_time: int | None = 1,
+                       subject="subject_id", start="admittime", earlier: bool = True) -> DataFrame:
+    """The snapshot as it is stored: keys, name, valid_from, valid_to (null: open), s, n.
+
+    A cell at an hour is the sum of the rows valid then. A measurement gives two rows and an earlier admission one per
+    feature, so the size does not depend on how many hours are looked at."""
     w = Window.partitionBy(*keys, "itemid").orderBy(time)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nxt = F.lead(time).over(w)
-    win = hr.select(*keys, "feature", "source", time, "s", "n", nxt.alias("nxt"),
-                    F.sum("s").over(run).alias("cs"), F.sum("n").over(run).alias("cn"))
+    win = hourly.select(*keys, "feature", "source", time, "s", "n", F.lead(time).over(w).cast("int").alias("nxt"),
+                        F.sum("s").over(run).alias("cs"), F.sum("n").over(run).alias("cn"))
     cur_ok = F.lit(True) if lab_min_time is None else ((F.col("source") != "lab") | (F.col(time) >= lab_min_time))
-    c_lo = F.greatest(F.col(time), F.lit(1)).cast("int")
-    c_hi = F.when(cur_ok, F.least(F.coalesce(F.col("nxt") - 1, F.lit(hours)), F.lit(hours))).otherwise(-1).cast("int")
-    p_lo = F.greatest(F.col(time) + 1, F.lit(1)).cast("int")
-    p_hi = F.least(F.coalesce(F.col("nxt"), F.lit(hours)), F.lit(hours)).cast("int")
+    c_to = F.when(cur_ok, F.col("nxt") - 1).otherwise(-1)
     ivs = F.array(
-        F.struct(F.concat(F.lit("cur_"), F.col("feature")).alias("name"), c_lo.alias("lo"), c_hi.alias("hi"),
+        F.struct(F.concat(F.lit("cur_"), F.col("feature")).alias("name"),
+                 F.greatest(F.col(time), F.lit(1)).cast("int").alias("valid_from"), c_to.alias("valid_to"),
                  F.col("s").alias("s"), F.col("n").alias("n")),
-        F.struct(F.concat(F.lit("prior_"), F.col("feature")).alias("name"), p_lo.alias("lo"), p_hi.alias("hi"),
+        F.struct(F.concat(F.lit("prior_"), F.col("feature")).alias("name"),
+                 F.greatest(F.col(time) + 1, F.lit(1)).cast("int").alias("valid_from"), F.col("nxt").alias("valid_to"),
                  F.col("cs").alias("s"), F.col("cn").alias("n")))
-    out = win.select(*keys, F.explode(ivs).alias("iv")).select(*keys, "iv.*")
+    out = win.select(*keys, F.explode(ivs).alias("iv")).select(*keys, "iv.*").where(
+        "valid_to is null or valid_from <= valid_to")
     if earlier:
         e = earlier_from_hourly(hourly, visits, keys, subject, start)
         out = out.unionByName(e.select(*keys, F.concat(F.lit("prior_"), F.col("feature")).alias("name"),
-                                       F.lit(1).alias("lo"), F.lit(hours).alias("hi"),
+                                       F.lit(1).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"),
                                        F.col("e_sum").alias("s"), F.col("e_n").alias("n")))
-    return explode_hours(out, keys)
+    return out
+
+
+def expand_intervals(stored: DataFrame, hours: int = DEFAULT_HOURS, keys=VISIT) -> DataFrame:
+    """Hours 1..H of stored intervals: keys, hour, name, s, n, one row per interval and hour."""
+    upto = F.least(F.coalesce("valid_to", F.lit(hours)), F.lit(hours))
+    return explode_hours(stored.select(*keys, "name", "s", "n", F.col("valid_from").alias("lo"), upto.alias("hi")), keys)
+
+
+def intervals_at(stored: DataFrame, hour: int, keys=VISIT) -> DataFrame:
+    """The stored intervals that are valid at one hour, in the form of ``expand_intervals``; no hours are expanded."""
+    at = stored.where((F.col("valid_from") <= hour) & (F.col("valid_to").isNull() | (F.col("valid_to") >= hour)))
+    return at.select(*keys, "name", "s", "n", F.lit(hour).alias("hour"))
+
+
+def gate_of_intervals(stored: DataFrame, keys=VISIT) -> DataFrame:
+    """``gate_hours`` from stored intervals: keys, _gate."""
+    return stored.where(F.col("name").startswith("cur_")).groupBy(*keys).agg(F.min("valid_from").alias("_gate"))
 
 
 def earlier_from_hourly(hourly: DataFrame, visits: DataFrame, keys=VISIT, subject="subject_id",
@@ -277,13 +302,17 @@ def snapshot_cells(hourly: DataFrame, visits: DataFrame, hours: int = DEFAULT_HO
     ``cell_names``), ok (within its bounds).
 
     Bounds by name are a fixed table and broadcast."""
+    return cells_of(snapshot_sums(hourly, visits, hours, keys, time, lab_min_time), features, keys, margin)
+
+
+def cells_of(sums: DataFrame, features=ALL_FEATURES, keys=VISIT, margin: float | None = None) -> DataFrame:
+    """Means and validity of (keys, hour, name, s, n) rows: the columns of ``snapshot_cells``."""
     from wardspark.functions.vocab import VALIDITY_MARGIN, bounds_rows
     bnd = {f: (lo, hi) for f, lo, hi in bounds_rows(VALIDITY_MARGIN if margin is None else margin)}
-    by_name = hourly.sparkSession.createDataFrame(
+    by_name = sums.sparkSession.createDataFrame(
         [(f"{k}_{n}", i, *bnd.get(n, (None, None))) for i, (k, n) in enumerate(cell_names(features))],
         "name string, pos int, low double, high double")
-    return (snapshot_sums(hourly, visits, hours, keys, time, lab_min_time)
-            .groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return (sums.groupBy(*keys, "hour", "name").agg((F.sum("s") / F.sum("n")).alias("mean"))
             .join(F.broadcast(by_name), on="name", how="left")
             .withColumn("ok", is_valid("mean", "low", "high")).drop("low", "high"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspark.plans import q_align, q_io, q_models, q_prep, q_profile, q_score, q_snapshot  # noqa: F401
+from wardspark.plans import q_align, q_io, q_models, q_prep, q_profile, q_score, q_snapshot, q_tables  # noqa: F401
 from wardspark.plans.registry import ORACLES, QUERIES
 
 
@@ -28,4 +28,4 @@ def oracle_sql():
 
 def flagship(spark, sf_dir):
     """The hour-by-hour visit snapshot with labels (per-hour file form)."""
-    return queries()["w5_snapshot_by_hour"](spark, sf_dir)
+    return _prepared(lambda spark, d: q_snapshot.snapshot_df(spark, d, emit_empty=False))(spark, sf_dir)

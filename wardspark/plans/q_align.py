@@ -246,10 +246,9 @@ def _vocab_items_sql():
 SELECT subject_id, hadm_id, itemid, charttime, {R6('valuenum')} AS valuenum FROM fx_events
 WHERE itemid IN ({_vocab_items_sql()})"""))
 def q_p6(spark, d):
-    from wardspark.functions.vocab import item_vocab
-    ev = fx.fx_events(spark, d)
-    # the item list is the fixed-size vocabulary: a broadcast semi-join instead of a long IN-list
-    kept = ev.join(F.broadcast(item_vocab(spark).select("itemid")), on="itemid", how="left_semi")
+    from wardspark.functions.vocab import vocab_rows
+    # the item list is the fixed vocabulary: a set of literals, which a scan of an item column takes as its filter
+    kept = fx.fx_events(spark, d).where(F.col("itemid").isin([r[0] for r in vocab_rows()]))
     return kept.select(*VISIT, "itemid", "charttime", r6("valuenum").alias("valuenum"))
 
 

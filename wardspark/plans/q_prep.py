@@ -222,6 +222,36 @@ def q_t8(spark, d):
     return _round_feats(h.select(*VISIT, "hour", *FEATS))
 
 
+# only two of the features have a normal: the means of the development split fill the rest
+SOME_NORMALS = {f: FX_NORMALS[f] for f in FEATS[:2]}
+
+
+@register("t7_some_normals_then_mean", sql(
+    "SELECT m.subject_id, m.hadm_id, m.hour, m.split, "
+    + ", ".join(f"{R6(f'coalesce(m.{f}, {FX_NORMALS[f]!r}::DOUBLE)' if f in SOME_NORMALS else f'coalesce(m.{f}, a.{f})')} AS {f}"
+                for f in FEATS)
+    + " FROM mts m, dmeans a"))
+def q_t7_some(spark, d):
+    data = prep.fill(with_split(spark, d), SOME_NORMALS)
+    means = prep.column_means(data.where(F.col("split") == "devel"), FEATS)
+    return _round_feats(prep.fill(data, means).select(*VISIT, "hour", "split", *FEATS))
+
+
+# a feature that one visit in three lacks wholly, and one that no visit has
+@register("t8_every_step", sql(
+    "SELECT m.subject_id, m.hadm_id, m.hour, "
+    + R6(f"coalesce(m.part, v.part, g.part)") + " AS part, " + R6("98.5::DOUBLE") + " AS none FROM part m JOIN ("
+    "SELECT subject_id, hadm_id, avg(part) AS part FROM part GROUP BY ALL) v ON v.subject_id = m.subject_id AND "
+    "v.hadm_id = m.hadm_id, (SELECT avg(part) AS part FROM (SELECT subject_id, hadm_id, avg(part) AS part FROM part GROUP BY ALL)) g",
+    {"part": f"SELECT subject_id, hadm_id, hour, CASE WHEN hadm_id % 3 > 0 THEN {FEATS[0]} END AS part FROM mt"}))
+def q_t8_steps(spark, d):
+    """Every step fires: a row's own value, its visit's mean, the mean of the visits, and the normal."""
+    part = model_table(spark, d).select(*VISIT, "hour", F.when(F.col("hadm_id") % 3 > 0, F.col(FEATS[0])).alias("part"),
+                                        F.lit(None).cast("double").alias("none"))
+    out = prep.hierarchical_impute(part, ["part", "none"], normals={"none": 98.5})
+    return out.select(*VISIT, "hour", r6("part").alias("part"), r6("none").alias("none"))
+
+
 @register("t9_normals_vector", sql(
     "SELECT v.feature, " + R6("coalesce(v.normal, c.category_mean, i.item_mean)") + " AS value FROM (VALUES "
     + ", ".join(f"('{f}', {('NULL' if NORMAL_VALUES[f] is None else repr(float(NORMAL_VALUES[f])) + '::DOUBLE')})"
@@ -389,12 +419,48 @@ def q_t2(spark, d):
     return s.select("i", "j", r6(F.col("g") / F.sqrt(F.col("di") * F.col("dj"))).alias("g"))
 
 
-@register("t2_vif_eliminate")
+def _det(s: tuple) -> str:
+    """Determinant of the scaled Gram matrix over the features ``s``, by expansion."""
+    if len(s) <= 1:
+        return "1.0"
+
+    def minor(rows, cols):
+        if not rows:
+            return "1.0"
+        terms = [f"{'-' if n % 2 else '+'} {_r(rows[0], c)} * ({minor(rows[1:], cols[:n] + cols[n + 1:])})" for n, c in enumerate(cols)]
+        return " ".join(terms)
+    return minor(s, s)
+
+
+def _r(i: int, j: int) -> str:
+    return "1.0" if i == j else f"r{min(i, j)}{max(i, j)}"
+
+
+def _eliminate_sql() -> str:
+    """VIF of every feature in every set of features, then up to four drops of the largest."""
+    n = len(FEATS)
+    sets = [tuple(i for i in range(n) if mask >> i & 1) for mask in range(1 << n)]
+    dets = ", ".join(f"{_det(s)} AS d{mask}" for mask, s in enumerate(sets))
+    rows = " UNION ALL ".join(f"SELECT {mask} AS mask, {i} AS i, d{mask - (1 << i)} / d{mask} AS vif FROM dets"
+                              for mask, s in enumerate(sets) for i in s)
+    pairs = ", ".join(f"sum({FEATS[i]} * {FEATS[j]}) / sqrt(sum({FEATS[i]} * {FEATS[i]}) * sum({FEATS[j]} * {FEATS[j]})) AS {_r(i, j)}"
+                      for i in range(n) for j in range(i + 1, n))
+    extra = {"corr": f"SELECT {pairs} FROM imp WHERE split = 'devel'", "dets": f"SELECT {dets} FROM corr", "vifs": rows,
+             "worst": "SELECT mask, max(vif) AS vif, arg_max(i, vif) AS i FROM vifs GROUP BY mask",
+             "step0": f"SELECT {(1 << n) - 1} AS mask"}
+    for k in range(1, n):
+        extra[f"step{k}"] = (f"SELECT CASE WHEN w.vif >= 5 THEN w.mask - (1 << w.i) ELSE w.mask END AS mask "
+                             f"FROM step{k - 1} s JOIN worst w ON w.mask = s.mask")
+    names = ", ".join(f"'{f}'" for f in FEATS)
+    return sql(f"SELECT [{names}][1 + v.i] AS feature, {R6('v.vif')} AS vif FROM vifs v JOIN step{n - 1} s ON s.mask = v.mask", extra)
+
+
+@register("t2_vif_eliminate", _eliminate_sql())
 def q_t2_elim(spark, d):
-    """Features kept by VIF elimination and their final VIF (rows-only check)."""
+    """Features kept by VIF elimination and their final VIF (the oracle takes determinants over all sets of features)."""
     devel = imputed(spark, d).where(F.col("split") == "devel")
     kept, vifs = prep.vif_eliminate(devel, FEATS)
-    return spark.createDataFrame([(f, float(vifs.get(f, float("nan")))) for f in kept], "feature string, vif double")
+    return spark.createDataFrame([(f, float(vifs[f])) for f in kept], "feature string, vif double").withColumn("vif", r6("vif"))
 
 
 def _three(a, b, c):
@@ -427,14 +493,15 @@ def q_u2(spark, d):
 
 @register("j12_label_refresh", sql(
     f"SELECT m.subject_id, m.hadm_id, m.hour, {', '.join(f'{R6(f)} AS {f}' for f in FEATS)}, "
-    + ", ".join(f"p.ptstage_{L}, p.pstage_{L}" for L in snap.LABEL_HORIZONS) + ", "
-    + ", ".join(f"n.tstage_{L}, n.stage_{L}" for L in snap.LABEL_HORIZONS)
-    + " FROM mt m JOIN w3 n ON n.subject_id = m.subject_id AND n.hadm_id = m.hadm_id AND n.hour = m.hour"
-      " JOIN w4 p ON p.subject_id = m.subject_id AND p.hadm_id = m.hadm_id AND p.hour = m.hour"))
+    + ", ".join(f"coalesce(p.ptstage_{L}, 0) AS ptstage_{L}, coalesce(p.pstage_{L}, 0) AS pstage_{L}" for L in snap.LABEL_HORIZONS) + ", "
+    + ", ".join(f"coalesce(n.tstage_{L}, 0) AS tstage_{L}, coalesce(n.stage_{L}, 0) AS stage_{L}" for L in snap.LABEL_HORIZONS)
+    + " FROM mt m LEFT JOIN w3 n ON n.subject_id = m.subject_id AND n.hadm_id = m.hadm_id AND n.hour = m.hour"
+      " LEFT JOIN w4 p ON p.subject_id = m.subject_id AND p.hadm_id = m.hadm_id AND p.hour = m.hour"))
 def q_j12(spark, d):
-    """Drop the old label columns and attach the full previous/forward label set by key (not by position)."""
+    """Drop the old label columns and attach the full previous/forward label set by key (not by position). Every row of
+    the table stays; hours outside the label horizon have no label and get zeros."""
     from wardspark.functions.clinical import label_columns
-    data = model_table(spark, d, (1, H)).drop(*LABELS)
+    data = model_table(spark, d).drop(*LABELS)
     parts = snap.label_parts(nonzero(spark, d), H)
     labels = snap.explode_hours(parts).groupBy(*VISIT, "hour").agg(*snap.label_aggs())
     cols = label_columns(previous=True) + label_columns()

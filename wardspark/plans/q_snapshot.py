@@ -6,8 +6,11 @@ self-joins, arg_min over (time, value)), so they check the interval-explode / ru
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import functions as F
 
+from wardspark.functions.clinical import label_columns
 from wardspark.functions.vocab import (ALL_FEATURES, LABEL_HORIZONS, bounds_rows, sql_values, vocab_rows)
 from wardspark.operators import snapshot as snap
 from wardspark.operators import staging
@@ -181,15 +184,20 @@ def _snapshot_sql(emit_empty: bool) -> str:
     feats = ALL_FEATURES
     lab_cols_p = ", ".join(f"p.ptstage_{L}, p.pstage_{L}" for L in LABEL_HORIZONS)
     lab_cols_n = ", ".join(f"n.tstage_{L}, n.stage_{L}" for L in LABEL_HORIZONS)
-    cur_cols = ", ".join(f"max(CASE WHEN c.feature = '{f}' AND {_validity_sql('c.s / c.n')} "
-                         f"THEN {R6('c.s / c.n')} END) AS cur_{f}" for f in feats)
-    pri_cols = ", ".join(f"max(CASE WHEN q.feature = '{f}' AND {_validity_sql('q.s / q.n')} "
-                         f"THEN {R6('q.s / q.n')} END) AS prior_{f}" for f in feats)
+    # the views have these features only; the other columns are null
+    some = {r[2] for r in vocab_rows() if r[0] in FX_ITEMS}
+
+    def columns(side):
+        return ", ".join(f"max(value) FILTER (WHERE feature = '{f}') AS {side}_{f}" if f in some else
+                         f"CAST(NULL AS DOUBLE) AS {side}_{f}" for f in feats)
+
+    def cells(table):
+        mean = "t.s / t.n"
+        return (f"(SELECT t.subject_id, t.hadm_id, t.hour, t.feature, CASE WHEN {_validity_sql(mean)} THEN {R6(mean)} END AS value "
+                f"FROM {table} t LEFT JOIN bounds b ON b.feature = t.feature)")
     extra = {
-        "curw": f"""SELECT c.subject_id, c.hadm_id, c.hour, {cur_cols}, count(*) AS n_cur
-            FROM w1 c LEFT JOIN bounds b ON b.feature = c.feature GROUP BY ALL""",
-        "priw": f"""SELECT q.subject_id, q.hadm_id, q.hour, {pri_cols}
-            FROM w2 q LEFT JOIN bounds b ON b.feature = q.feature GROUP BY ALL""",
+        "curw": f"SELECT subject_id, hadm_id, hour, {columns('cur')}, count(*) AS n_cur FROM {cells('w1')} GROUP BY ALL",
+        "priw": f"SELECT subject_id, hadm_id, hour, {columns('prior')} FROM {cells('w2')} GROUP BY ALL",
     }
     gate = "" if emit_empty else "WHERE c.n_cur IS NOT NULL"
     body = f"""
@@ -221,14 +229,47 @@ def snapshot_df(spark, d, emit_empty: bool, hours: int = H):
     return snap.snapshot(hourly, vis, nz, hours=hours, emit_empty=emit_empty, shape=r6)
 
 
-@register("w5_snapshot_by_hour", _snapshot_sql(emit_empty=False))
+# All columns of the wide snapshot in its order, hour and visit first.
+SNAPSHOT_COLUMNS = ["hour", *VISIT, "ethnicity", "age", "gender", *[f"prior_{f}" for f in ALL_FEATURES],
+                    *label_columns(LABEL_HORIZONS, previous=True), *[f"cur_{f}" for f in ALL_FEATURES],
+                    *label_columns(LABEL_HORIZONS)]
+
+
+def _is_mean(c: str) -> bool:
+    return c.startswith(("prior_", "cur_"))
+
+
+def digest(df):
+    """Hour, visit, and the MD5 of all columns of the wide snapshot in order: means in millionths, nulls as '?'."""
+    if df.columns != SNAPSHOT_COLUMNS:
+        raise ValueError("the snapshot's columns have changed")
+    text = []
+    for mean, run in groupby(SNAPSHOT_COLUMNS, _is_mean):
+        if mean:  # one expression for a whole side, which keeps the generated code small
+            millionths = F.transform(F.array(*run), lambda x: F.coalesce(F.round(x * 1e6).cast("long").cast("string"), F.lit("?")))
+            text.append(F.array_join(millionths, "|"))
+        else:
+            text += [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in run]
+    return df.select("hour", *VISIT, F.md5(F.concat_ws("|", *text)).alias("digest"))
+
+
+def _digest_sql(emit_empty: bool) -> str:
+    text = ", ".join(f"coalesce(CAST({f'CAST(round({c} * 1e6) AS BIGINT)' if _is_mean(c) else c} AS VARCHAR), '?')"
+                     for c in (f'"{c}"' if not _is_mean(c) else c for c in SNAPSHOT_COLUMNS))
+    return (f"SELECT hour, subject_id, hadm_id, md5(concat_ws('|', {text})) AS digest "
+            f"FROM ({_snapshot_sql(emit_empty)})")
+
+
+@register("w5_snapshot_by_hour", _digest_sql(emit_empty=False))
 def q_w5_hour(spark, d):
-    return snapshot_df(spark, d, emit_empty=False)
+    """Every row of the wide snapshot as one digest of its 226 columns (the rows themselves: ``snapshot_df``)."""
+    return digest(snapshot_df(spark, d, emit_empty=False))
 
 
-@register("w5_snapshot_by_visit", _snapshot_sql(emit_empty=True))
+@register("w5_snapshot_by_visit", _digest_sql(emit_empty=True))
 def q_w5_visit(spark, d):
-    return snapshot_df(spark, d, emit_empty=True)
+    """As w5_snapshot_by_hour, with the hours before a visit's first observation."""
+    return digest(snapshot_df(spark, d, emit_empty=True))
 
 
 @register("w5_snapshot_cells", sql(f"""
@@ -268,6 +309,26 @@ def q_w8(spark, d):
     return w.select(*[r6(c).alias(c) if c.startswith("item_") else F.col(c) for c in w.columns])
 
 
+def _item_list():
+    return sorted({r[0] for r in vocab_rows()})
+
+
+@register("w8_exact_hour_item_list", sql(f"""
+SELECT a.subject_id, a.hadm_id,
+       {', '.join(f"x.item_{i}" if i in FX_ITEMS else f"CAST(NULL AS DOUBLE) AS item_{i}" for i in _item_list())}
+FROM fx_adm_age a
+LEFT JOIN (SELECT subject_id, hadm_id,
+           {', '.join(f"{R6(f'avg(valuenum) FILTER (WHERE itemid = {i})')} AS item_{i}" for i in FX_ITEMS)}
+           FROM fx_timed WHERE time = {EXACT_HOUR} GROUP BY ALL) x
+  ON x.subject_id = a.subject_id AND x.hadm_id = a.hadm_id"""))
+def q_w8_list(spark, d):
+    """The hour's value of every item of the vocabulary, null for an item that a visit does not have."""
+    from wardspark.operators.align import hour_offset, hourly_aggregate
+    hourly = hourly_aggregate(hour_offset(fx.fx_events(spark, d), fx.fx_admissions(spark, d)))
+    w = snap.snapshot_exact(hourly, visits(spark, d), nonzero(spark, d), EXACT_HOUR, _item_list())
+    return w.select(*VISIT, *[r6(f"item_{i}").alias(f"item_{i}") for i in _item_list()])
+
+
 @register("w6_last_stage_per_time", sql("""
 SELECT subject_id, hadm_id, time, arg_max(stage, valuenum) AS stage FROM fx_staged GROUP BY ALL"""))
 def q_w6(spark, d):
