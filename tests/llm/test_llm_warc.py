@@ -84,3 +84,17 @@ def test_magic_inside_a_member_is_no_record():
         starts = [s for lo, hi in ((0, cut), (cut, len(data))) for s, _, _ in warc.records_in(
             warc._Source(io.BytesIO(data), len(data)), lo, hi)]
         assert len([s for s in starts if s in (0, len(stored), len(data) - len(stored))]) == 3
+
+
+def test_headers_of_any_length_are_read_back(spark, tmp_path):
+    import random
+    r = random.Random(0)
+    long_url = "http://x/" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2_200_000))
+    rows = [(1, long_url, "<p>one</p>"), (2, "u", "<p>two</p>"), (3, "http://y/" + "z" * 3_000_000, "<p>one</p>"), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.sparkContext.setCheckpointDir(str(tmp_path)) if spark.sparkContext.getCheckpointDir() is None else None
+    manifest = warc.archive(df)
+    for split in (1 << 16, 4 << 20):
+        got = {x["page_id"]: x for x in warc.read_archives(manifest, split=split).collect()}
+        assert {k: (v["uri"], v["record_type"], v["refers_to"]) for k, v in got.items()} == {
+            1: (long_url, "revisit", 3), 2: ("u", "response", None), 3: (rows[2][1], "response", None), 4: (None, "response", None)}

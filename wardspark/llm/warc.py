@@ -7,7 +7,7 @@ without the payload.
 
 Reading: archives are cut into ranges of ``split`` bytes, whatever their records. A task scans its range for the gzip
 magic. A hit may be compressed data that looks like one, so the task inflates the beginning and takes the hit as a
-record only if a WARC version line and a header follow. A record belongs to the range in which its first byte lies; its
+record only if a WARC version line and a header, of any length, follow. A record belongs to the range in which its first byte lies; its
 member is read to its end, beyond the range if need be.
 
 Defined cases: a null payload is empty; a payload of fewer than ``min_revisit`` bytes is never a revisit. A page id
@@ -36,8 +36,6 @@ from wardspark.session import checkpoint_dir, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: A header longer than this is not taken for one.
-HEADER_MAX = 1 << 20
 #: Tasks of one read; beyond this a task has several ranges.
 MOST_TASKS = 50_000
 RECORD_FIELDS = ("page_id long, uri string, payload_bytes long, payload_digest string, record_type string, "
@@ -141,21 +139,24 @@ class _Source:
 
 def _header(source: _Source, at: int) -> dict[str, str] | None:
     """Fields of the record whose member begins at ``at``; None if no record does."""
-    z, plain = zlib.decompressobj(31), b""
+    z, plain, end = zlib.decompressobj(31), bytearray(), -1
     try:
-        while not (end := plain.find(b"\r\n\r\n") + 1):
+        while end < 0:
             chunk = z.unconsumed_tail or source.read(at)
-            if not chunk or z.eof or len(plain) > HEADER_MAX:
+            if not chunk or z.eof:
                 return None
             if not z.unconsumed_tail:
                 chunk = chunk[:4096]
                 at += len(chunk)
+            seen = max(len(plain) - 3, 0)
             plain += z.decompress(chunk, 1 << 16)
+            # compressed data that only looks like a member is told by its first bytes; a header may be of any length
             if not plain.startswith(VERSION[:len(plain)]):
                 return None
+            end = plain.find(b"\r\n\r\n", seen)
     except zlib.error:
         return None
-    pairs = [x.split(": ", 1) for x in plain[len(VERSION):end - 1].decode("utf-8", "replace").split("\r\n")]
+    pairs = [x.split(": ", 1) for x in plain[len(VERSION):end].decode("utf-8", "replace").split("\r\n")]
     fields = {x[0].lower(): x[1] for x in pairs if len(x) == 2}
     return fields if {"warc-type", "warc-record-id", "content-length"} <= set(fields) else None
 
