@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wardspark.llm import topk
@@ -56,3 +57,27 @@ def test_the_index_stops_before_all_postings_and_stays_exact():
         assert sorted(score)[-5:] == sorted(truth)[-5:] and q not in ids
         fewer += len(ids) < 1999
     assert fewer == 20
+
+
+@pytest.mark.parametrize("scale", [1, 1e3, 1e5, 1e6, 1e7, 1e12])
+def test_components_of_any_size_are_scored_exactly(scale):
+    r = np.random.default_rng(7)
+    v = np.floor(256 * np.float64((r.normal(0, 0.3, (1500, 24)) * scale).astype(np.float32))).astype(np.int64)
+    index = topk.ImpactIndex(v)
+    for q in range(0, 1500, 250):
+        truth = sorted(((sum(int(a) * int(b) for a, b in zip(row, v[q])), -i) for i, row in enumerate(v) if i != q), reverse=True)[:5]
+        if abs(truth[0][0]) >= 1 << 63:
+            with pytest.raises(OverflowError):
+                index.search(v[q], 5, q)
+            continue
+        ids, score = index.search(v[q], 5, q)
+        got = sorted(((int(s), -int(i)) for i, s in zip(ids, score)), reverse=True)[:5]
+        assert got == truth
+
+
+def test_large_components_in_a_table(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(0, 1e6, 8)], 0) for i in range(150)]
+    assert run(spark, rows) == brute([x[:2] for x in rows])
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [*rows, (999, [3e38] * 8, 0)])

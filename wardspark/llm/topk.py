@@ -12,12 +12,16 @@ returns at most k rows a query; a last ranking of those gives the answer.
 
 Components are integers floor(scale * x). Defined cases: a vector that is null, empty or has a null or non-finite
 component takes no part, nor does a null id. Of repeated ids the smallest vector counts. Vectors are compared with
-those of the same length only. Ties go to the smaller id. A query with fewer than k others gets all of them. Scores
-must fit in 52 bits. An empty table gives no rows.
+those of the same length only. Ties go to the smaller id. A query with fewer than k others gets all of them. An empty
+table gives no rows. Large components: accumulators hold bounds in units of a power of two that keeps them exact, and
+members are rescored in 64-bit integers; where a sum of products might not fit those, in integers of any size. A
+component or one of the k best scores beyond 64 bits is an error, as the result has no place for it.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -54,10 +58,17 @@ class ImpactIndex:
     def search(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of all possible members of the k best; ``own`` takes no part."""
         n, dims = self.vectors.shape
+        size = np.maximum(np.abs(self.floor_low.astype(float)), np.abs(self.floor_high.astype(float)))
+        most_sum = float((np.abs(query.astype(float)) * size).sum())
+        if most_sum >= 2.0 ** 60:  # products and their sums might not fit 64 bits
+            return self._search_any_size(query, k, own)
         q = query[self.dim]
         ends = np.stack([q * self.least, q * self.most])
         worst = np.minimum(query * self.floor_low, query * self.floor_high)[self.dim]
         lower, upper = ends.min(0) - worst, ends.max(0) - worst
+        # bounds in units of 2 ** unit, rounded outwards: with the counter below they stay within 52 bits
+        unit = max(0, int(2 * most_sum).bit_length() + dims.bit_length() + 2 - 52)
+        lower, upper = lower >> unit, -(-upper >> unit)
         # no vector gains more by quantisation than the widest segment of each dimension
         slack = np.maximum.reduceat(upper - lower, np.flatnonzero(np.diff(self.dim, prepend=-1))).sum()
         by_impact = np.argsort(-upper, kind="stable")
@@ -91,7 +102,7 @@ class ImpactIndex:
                 # the vectors ahead so far are scored exactly: the k-th best of them is below the true k-th best
                 ahead = np.argpartition(bound, n - probes)[n - probes:]
                 ahead = ahead[ahead != own]
-                kth = np.partition(self.vectors[ahead] @ query, -k)[-k] - least_score
+                kth = (np.partition(self.vectors[ahead] @ query, -k)[-k] - least_score) >> unit
                 possible = most >= kth
             else:
                 possible = np.ones(n, bool)
@@ -102,6 +113,15 @@ class ImpactIndex:
         members = np.flatnonzero(possible)
         return members, self.vectors[members] @ query
 
+    def _search_any_size(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, by integers of any size, for components whose products might overflow."""
+        q = [int(x) for x in query]
+        score = [(sum(a * b for a, b in zip(row.tolist(), q, strict=True)), -i) for i, row in enumerate(self.vectors) if i != own]
+        best = heapq.nlargest(k, score)
+        if any(abs(s) >= 1 << 63 for s, _ in best):
+            raise OverflowError("a score of the best does not fit 64 bits")
+        return np.array([-i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
+
 
 def integers(col: Column, scale: float) -> Column:
     """floor(scale * x) of every component as long, null for a vector that takes no part."""
@@ -109,7 +129,11 @@ def integers(col: Column, scale: float) -> Column:
     limit = float("inf")
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (x == F.lit(limit)) | (x == F.lit(-limit)))
     good = col.isNotNull() & (F.size(col) > 0) & ~bad
-    return F.when(good, F.transform(wide, lambda x: F.floor(F.lit(scale) * x)))
+    def whole(x):
+        y = F.lit(scale) * x
+        return F.when(F.abs(y) < F.lit(2.0 ** 63), F.floor(y)).otherwise(
+            F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+    return F.when(good, F.transform(wide, whole))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
