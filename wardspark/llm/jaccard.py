@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import SLICE_BYTES, join_checked, map_batches
+from wardspark.llm.common import BROADCAST_BYTES, SLICE_BYTES, join_checked, map_batches, release
 from wardspark.llm.components import components
 from wardspark.session import materialize
 
@@ -98,39 +98,43 @@ def _shingled(rows: DataFrame, k: int) -> DataFrame:
 
 
 def linked(grams: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float,
-           width: int = 2048, light: int = 64) -> np.ndarray:
+           width: int = 512, light: int = 64) -> np.ndarray:
     """Matrix over left x right (row numbers): whether the Jaccard similarity reaches the threshold.
 
     A shingle that few pairs of the two sides share adds to those pairs one by one; the others are columns of blocked
     matrix products.
     """
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), size)
-    shared = np.zeros(len(left) * len(right), np.float32)
-    values, column, count = np.unique(grams, return_inverse=True, return_counts=True)
-    keep = count[column] > 1
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
+    n_values = len(count)
+    column = column.astype(np.int32)
+    keep = (count > 1)[column]
     row, column = row[keep], column[keep]
+    del count, keep
     sides = []
     for side in (left, right):
-        place = np.full(len(size), -1)
-        place[side] = np.arange(len(side))
+        place = np.full(len(size), -1, np.int32)
+        place[side] = np.arange(len(side), dtype=np.int32)
         p = place[row]
         at, p = column[p >= 0], p[p >= 0]
         order = np.argsort(at, kind="stable")
-        sides.append((at[order], p[order], np.bincount(at, minlength=len(values))))
+        sides.append((at[order], p[order], np.bincount(at, minlength=n_values).astype(np.int32)))
+    del row, column
     (at_l, row_l, n_l), (at_r, row_r, n_r) = sides
-    pairs = n_l * n_r
+    shared = np.zeros(len(left) * len(right), np.float32)
+    pairs = n_l.astype(np.int64) * n_r
     first_r = np.cumsum(n_r) - n_r
     use = np.flatnonzero(pairs[at_l] * (pairs[at_l] <= light) > 0)
-    step = max(1, 4_000_000 // light)
+    step = max(1, 500_000 // light)
     for lo in range(0, len(use), step):
         e = use[lo:lo + step]
         n = n_r[at_l[e]]
         partner = np.repeat(first_r[at_l[e]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        np.add.at(shared, np.repeat(row_l[e], n) * len(right) + row_r[partner], np.float32(1))
+        np.add.at(shared, np.repeat(row_l[e].astype(np.int64), n) * len(right) + row_r[partner], np.float32(1))
     shared = shared.reshape(len(left), len(right))
     heavy = np.flatnonzero(pairs > light)
-    new = np.full(len(values), -1)
+    new = np.full(n_values, -1, np.int32)
     new[heavy] = np.arange(len(heavy))
     for lo in range(0, len(heavy), width):
         both = []
@@ -140,9 +144,30 @@ def linked(grams: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.n
             m = np.zeros((n, min(width, len(heavy) - lo)), np.float32)
             m[r[inside], c[inside] - lo] = 1
             both.append(m)
-        shared += both[0] @ both[1].T
-    union = size[left][:, None] + size[right][None, :] - shared
-    return shared / np.maximum(union, 1).astype(np.float64) >= threshold
+        for top in range(0, len(left), ROWS):
+            shared[top:top + ROWS] += both[0][top:top + ROWS] @ both[1].T
+    out = np.empty(shared.shape, bool)
+    for top in range(0, len(left), ROWS):
+        s = shared[top:top + ROWS]
+        union = size[left[top:top + ROWS]][:, None] + size[right][None, :] - s
+        out[top:top + ROWS] = s / np.maximum(union, 1).astype(np.float64) >= threshold
+    return out
+
+
+#: Rows of a matrix of pairs that one step holds in wide numbers.
+ROWS = 128
+
+
+def _least_of_links(match: np.ndarray, of_right: np.ndarray) -> np.ndarray:
+    """For each row the least of ``of_right`` among its links; the greatest number for a row without links."""
+    top = np.iinfo(np.int64).max
+    return np.concatenate([np.where(match[lo:lo + ROWS], of_right[None, :], top).min(1, initial=top)
+                           for lo in range(0, len(match), ROWS)] or [np.zeros(0, np.int64)])
+
+
+def _count_links(match: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of ``weight`` over the links of each row."""
+    return np.concatenate([match[lo:lo + ROWS] @ weight for lo in range(0, len(match), ROWS)] or [np.zeros(0, np.int64)])
 
 
 def _meet(t: pa.Table, threshold: float) -> pa.Table:
@@ -163,22 +188,22 @@ def _meet(t: pa.Table, threshold: float) -> pa.Table:
     if own:
         np.fill_diagonal(match, False)
     links = np.zeros(len(tid), np.int64)
-    links[left] += match @ n[right]
+    links[left] += _count_links(match, n[right])
     if not own:
-        links[right] += match.T @ n[left]
+        links[right] += _count_links(match.T, n[left])
     root = tid.copy()
     while True:  # the least text id spreads along links until nothing changes
-        top = np.iinfo(np.int64).max
-        near_left = np.where(match, root[right][None, :], top).min(1, initial=top)
         new = root.copy()
-        new[left] = np.minimum(root[left], near_left)
-        near_right = np.where(match, new[left][:, None], top).min(0, initial=top)
-        new[right] = np.minimum(new[right], near_right)
+        new[left] = np.minimum(root[left], _least_of_links(match, root[right]))
+        new[right] = np.minimum(new[right], _least_of_links(match.T, new[left]))
         if np.array_equal(new, root):
             break
         root = new
     has = np.flatnonzero(links)
-    return pa.table({"tid": tid[has], "links": links[has], "root": root[has]})
+    out = pa.table({"tid": tid[has], "links": links[has], "root": root[has]})
+    del match, grams, lists, t
+    release()
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -207,12 +232,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = materialize(member.groupBy("tid").agg(F.min("low").alias("label"), F.first("size").alias("size")),
                         "jaccard-labels")
     # a home is cut so that a block has a bounded number of texts and of shingles
-    parts = materialize(label.groupBy("label").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts")),
-        "jaccard-homes")
-    home = join_checked(label, parts, "label").select(
+    parts = label.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts"))
+    # not written: the labels are few beside the texts, and every written table costs a file per task
+    home = label.join(parts, "label").select(
         "tid", F.xxhash64("label", F.pmod(F.xxhash64("tid"), F.col("parts"))).alias("block"))
-    home = materialize(home, "jaccard-blocks")
     seen = member.select("tid", "bucket").join(home, "tid").select("bucket", "block").distinct()
     a, b = seen.alias("a"), seen.alias("b")
     meetings = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.block <= b.block").select(
@@ -223,9 +247,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 F.struct(F.col("y").alias("block"), F.lit(2).alias("side"))))).alias("s")).select(
         "meeting", "s.block", "s.side")
     # text is read again for rows with partners only; where those are few, it isn't shuffled either
-    chosen = materialize(home.join(texts.select("tid", "md5", "first", "n"), "tid").select("tid", "md5", "first", "n"),
-                         "jaccard-chosen")
-    with_text = join_checked(keyed.withColumn("first", low), chosen, ["md5", "first"])
+    chosen = label.select("tid").join(texts.select("tid", "md5", "first", "n"), "tid").select("tid", "md5", "first", "n")
+    few = label.count() * 96 <= BROADCAST_BYTES
+    with_text = keyed.withColumn("first", low).join(F.broadcast(chosen) if few else chosen, ["md5", "first"])
     grams = _shingled(with_text.select("tid", "n", "text"), k).join(home, "tid")
     met = (grams.join(sides, "block").select("meeting", "side", "tid", "n", "grams").groupBy("meeting")
            .applyInArrow(lambda t: _meet(t, threshold), "tid long, links long, root long"))
