@@ -99,7 +99,7 @@ def test_visit_files_of_a_split(spark, tmp_path):
     written = visit_files.write_visit_files(df, folder, ["time", "value", "note"], ["time"])
     assert written.count() == 16 and written.agg(F.sum("rows")).first()[0] == len(rows)
     assert sorted(os.listdir(folder))[0] == "S1_H10.csv" and len([f for f in os.listdir(folder) if f[0] == "S"]) == 16
-    schema = df.select("value", "time", "note").schema.add("absent", "int")
+    schema = df.select("value", "time", "note").schema.add("absent", "integer")
     back = visit_files.read_visit_files(spark, folder, schema)
     assert sorted((r[0], r[1], r["time"], r["value"], r["note"] or "") for r in back.collect()) == sorted(rows)
     assert back.where("absent is not null").count() == 0
