@@ -24,49 +24,164 @@ def mixed_texts(n, seed=0):
     return rows
 
 
-def test_codes_equal_a_plain_loop():
-    texts = ["Ab c", None, "", "é9, x", "  z"]
-    data, off = bytesx.column_bytes(pa.array(texts))
-    code, at = toxicity.codes(data, off)
-    for i, t in enumerate(texts):
-        sym, blank = [0], True
-        for b in (t or "").lower().encode():
-            if b >= 0xC0:
-                continue
-            s = (b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 + (b & 3) if b >= 0x80 else 0)
-            if s == 0 and blank and len(sym) == 1 or s == 0 and sym[-1] == 0:
-                continue
-            sym.append(s)
-            blank = s == 0
-        want = []
-        for j in range(len(sym)):
-            ctx = sym[max(0, j - 4):j + 1]
-            want.append(sum(s << (5 * k) for k, s in enumerate(reversed(ctx))))
-        assert list(code[at[i]:at[i + 1]]) == want, t
-
-
-def test_kneser_ney_probabilities_sum_to_one_and_unseen_contexts_are_neutral():
-    r = np.random.default_rng(0)
-    cont = r.integers(0, 4, 32 ** 3).astype(float)
-    cont[:32] = 0
-    lower = toxicity._backoff(r.integers(0, 5, 32 ** 2).astype(float), np.full(32, 1 / 32), 0.75)
-    p = toxicity._backoff(cont, lower, 1.5).reshape(-1, 32)
-    assert p.sum(1) == pytest.approx(np.ones(32 ** 2)) and p[0] == pytest.approx(lower.reshape(-1, 32)[0])
-    code = np.unique(r.integers(0, toxicity.CODES, 5000)).astype(np.uint32)
-    n = r.integers(0, 3, len(code)).astype(float)
-    table = toxicity.kneser_ney(n, n, code)
-    assert not table.any()
-
-
-def test_windows_find_the_highest_runs():
-    table = np.zeros(toxicity.CODES, np.int8)
-    text = prose(1, 60)
-    data, off = bytesx.column_bytes(pa.array([text, "", "ab"]))
-    code, at = toxicity.codes(data, off)
-    table[code[100]] = 64
-    x = toxicity.features(table, data, off)
-    hits = np.count_nonzero(code[at[0]:at[1]] == code[100])
-    assert x[0, 0] == pytest.approx(hits * 4 / (at[1] - at[0])) and x[0, 1] >= 0.5 and not x[1].any()
+def plain_tokens(text):
+    """Tokens as strings: words, and characters of unspaced scripts with the one after them."""
+    parts = []
+    for c in text.lower():
+        o = ord(c)
+        kind = 2 if 0x3040 <= o <= 0x9FFF or 0x1F000 <= o <= 0x1FAFF else int(c.isalnum())
+        if kind == 1 and parts and parts[-1][0] == 1:
+            parts[-1][1] += c
+        else:
+            parts.append([kind, c])
+    return [p[1] + (parts[i + 1][1] if p[0] == 2 and i + 1 < len(parts) and parts[i + 1][0] == 2 else "")
+            for i, p in enumerate(parts) if p[0]]
+
+
+def test_tokens_equal_a_plain_loop():
+    texts = ["Ab c", None, "", "é9, x!x", "  z", "Привет, ПРИВЕТ мир", "日本語、語。日本 ab日", "😀😀 ok", "a", "“a” – b…c"]
+    data, off = toxicity.lowered(pa.array(texts))
+    h, at = toxicity.tokens(data, off)
+    want = [plain_tokens(t or "") for t in texts]
+    assert list(np.diff(at)) == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    names = {}
+    for x, w in zip(h.tolist(), flat, strict=True):
+        assert names.setdefault(x, w) == w
+    assert len(names) == len(set(flat))
+
+
+def plain_model(texts):
+    """Comparisons of words and pairs of (text, label), by the formulas written out."""
+    from collections import Counter, defaultdict
+    n = [Counter(), Counter()]
+    for text, label in texts:
+        w = plain_tokens(text)
+        n[label].update(set(zip([None, *w], w, strict=False)))
+    before = [defaultdict(set), defaultdict(set)]
+    for label in (0, 1):
+        for a, b in n[label]:
+            before[label][b].add(a)
+    vocabulary = before[0].keys() | before[1].keys()
+    c = [{b: len(before[label][b]) for b in vocabulary} for label in (0, 1)]
+    both = {b: len(before[0][b] | before[1][b]) for b in vocabulary}
+    own = [{b: max(c[label][b] - 1.5, 0) for b in vocabulary} for label in (0, 1)]
+    kept = sum(sum(o.values()) for o in own) / sum(sum(x.values()) for x in c)
+    p = [{b: kept * own[label][b] / sum(own[label].values()) + (1 - kept) * both[b] / sum(both.values())
+          for b in vocabulary} for label in (0, 1)]
+    out = {b: np.log(p[1][b]) - np.log(p[0][b]) for b in vocabulary}
+    for a, b in n[0].keys() | n[1].keys():
+        if a is None or max(n[0][a, b], n[1][a, b]) < 3:
+            continue
+        begun = sum(v for label in (0, 1) for (x, _), v in n[label].items() if x == a)
+        held = [sum(max(v - 2.5, 0) for (x, _), v in n[label].items() if x == a) for label in (0, 1)]
+        mine = [max(n[label][a, b] - 2.5, 0) for label in (0, 1)]
+        share = sum(held) / begun
+        q = [share * (mine[i] / held[i] if held[i] else sum(mine) / sum(held)) + (1 - share) * p[i][b] for i in (0, 1)]
+        out[a, b] = np.log(q[1]) - np.log(q[0]) - out[b]
+    return out, p
+
+
+def test_comparisons_equal_the_formulas(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_PAIRS", 300)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(r.randrange(12))), i % 3 // 2)
+            for i in range(90)]
+    rows += rows[:7]
+    texts = sorted({(t, y) for _, t, y in rows})
+    want, p = plain_model(texts)
+    assert all(sum(x.values()) == pytest.approx(1) for x in p)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    got = {r["key"]: r["v2"] for r in toxicity.compare(toxicity.counts(toxicity.distinct_texts(df, "toxic", "text"))).collect()}
+
+    def key(x):
+        data, off = toxicity.lowered(pa.array([x if isinstance(x, str) else " ".join(x)]))
+        h, _ = toxicity.tokens(data, off)
+        return int((h if len(h) == 1 else toxicity.pair_keys(h[:1], h[1:])).view(np.int64)[0])
+    want = {key(x): v for x, v in want.items()}
+    assert got.keys() <= want.keys() and any(isinstance(x, int) for x in got)
+    for k, v in want.items():
+        assert got.get(k, 0) == pytest.approx(v) or abs(v) < toxicity.LEAST, k
+
+
+def test_highest_runs_equal_a_plain_loop():
+    r = np.random.default_rng(3)
+    at = np.array([0, 0, 1, 30, 30, 90])
+    value = r.normal(size=90)
+    got = toxicity._highest(value, at, (1, 4))
+    for i in range(5):
+        v = value[at[i]:at[i + 1]]
+        assert got[i, 0] == pytest.approx(v.mean() if len(v) else 0)
+        for j, w in enumerate((1, 4)):
+            runs = [v[s:s + w].sum() / w for s in range(len(v))]
+            tops = []
+            while len(tops) < 3:
+                best = max(range(len(runs)), key=runs.__getitem__, default=None)
+                if best is None or runs[best] <= 0:
+                    tops.append(0)
+                    continue
+                tops.append(runs[best])
+                for s in range(max(0, best - w + 1), min(len(runs), best + w)):
+                    runs[s] = -99
+            assert got[i, 1 + 3 * j:4 + 3 * j] == pytest.approx(tops), (i, w)
+
+
+def scripts(n, seed):
+    """Texts of Cyrillic, Greek and Japanese words; the toxic ones hold one of a few words of their script."""
+    r = random.Random(seed)
+    words = ("дом река поле утро вечер книга стол окно".split(), "σπιτι νερο βουνο μερα νυχτα βιβλιο".split(),
+             "山川 空海 花 鳥 風 月 雪 星".split())
+    bad = ("дурак", "ηλιθιε", "馬鹿野郎")
+    rows = []
+    for i in range(n):
+        s = i % 3
+        w = [r.choice(words[s]) for _ in range(r.choice([5, 20]))]
+        if i % 4 == 0:
+            w.insert(r.randrange(len(w)), bad[s] if r.random() < .5 else bad[s].upper())
+        rows.append((i, ("" if s == 2 else " ").join(w), int(i % 4 == 0)))
+    return rows
+
+
+def test_toxicity_of_other_scripts(spark):
+    cols = "doc_id long, text string, toxic int"
+    model = toxicity.learn(spark.createDataFrame(scripts(400, 1), cols))
+    got = toxicity.score(spark.createDataFrame(scripts(200, 2), cols), model, ["toxic"]).collect()
+    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in got)
+
+
+def test_a_model_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    cols = "doc_id long, text string, toxic int"
+    train = spark.createDataFrame(mixed_texts(300), cols)
+    docs = odd_documents(spark).drop("score", "features").select("doc_id", "text").union(
+        spark.createDataFrame(mixed_texts(100, 1), cols).select("doc_id", "text"))
+
+    def scores(model):
+        return sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity.score(docs, model, ["doc_id"]).collect())
+    want = scores(toxicity.learn(train))
+    monkeypatch.setattr(toxicity, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 20_000)
+    model = toxicity.learn(train)
+    assert not isinstance(model.table.entries, tuple)
+    assert scores(model) == want
+
+
+def test_copies_do_not_take_the_bounded_rows(spark):
+    cols = "doc_id long, text string, toxic int"
+    rows = mixed_texts(200)
+    rows += [(1000 + i, rows[1][1], 0) for i in range(400)]
+    texts = toxicity.distinct_texts(spark.createDataFrame(rows, cols), "toxic", "text")
+    found = toxicity.drawn(texts, 50).collect()
+    assert texts.count() == 200 and len(found) == 50 == len({r["text"] for r in found})
+    assert sum(r["n"] for r in texts.collect()) == 600
+    assert toxicity.drawn(texts, 1000).count() == 200
+    test = spark.createDataFrame(mixed_texts(150, 1), cols)
+
+    def right(train):
+        model = toxicity.learn(spark.createDataFrame(train, cols), max_fit=120)
+        got = toxicity.score(test, model, ["toxic"]).collect()
+        return np.mean([(r["score"] >= 0.5) == bool(r["toxic"]) for r in got])
+    with_copies, without = right(rows), right(rows[:200])
+    assert with_copies >= without - 0.02 and without > 0.9, (with_copies, without)
 
 
 def test_toxicity_on_held_out_texts(spark):
