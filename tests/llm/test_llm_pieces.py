@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,48 @@ def test_long_units_and_many_rows_agree_with_single_ones(v):
         assert one[3][0] == more[i]
 
 
+def test_walk_equals_viterbi(v):
+    r = random.Random(5)
+    signs = "日本語のテキスト処理は難しい。abcdefXYZ0123é𝕏😀"
+    for n in (30, 70, 300):
+        for letters in (signs, "x", "ab"):
+            unit = np.frombuffer("".join(r.choice(letters) for _ in range(n)).encode(), np.uint8)
+            best, second, _ = pieces.viterbi(v, unit[None, :])
+            score, other, ids = pieces.walk(v, unit)
+            assert score == best[-1, 0] and (other == second[-1, 0] or max(other, second[-1, 0]) < -1e17)
+            assert b"".join(v.pieces[i] for i in ids.tolist()) == unit.tobytes()
+
+
+def test_walked_and_padded_units_have_equal_results(v, monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("日本語の処理、テキスト。") for _ in range(n)) + " end" for n in (40, 41, 90, 200)] + ["x" * 500]
+    monkeypatch.setattr(pieces, "_BLOCK", 64)
+
+    def run():
+        data = np.frombuffer("".join(" " + t for t in texts).encode(), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t.encode()) + 1 for t in texts])])
+        return pieces.encode_slice(v, data, off, 4, {})
+    walked = run()
+    monkeypatch.setattr(pieces, "_FEW", 0)
+    padded = run()
+    assert all(list(a) == list(b) for a, b in zip(walked[:2], padded[:2], strict=True))
+    assert walked[2] == pytest.approx(padded[2]) and walked[3] == padded[3]
+
+
+def test_a_megabyte_without_blanks_takes_seconds(v):
+    import time
+    r = random.Random(7)
+    for letters in ("日本語のテキスト処理は難しい大学生活", "ABCDEFabcdef0123456789+/"):
+        text = "".join(r.choice(letters) for _ in range(1_000_000 // len(letters[0].encode())))
+        data = np.frombuffer((" " + text).encode(), np.uint8)
+        begin = time.process_time()
+        ids, at, _, more = pieces.encode_slice(v, data, np.array([0, len(data)]), 4, {})
+        assert time.process_time() - begin < 60
+        only = pieces.walk(v, data)[1] < -1e17  # no second segmentation: no character is part of a longer piece
+        assert len(more[0]) == (0 if only else 3)
+        assert pieces.decode_ids(v, ids.astype(np.int64), at) == [text]
+
+
 def test_combine_equals_all_sums():
     lists = [[0.0, -1.0, -5.0], [-2.0, -2.5], [0.0, -0.25, -0.5, -9.0]]
     want = sorted((-sum(c) for c in itertools.product(*lists)))[:7]

@@ -3,7 +3,8 @@
 The lattice of a text has an edge for every vocabulary piece at every position, and the edges of its bytes for a
 character that no piece covers; a segmentation's score is the sum of its pieces' scores. Because no piece has a blank
 after another character, the lattice falls apart at words, exactly. Forward Viterbi runs over all distinct words of
-a slice at once (numpy, rows are words, columns are bytes) and keeps the two best scores per position.
+a slice at once (numpy, rows are words, columns are bytes) and keeps the two best scores per position. Long texts
+without blanks are walked by position over the edges found, so their time grows with their length and no more.
 
 N-best: the forward scores are exact heuristics for a backward A* search, which therefore meets the segmentations of
 a word in order of score. A text's N best segmentations deviate from the best one only in words whose second-best
@@ -22,6 +23,7 @@ scores the one met first by the search, shorter last pieces first, leads; equal
 from __future__ import annotations
 
 import heapq
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +42,10 @@ _TABLE_BITS = 20
 _LOW = -1e18
 #: Units are padded to one of these lengths; a longer one is padded to a multiple of the last.
 _WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+#: Of longer units fewer than this in a group are walked one by one, as steps over few rows cost as much as over many.
+_FEW = 32
+#: Starts in one block of a long unit.
+_BLOCK = 1 << 16
 
 
 @dataclass
@@ -175,10 +181,80 @@ def viterbi(v: Vocabulary, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, second, step
 
 
+def spans(v: Vocabulary, unit: np.ndarray):
+    """The edges of a long unit in blocks, by start and then length: (starts, lengths, piece ids), -1 for bytes.
+
+    All starts of a block are looked up together, one step per length of a piece.
+    """
+    n = len(unit)
+    power = np.ones(n + 1, np.uint64)
+    power[1:] = _BASE
+    power = np.multiply.accumulate(power)
+    inverse = np.ones(n + 1, np.uint64)
+    inverse[1:] = _U(pow(int(_BASE), -1, 1 << 64))
+    inverse = np.multiply.accumulate(inverse)
+    prefix = np.zeros(n + 1, np.uint64)
+    prefix[1:] = np.cumsum((unit.astype(np.uint64) + _U(1)) * inverse[1:], dtype=np.uint64)
+    prefix *= power
+    char = _char_sizes(unit)
+    for lo in range(0, n, _BLOCK):
+        s = lo + np.flatnonzero(char[lo:lo + _BLOCK])
+        starts, lengths, ids = [], [], []
+        for k in range(1, min(v.longest, n - lo) + 1):
+            s = s[s + k <= n]
+            i = v.find(bytesx.mix(prefix[s + k] - prefix[s] * power[k] + _U(k)))
+            used = (i >= 0) | (char[s] == k)
+            starts.append(s[used])
+            lengths.append(np.full(int(used.sum()), k))
+            ids.append(i[used])
+        starts, lengths, ids = (np.concatenate(x) for x in (starts, lengths, ids))
+        order = np.lexsort((lengths, starts))
+        yield starts[order], lengths[order], ids[order]
+
+
+def walk(v: Vocabulary, unit: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(best score, second-best score, best ids) of one long unit, position by position over its edges.
+
+    The results are those of ``viterbi``; time and memory grow with the unit's length.
+    """
+    n = len(unit)
+    best, second = array("d", [_LOW]) * (n + 1), array("d", [_LOW]) * (n + 1)
+    step, last = array("b", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+    best[0] = 0.0
+    for starts, lengths, ids in spans(v, unit):
+        scores = np.where(ids >= 0, v.scores[ids], v.unknown)
+        for s, k, i, score in zip(starts.tolist(), lengths.tolist(), ids.tolist(), scores.tolist(), strict=True):
+            from_best = best[s]
+            if from_best <= _LOW / 2:
+                continue
+            e, a, b = s + k, from_best + score, second[s] + score
+            old = best[e]
+            # edges come longest first here, so that of equal ones the shortest stays
+            if a >= old:
+                best[e], step[e], last[e] = a, k, i
+                a = old
+            second[e] = max(second[e], a, b)
+    ids, e = [], n
+    while e:
+        s = e - step[e]
+        if last[e] >= 0:
+            ids.append(last[e])
+        else:
+            ids += v.byte_ids[unit[s:e][::-1]].tolist()
+        e = s
+    return best[n], second[n], np.array(ids[::-1], np.int64)
+
+
 def edges(v: Vocabulary, unit: bytes) -> list[list[tuple[int, float, list[int]]]]:
     """Per end position the edges (start, score, ids) of a unit's lattice."""
     n = len(unit)
     out: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(n + 1)]
+    if n > _WIDTHS[-1]:
+        for found in spans(v, np.frombuffer(unit, np.uint8)):
+            for s, k, i in zip(*(x.tolist() for x in found), strict=True):
+                out[s + k].append((s, float(v.scores[i]), [i]) if i >= 0 else
+                                  (s, v.unknown, [int(v.byte_ids[c]) for c in unit[s:s + k]]))
+        return out
     for s in range(n):
         if unit[s] & 0xC0 == 0x80:
             continue
@@ -200,8 +276,12 @@ def n_best(v: Vocabulary, unit: bytes, n: int) -> list[tuple[float, list[int]]]:
         forward[e] = max((forward[s] + score for s, score, _ in lattice[e]), default=_LOW)
     heap = [(-forward[-1], 0, len(unit), 0.0, None)]
     count, found = 1, []
+    met = [0] * (len(unit) + 1)
     while heap and len(found) < n:
         _, _, at, behind, path = heapq.heappop(heap)
+        met[at] += 1
+        if met[at] > n:  # n paths at least as good go on from here in the same ways
+            continue
         if at == 0:
             ids = []
             while path:
@@ -266,6 +346,15 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, n: int, c
         group = np.flatnonzero(width_of == w)
         for lo in range(0, len(group), max(1, 500_000 // int(w))):
             g = group[lo:lo + max(1, 500_000 // int(w))]
+            if w > _WIDTHS[-1] and len(group) < _FEW:
+                for j in g:
+                    a = starts[first[j]]
+                    score[j], second_best, ids = walk(v, data[a:a + lens[j]])
+                    gap[j] = score[j] - second_best
+                    piece_lists.append(ids)
+                    count[j], order_of[j] = len(ids), flat_base
+                    flat_base += len(ids)
+                continue
             at = starts[first[g]][:, None] + np.arange(w)
             units = np.where(np.arange(w) < lens[g][:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
             best, second, step = viterbi(v, units)
