@@ -246,6 +246,16 @@ def test_quality_on_held_out_texts(spark):
     assert list(again.values())[0] == pytest.approx(quality.score(test.limit(1), model, ["quality"]).first()["score"])
 
 
+def test_copies_do_not_outweigh_other_texts_in_the_network(spark):
+    cols = "doc_id long, text string, quality int"
+    rows = quality_rows(400)
+    rows += [(5000 + i, rows[0][1], rows[0][2]) for i in range(800)]
+    test = spark.createDataFrame(quality_rows(120, 1), cols)
+    train = spark.createDataFrame(rows, cols)
+    got = quality.score(test, quality.learn(train, train, max_fit=300), ["quality"]).collect()
+    assert np.mean([(r["score"] >= 0.5) == bool(r["quality"]) for r in got]) > 0.95
+
+
 def test_quality_without_one_class(spark):
     cols = "doc_id long, text string, quality int"
     docs = odd_documents(spark)

@@ -37,6 +37,42 @@ def test_choice_has_no_context(spark):
     assert tail[0] and tail[0] == tail[1]
 
 
+def compared(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    df = fp.with_anchors(fp.with_anchors(df, F.col("a"), "x"), F.col("b"), "y")
+    return df.select("x", "y", fp.likeness(fp.sketch(F.col("x")), fp.sketch(F.col("y"))).alias("near"),
+                     fp.matched(F.col("x"), F.col("y")).alias("share")).first()
+
+
+def plain_matched(x, y):
+    def links(s):
+        s = [(a["hash"], a["pos"]) for a in s]
+        return {(h, k, q - p) for (h, p), (k, q) in zip(s, s[1:], strict=False)} or {h for h, _ in s}
+    return len(links(x) & links(y)) / len(links(x)) if x else 1.0
+
+
+def test_texts_without_blanks_have_anchors_all_along(spark):
+    import random
+    r = random.Random(2)
+    for signs in ("日本語のテキスト処理は難しい大学生活を始める", "ABCDEFabcdef0123456789+/", "สวัสดีชาวโลกภาษาไทย"):
+        text, other = ("".join(r.choice(signs) for _ in range(600)) for _ in range(2))
+        got = compared(spark, text, text[:300] + other[:300])
+        assert len(got["x"]) > 300 and got["near"] > 0.2 and 0.4 < got["share"] < 0.6
+        assert got["share"] == pytest.approx(plain_matched(got["x"], got["y"]))
+
+
+def test_a_common_passage_of_long_texts_is_matched_by_position(spark):
+    import random
+    r = random.Random(3)
+    a, b, shared = ([f"{r.choice('abcdefgh')}{r.randrange(10 ** 6)}" for _ in range(n)] for n in (20000, 20000, 40))
+    long = compared(spark, " ".join(a[:9000] + shared + a[9000:]), " ".join(b[:15000] + shared + b[15000:]))
+    assert long["share"] == pytest.approx(plain_matched(long["x"], long["y"])) and long["share"] * len(long["x"]) > 15
+    turned = compared(spark, " ".join(shared), " ".join(shared[20:] + shared[:20]))
+    assert turned["share"] == pytest.approx(plain_matched(turned["x"], turned["y"])) and 0.5 < turned["share"] < 1
+    for x, y, want in (("", "", 1.0), (None, "a", 1.0), ("a", "", 0.0), ("a", "a", 1.0), ("a b", "a b", 1.0)):
+        assert compared(spark, x, y)["share"] == want
+
+
 def test_likeness_is_jaccard_for_short_texts(spark):
     texts = [prose(1, 90), prose(1, 90) + " tail of words", prose(7, 90), "", None, "one", "one"]
     got = prints(spark, texts)

@@ -1,5 +1,7 @@
 """op10: fingerprints of every document, of its edited text, and how alike they and the next document's are.
 
+``matched_edited`` is the share of the text that the edited text still has, by anchors in equal positions to each other.
+
 Defined cases: a null id comes before all others. Of rows that repeat an id, the one with the least text is the next
 document of the id before; each of them has the same next document. A single id is followed by itself.
 """
@@ -63,12 +65,15 @@ def op10_fingerprints(spark, sf_dir):
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring("tail", F.lit(1), half)))
     rows = fp.with_anchors(edited, F.col("edited"), "edited_anchors")
     rows = rows.withColumn("edited_sketch", fp.sketch(F.col("edited_anchors")))
+    # all anchors of the text itself are found again rather than sent along
+    rows = fp.with_anchors(rows, F.col("text"), "own_anchors")
     return rows.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), fp.fingerprint(F.col("sketch")).alias("fingerprint"),
         fp.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         fp.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+        fp.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fp.matched(F.col("own_anchors"), F.col("edited_anchors")).alias("matched_edited"))
 
 
 QUERIES = {"op10_fingerprints": op10_fingerprints}

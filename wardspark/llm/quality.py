@@ -9,8 +9,9 @@ temperature is fitted on rows that the network wasn't trained on, so that scores
 Words are runs of letters and digits, lower-cased, and every other mark by itself, so layout shows.
 
 Size bounds: the word vectors are ``buckets * dims`` numbers (4 MB at the defaults), whatever the corpus; that and the
-network are broadcast. Word vectors are gathered from all texts. The network is fitted on at most ``max_fit`` labelled
-rows, the first by hash of their text; the bound only limits the training set.
+network are broadcast. Word vectors are gathered from all texts. The network is fitted on exactly the ``max_fit``
+distinct labelled texts of least hash (all, if fewer), one with n copies with the weight 1 + ln n; the bound only limits
+the training set.
 
 Defined cases: null and empty texts have zero features and get the network's answer for those. With labels of one
 kind only every score is that label (0 without any). Rows with a null label aren't learned from; equal texts score
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
 from wardspark.llm.common import SLICE_BYTES, map_batches, release
+from wardspark.llm.toxicity import distinct_texts, drawn
 from wardspark.session import materialize
 
 BUCKETS = 1 << 14
@@ -156,11 +158,13 @@ def features(vectors: np.ndarray, place: np.ndarray, sign: np.ndarray, data: np.
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 5, ridge: float = 1e-4) -> Network:
-    """Network on features and labels 0 and 1, with Adam; every fifth row only fits the temperature."""
+def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 5, ridge: float = 1e-4,
+        weight: np.ndarray | None = None) -> Network:
+    """Network on weighted features and labels 0 and 1, with Adam; every fifth row only fits the temperature."""
     rng = np.random.default_rng(seed)
     x, y = x.astype(np.float64), y.astype(np.float64)
     d = x.shape[1]
+    weight = np.ones(len(x)) if weight is None else weight / max(weight.mean(), 1e-9) if len(x) else weight
     if len(np.unique(y)) < 2:
         return Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0,
                        constant=float(y[0]) if len(y) else 0.0)
@@ -168,9 +172,9 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed:
                   rng.normal(0, 1 / np.sqrt(hidden), hidden), 0.0)
     aside = np.arange(len(x)) % 5 == 4
     z = net.standard(x)
-    zt, yt = z[~aside], y[~aside]
+    zt, yt, wt = z[~aside], y[~aside], weight[~aside]
     if len(np.unique(yt)) < 2:
-        zt, yt = z, y
+        zt, yt, wt = z, y, weight
     p = [net.w1, net.b1, net.w2, np.zeros(1)]
     m, s = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     t = 0
@@ -180,7 +184,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed:
         for lo in range(0, len(order), 128):
             i = order[lo:lo + 128]
             h = np.tanh(zt[i] @ p[0] + p[1])
-            e = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - yt[i]) / len(i)
+            e = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - yt[i]) * wt[i] / len(i)
             back = np.outer(e, p[2]) * (1 - h * h)
             t += 1
             for k, g in enumerate((zt[i].T @ back + ridge * p[0], back.sum(0), h.T @ e + ridge * p[2],
@@ -192,7 +196,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed:
     if aside.any():
         logit = net.logits(x[aside])
         steps = np.exp(np.linspace(np.log(0.3), np.log(10), 60))
-        loss = [np.logaddexp(0, -np.where(y[aside] > 0, 1, -1) * logit / q).mean() for q in steps]
+        loss = [(weight[aside] * np.logaddexp(0, -np.where(y[aside] > 0, 1, -1) * logit / q)).mean() for q in steps]
         net.temperature = float(steps[int(np.argmin(loss))])
     return net
 
@@ -213,22 +217,19 @@ def learn(df: DataFrame, labelled: DataFrame, label_col: str = "quality", text_c
           max_fit: int = 20_000) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts of ``df``, and a network from ``labelled`` (text, label)."""
     vectors = word_vectors(df, text_col)
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                           F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
-    n = rows.count()
-    drawn = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) < F.lit(1e6 * min(1.0, max_fit / max(n, 1)))
-    sample = rows.where(drawn).select("label", F.xxhash64("text").alias("h"), "text")
+    sample = drawn(materialize(distinct_texts(labelled, label_col, text_col), "quality-rows"), max_fit)
+    sample = sample.select("label", "h", "n", "text")
     shared = df.sparkSession.sparkContext.broadcast((vectors, *index_vectors(), None))
 
     def pack(_, x):
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]),
                                         pa.array(x.ravel()))
-    found = materialize(_apply(sample, ["label", "h"], shared, "x", "array<float>", pack), "quality-sample")
+    found = materialize(_apply(sample, ["label", "h", "n"], shared, "x", "array<float>", pack), "quality-sample")
     t = found.orderBy("h", "label").toArrow()
     shared.unpersist()
     y = t["label"].to_numpy()
     x = t["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 3 * DIMS + 4))
-    return vectors, fit(x, y)
+    return vectors, fit(x, y, weight=1 + np.log(t["n"].to_numpy()))
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, Network], keep: list[str], text_col: str = "text") -> DataFrame:
