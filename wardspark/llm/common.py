@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspark.session import materialize
+
 #: Bytes of text that one step of a vectorised scan holds; its arrays take up to a hundred times as much.
 SLICE_BYTES = 500_000
 
@@ -53,6 +55,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
     return df.mapInArrow(run, schema)
 
 
+def written(df: DataFrame, name: str, rows: int, rows_per_file: int) -> DataFrame:
+    """``materialize`` for a narrow table of at most ``rows`` rows, in files of about ``rows_per_file`` or more.
+
+    A small table then isn't cut into a file per shuffle partition. The number of tasks grows with the rows.
+    """
+    return materialize(df.coalesce(max(1, -(-rows // rows_per_file))), name)
+
+
 #: A side of a join is broadcast if its rows take no more than this together.
 BROADCAST_BYTES = 32 << 20
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bytesx
-from wardspark.llm.common import BROADCAST_BYTES, SLICE_BYTES, join_checked, map_batches, release
+from wardspark.llm.common import BROADCAST_BYTES, SLICE_BYTES, join_checked, map_batches, release, written
 from wardspark.llm.components import components
 from wardspark.session import materialize
 
@@ -220,17 +220,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length = prefix_length(threshold, trees, depth, recall)
     signed = materialize(_sign(keyed.select("doc_id", "md5", "text"), k, trees, length), "jaccard-rows")
     low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = materialize(
+    n_rows = signed.count()
+    texts = written(
         signed.groupBy("md5").agg(F.min(low).alias("first"), F.count(F.lit(1)).alias("n"),
                                   F.min(F.col("doc_id")).alias("least"), F.max("size").alias("size"),
                                   F.first("keys").alias("keys"))
-        .withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts")
+        .withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts", n_rows, 25_000)
+    n_texts = texts.count()
     in_tree = texts.where("size > 0").select("tid", "size", F.explode("keys").alias("bucket"))
     buckets = in_tree.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("low")).where(
         "members > 1").drop("members")
-    member = materialize(in_tree.join(buckets, "bucket"), "jaccard-members")
-    label = materialize(member.groupBy("tid").agg(F.min("low").alias("label"), F.first("size").alias("size")),
-                        "jaccard-labels")
+    member = written(in_tree.join(buckets, "bucket"), "jaccard-members", n_texts * trees, 1_000_000)
+    label = written(member.groupBy("tid").agg(F.min("low").alias("label"), F.first("size").alias("size")),
+                    "jaccard-labels", n_texts, 250_000)
     # a home is cut so that a block has a bounded number of texts and of shingles
     parts = label.groupBy("label").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts"))
@@ -275,13 +277,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     Rows without words are no copies of anything and stay. The rows to drop are looked for, as they are fewer.
     """
-    found = materialize(near_duplicates(df, id_col, text_col, **options), "jaccard-classes")
+    n_rows = df.count()
+    found = written(near_duplicates(df, id_col, text_col, **options), "jaccard-classes", n_rows, 50_000)
     classed = found.where("class_key is not null")
     row = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "md5")
     keep = classed.groupBy("class_key").agg(F.min(row).alias("k")).select("k.id", "k.md5")
     rows = classed.groupBy(row["id"].alias("id"), "md5").agg(F.count(F.lit(1)).alias("n"))
-    rows = materialize(rows.join(keep.withColumn("kept", F.lit(True)), ["id", "md5"], "left").select(
-        F.col("id").alias("_llm_id"), F.col("md5").alias("_llm_md5"), "n", "kept"), "jaccard-decisions")
+    rows = written(rows.join(keep.withColumn("kept", F.lit(True)), ["id", "md5"], "left").select(
+        F.col("id").alias("_llm_id"), F.col("md5").alias("_llm_md5"), "n", "kept"), "jaccard-decisions", n_rows, 100_000)
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     md5 = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     keyed = df.withColumns({"_llm_id": own_id, "_llm_md5": md5})
