@@ -335,6 +335,38 @@ def to_sequences(df: DataFrame, features: list[str], keys=VISIT, hour="hour", la
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("steps"))
 
 
+def sequence_non_null(seq: DataFrame, features: list[str], steps: str = "steps") -> DataFrame:
+    """P13 over visits x hours: (column_name, non_null) from sequences of ``to_sequences`` with the vectors ``x`` of
+    ``features``. NaN counts as no value, as a null does; a visit without hours adds nothing.
+
+    A visit's hours are added up in its row, so a row per visit and feature is shuffled at most, and partial sums
+    leave one per task and feature."""
+    zeros = F.array(*[F.lit(0).cast("long")] * len(features))
+    here = F.aggregate(F.col(steps), zeros, lambda acc, s: F.zip_with(
+        acc, s["x"], lambda a, v: a + (v.isNotNull() & ~F.isnan(v)).cast("long")))
+    per = seq.select(F.posexplode(F.coalesce(here, zeros)).alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n"))
+    names = seq.sparkSession.createDataFrame(list(enumerate(features)), "pos int, column_name string")
+    return names.join(per, "pos", "left").select("column_name", F.coalesce("n", F.lit(0)).cast("long").alias("non_null"))
+
+
+def drop_sequence_columns(seq: DataFrame, features: list[str], keep: list[str] | None = None,
+                          steps: str = "steps") -> tuple[DataFrame, list[str]]:
+    """P13 over visits x hours: (sequences whose vectors hold the kept features only, these features in order).
+
+    ``keep`` takes the features that another set of visits has kept, so that test vectors match the trained ones;
+    without it, a feature that no hour of any visit has is dropped. ``seq`` is read twice then: give a written table."""
+    if keep is None:
+        found = {r["column_name"] for r in sequence_non_null(seq, features, steps).where("non_null > 0").collect()}
+        keep = [f for f in features if f in found]
+    unknown = set(keep) - set(features)
+    if unknown:
+        raise ValueError(f"not among the features: {sorted(unknown)}")
+    at = [features.index(f) for f in keep]
+    cut = F.transform(F.col(steps), lambda s: s.withField(
+        "x", F.array(*[s["x"][i] for i in at]) if at else F.slice(s["x"], 1, 0)))
+    return seq.withColumn(steps, cut), keep
+
+
 def label_extract(df: DataFrame, features: list[str], labels=("stage_6", "stage_24", "stage_48", "stage_72")):
     """Features as doubles and the horizon labels as ints."""
     return df.select(*[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).cast("int").alias(c) for c in labels])

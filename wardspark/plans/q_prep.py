@@ -287,30 +287,31 @@ def q_a18(spark, d):
     return _round_feats(m)
 
 
-def _resample_sql(label="stage_48", draws=5):
+def _resample_sql(label="stage_48", draws=5, source="imp", at="rs"):
+    """CTEs of one pass over ``source``; the synthetic rows are ``{at}_syn``."""
     others = [m for m in LABELS if m != label]
     return {
-        "rs_dist": f"""SELECT split, {label} AS cls, count(*) AS cnt,
-            count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split) AS share FROM imp GROUP BY split, {label}""",
-        "rs_need": """SELECT d.split, d.cls, d.cnt, CAST(ceil((1 - d.share / r.share) * d.cnt) AS BIGINT) AS n_syn
-            FROM rs_dist d JOIN rs_dist r ON r.split = 'devel' AND r.cls = d.cls
+        f"{at}_dist": f"""SELECT split, {label} AS cls, count(*) AS cnt,
+            count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split) AS share FROM {source} GROUP BY split, {label}""",
+        f"{at}_need": f"""SELECT d.split, d.cls, d.cnt, CAST(ceil((1 - d.share / r.share) * d.cnt) AS BIGINT) AS n_syn
+            FROM {at}_dist d JOIN {at}_dist r ON r.split = 'devel' AND r.cls = d.cls
             WHERE d.split IN ('test', 'valid') AND d.share / r.share < 1""",
-        "rs_ids": "SELECT split, cls, cnt, unnest(range(1, n_syn + 1)) AS syn_id FROM rs_need",
-        "rs_draw": f"""SELECT s.split, s.cls, s.syn_id, dr.draw,
+        f"{at}_ids": f"SELECT split, cls, cnt, unnest(range(1, n_syn + 1)) AS syn_id FROM {at}_need",
+        f"{at}_draw": f"""SELECT s.split, s.cls, s.syn_id, dr.draw,
             {_h60(f"concat_ws('|', '{SEED}', s.split, s.cls, s.syn_id, dr.draw)")} % s.cnt AS pos
-            FROM rs_ids s CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw) dr""",
-        "rs_pool": f"""SELECT *, row_number() OVER (PARTITION BY split, {label}
+            FROM {at}_ids s CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw) dr""",
+        f"{at}_pool": f"""SELECT *, row_number() OVER (PARTITION BY split, {label}
                 ORDER BY {_h32(f"concat_ws('|', '{SEED}', rid)")}, rid) - 1 AS pos
-            FROM imp WHERE split IN ('test', 'valid')""",
-        "rs_pick": f"""SELECT d.split, d.cls, d.syn_id, p.* EXCLUDE (split, pos, {label})
-            FROM rs_draw d JOIN rs_pool p ON p.split = d.split AND p.{label} = d.cls AND p.pos = d.pos""",
-        "rs_syn": "SELECT CAST(99999 AS BIGINT) AS subject_id, CAST(99999 AS BIGINT) AS hadm_id, "
+            FROM {source} WHERE split IN ('test', 'valid')""",
+        f"{at}_pick": f"""SELECT d.split, d.cls, d.syn_id, p.* EXCLUDE (split, pos, {label})
+            FROM {at}_draw d JOIN {at}_pool p ON p.split = d.split AND p.{label} = d.cls AND p.pos = d.pos""",
+        f"{at}_syn": "SELECT CAST(99999 AS BIGINT) AS subject_id, CAST(99999 AS BIGINT) AS hadm_id, "
                   f"concat_ws('|', 'syn', '{label}', split, cls, syn_id) AS rid, split, CAST(cls AS INT) AS {label}, "
                   + ", ".join(f"avg({f}) AS {f}" for f in FEATS) + ", "
-                  + ", ".join(f"(SELECT x.{m} FROM rs_pick x WHERE x.split = k.split AND x.cls = k.cls AND"
+                  + ", ".join(f"(SELECT x.{m} FROM {at}_pick x WHERE x.split = k.split AND x.cls = k.cls AND"
                               f" x.syn_id = k.syn_id GROUP BY x.{m} ORDER BY count(*) DESC, x.{m} LIMIT 1) AS {m}"
                               for m in others)
-                  + " FROM rs_pick k GROUP BY split, cls, syn_id",
+                  + f" FROM {at}_pick k GROUP BY split, cls, syn_id",
     }
 
 
@@ -347,6 +348,55 @@ def q_t12(spark, d):
                     F.col("steps.y").alias("y"))
 
 
+def _wide_features():
+    from wardspark.functions.vocab import LEFT_OUT_ITEMS
+    out = {feature_name(i) for i in LEFT_OUT_ITEMS}
+    return [f"{side}_{f}" for side in ("prior", "cur") for f in ALL_FEATURES if f not in out]
+
+
+def _visits_sql():
+    """Per visit: hours, features kept and their values, as whole millionths so that sums are exact."""
+    some = " + ".join(f"CAST(count(s.{c}) AS BIGINT)" for c in _wide_features())
+    total = " + ".join(f"coalesce(CAST(sum(CAST(round({R6(f's.{c}')} * 1e6) AS BIGINT)) AS BIGINT), 0)" for c in _wide_features())
+    return (f"SELECT s.subject_id, s.hadm_id, CAST(count(*) AS BIGINT) AS n_hours, CAST(any_value(k.n) AS BIGINT) AS n_features, "
+            f"{some} AS n_values, {total} AS total FROM wide s, (SELECT "
+            + " + ".join(f"CAST(count({c}) > 0 AS BIGINT)" for c in _wide_features())
+            + " AS n FROM wide) k GROUP BY s.subject_id, s.hadm_id")
+
+
+def _wide_cte(body):
+    from wardspark.plans.q_snapshot import _snapshot_sql
+    return f"WITH wide AS MATERIALIZED ({_snapshot_sql(emit_empty=False)}) {body}"
+
+
+def wide_sequences(spark, d):
+    """A row per visit with the hours of the snapshot and their vectors of all values, current and prior."""
+    from wardspark.session import materialize
+    feats = _wide_features()
+    return materialize(prep.to_sequences(snapshot_frame(spark, d), feats), "sequences"), feats
+
+
+@register("p13_sequence_non_null", _wide_cte(
+    "SELECT unnest([" + ", ".join(f"'{c}'" for c in _wide_features()) + "]) AS column_name, unnest(["
+    + ", ".join(f"count({c})" for c in _wide_features()) + "]) AS non_null FROM wide"))
+def q_p13_sequences(spark, d):
+    """Values of each feature over visits x hours."""
+    return prep.sequence_non_null(*wide_sequences(spark, d))
+
+
+@register("p13_sequence_drop_columns", _wide_cte(_visits_sql()))
+def q_p13_sequences_drop(spark, d):
+    """Sequences without the features that no hour of any visit has: per visit what its vectors hold."""
+    seq, feats = wide_sequences(spark, d)
+    cut, _ = prep.drop_sequence_columns(seq, feats)
+    x = F.flatten(F.col("steps.x"))
+    number = F.filter(x, lambda v: v.isNotNull())
+    total = F.aggregate(number, F.lit(0).cast("long"), lambda s, v: s + F.round(r6(v) * F.lit(1e6)).cast("long"))
+    return cut.select(*VISIT, F.size("steps").cast("long").alias("n_hours"),
+                      F.size(F.col("steps.x")[0]).cast("long").alias("n_features"),
+                      F.size(number).cast("long").alias("n_values"), total.alias("total"))
+
+
 @register("t13_label_extract", sql(f"SELECT {_sql_round(FEATS)}, " + ", ".join(LABELS) + " FROM imp"))
 def q_t13(spark, d):
     return _round_feats(prep.label_extract(imputed(spark, d), FEATS, LABELS))
@@ -528,10 +578,30 @@ def q_t14(spark, d):
     return data
 
 
-def _wide_features():
-    from wardspark.functions.vocab import LEFT_OUT_ITEMS
-    out = {feature_name(i) for i in LEFT_OUT_ITEMS}
-    return [f"{side}_{f}" for side in ("prior", "cur") for f in ALL_FEATURES if f not in out]
+def _passes_sql():
+    """CTEs of the composite without selections: filled rows, then a resampling pass per label on the last one's rows."""
+    cols = ["rid", "split", *FEATS, *LABELS]
+    ctes = {"pass_0": "SELECT m.subject_id, m.hadm_id, m.rid, m.split, " + ", ".join(
+        (f"coalesce(m.{f}, {FX_NORMALS[f]!r}::DOUBLE)" if f in SOME_NORMALS else f"coalesce(m.{f}, a.{f})") + f" AS {f}"
+        for f in FEATS) + ", " + ", ".join(f"m.{c}" for c in LABELS) + " FROM mts m, dmeans a"}
+    for i, label in enumerate(LABELS):
+        ctes |= _resample_sql(label, source=f"pass_{i}", at=f"rs{i}")
+        names = ", ".join(["subject_id", "hadm_id", *cols])
+        ctes[f"pass_{i + 1}"] = f"SELECT {names} FROM pass_{i} UNION ALL SELECT {names} FROM rs{i}_syn"
+    return ctes
+
+
+@register("t14_prepare_resampled", sql(
+    f"SELECT subject_id, hadm_id, rid, split, {_sql_round(FEATS)}, " + ", ".join(LABELS) + f" FROM pass_{len(LABELS)}",
+    _passes_sql()))
+def q_t14_resampled(spark, d):
+    """The composite with its selections off: split, empty columns of devel, normals, mean, a resampling pass per label.
+    One feature has no value, so the second step drops it."""
+    from wardspark.session import materialize
+    base = materialize(model_table(spark, d).withColumn("f_none", F.lit(None).cast("double")), "model_table_raw")
+    data, feats = prep.prepare(base, split_table(spark, d), [*FEATS[:2], "f_none", *FEATS[2:]], LABELS,
+                               normals=SOME_NORMALS, resample=True, seed=SEED)
+    return _round_feats(data.select(*VISIT, "rid", "split", *feats, *LABELS))
 
 
 def _wide_sql():
