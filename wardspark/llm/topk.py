@@ -137,8 +137,12 @@ def integers(col: Column, scale: float) -> Column:
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-          scale: float = 256.0, block: int = 16384, query_block: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all other rows for each row where ``is_query`` holds."""
+          scale: float = 256.0, block: int = 16384, query_block: int = 16384) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all other rows for each row where ``is_query`` holds.
+
+    A block of vectors is sent, and its index built, once for each ``query_block`` queries; larger blocks of queries
+    move less and make fewer and longer tasks.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"),
                      F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and v is not null")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
