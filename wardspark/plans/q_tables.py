@@ -148,21 +148,21 @@ def _stored(spark, d):
     return materialize(snap.snapshot_intervals(hourly, vis), "snapshot-intervals")
 
 
-def _shown(cells, stored):
-    gated = cells.join(snap.gate_of_intervals(stored), on=VISIT, how="left")
-    return gated.where(F.col("name").startswith("cur_") | (F.col("hour") >= F.col("_gate"))).select(
-        *VISIT, "hour", "name", r6("mean").alias("value"), "ok")
+def _shown(cells):
+    return cells.select(*VISIT, "hour", "name", r6("mean").alias("value"), "ok")
 
 
 @register("w5_interval_cells", ORACLES["w5_snapshot_cells"])
 def q_w5_intervals(spark, d):
     """The cells of all hours from the stored intervals."""
     stored = _stored(spark, d)
-    return _shown(snap.cells_of(snap.expand_intervals(stored, q_snapshot.H)), stored)
+    shown = snap.behind_gate(stored, snap.gate_of_intervals(stored))
+    return _shown(snap.cells_of(snap.expand_intervals(shown, q_snapshot.H)))
 
 
 @register("w5_point_in_time", f"SELECT * FROM ({ORACLES['w5_snapshot_cells']}) WHERE hour = 37")
 def q_w5_point(spark, d):
     """The cells of every visit at one hour from the stored intervals, without expanding hours."""
     stored = _stored(spark, d)
-    return _shown(snap.cells_of(snap.intervals_at(stored, 37)), stored)
+    shown = snap.behind_gate(stored, snap.gate_of_intervals(stored))
+    return _shown(snap.cells_of(snap.intervals_at(shown, 37)))
