@@ -48,3 +48,13 @@ def test_the_gate_cuts_intervals_and_not_hours(spark, events):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, late.select(cols).collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1  # that with the fixed bounds
+
+
+@pytest.mark.parametrize("name", ["w5_snapshot_by_hour", "w5_snapshot_by_visit"])
+def test_rows_of_the_snapshot_are_whole(spark, events, name):
+    df = catalog.queries()[name](spark, events)
+    found = oracle(events, catalog.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert df.columns == names and len(names) == 226
+    key = lambda r: r[:3]
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(found.fetchall(), key=key)
