@@ -58,3 +58,16 @@ def test_rows_of_the_snapshot_are_whole(spark, events, name):
     assert df.columns == names and len(names) == 226
     key = lambda r: r[:3]
     assert sorted(map(tuple, df.collect()), key=key) == sorted(found.fetchall(), key=key)
+
+
+def test_sequences_are_not_read_from_a_file(spark, events, monkeypatch):
+    monkeypatch.setattr(q_prep, "SEQUENCE_HOURS", 200)
+    seq, _ = q_prep.wide_sequences(spark, events)
+    plan = seq._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan
+    assert seq.rdd.getNumPartitions() > 4
+    for name in ("p13_sequence_non_null", "p13_sequence_drop_columns"):
+        got = catalog.queries()[name](spark, events)
+        want = oracle(events, catalog.oracle_sql()[name])
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
