@@ -71,3 +71,16 @@ def test_sequences_are_not_read_from_a_file(spark, events, monkeypatch):
         want = oracle(events, catalog.oracle_sql()[name])
         assert got.columns == [c[0] for c in want.description]
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_text_of_the_snapshot_is_compressed(spark, events, tmp_path, monkeypatch):
+    name = "s9_s2_snapshot_text_roundtrip"
+    written = []
+    plain = io.write_per_visit
+    monkeypatch.setattr(io, "write_per_visit", lambda df, path, **options: written.append(path) or plain(df, path, **options))
+    got = catalog.queries()[name](spark, events)
+    want = oracle(events, catalog.oracle_sql()[name])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+    files = [f for f in glob.glob(os.path.join(written[0].removeprefix("file:"), "part-*"))]
+    assert files and all(f.endswith(".csv.gz") for f in files)
