@@ -90,3 +90,16 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200), (None, 5)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 200, 201: 200}
+
+
+def test_blocks_are_as_many_as_the_texts_need_and_not_as_the_labels(spark):
+    # (tid, label, size, chain): a chain of 90 labels that fits a block, and one of 400 with a heavy label
+    rows = [(i, i, 10, 0) for i in range(90)]
+    rows += [(1000 + i, 1000 + (i if i < 400 else 0), 10, 1000) for i in range(1000)]
+    found = jaccard.homes(spark.createDataFrame(rows, "tid long, label long, size long, chain long"), 100, 10**6).collect()
+    assert sorted(r["tid"] for r in found) == [r[0] for r in rows]
+    blocks = {}
+    for r in found:
+        blocks.setdefault(r["block"], []).append(r["tid"])
+    assert sorted(next(b for b in blocks.values() if 0 in b)) == list(range(90))
+    assert len(blocks) <= 1 + 20 + 7 and max(len(b) for b in blocks.values()) <= 150

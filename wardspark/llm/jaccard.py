@@ -8,14 +8,16 @@ This is banding and not an LSH forest: no signatures are sorted, and no prefix i
 at longer prefixes for queries that want their few nearest texts; here every pair above a known threshold is wanted, so
 every row would go down to the shortest length anyway, and the longer prefixes find only pairs that it finds too.
 
-Verification is exact and takes no pair twice. Every text with a partner in some bucket has one home, named by the
-least text that it shares a bucket with, and homes are cut into blocks of about ``block`` texts and ``block_grams``
-shingles. Two blocks meet if members of both share a bucket anywhere. A meeting counts the shingles that its texts share in numpy and returns per text the
-number of its partners and one edge to the least text it is connected to within the meeting, never the pairs.
+Verification is exact and takes no pair twice. Texts that buckets connect, also by a chain of them, have their homes
+together in blocks of about ``block`` texts and ``block_grams`` shingles; where a chain is cut, texts whose least
+bucket mate is the same stay together. Two blocks meet if members of both share a bucket anywhere. A meeting counts
+the shingles that its texts share in numpy and returns per text the number of its partners and one edge to the least
+text it is connected to within the meeting, never the pairs.
 Classes are the components of those edges.
 
 Exact copies are reduced to one text by MD5 before any of this, so a group of equal texts is one row. All steps
-work on whole texts; nothing is capped. A group of g near but different texts costs g^2 / block rows of shuffle.
+work on whole texts; nothing is capped. A group of g near but different texts is shuffled once
+if it fits a block, and else costs about g^2 / block rows of shuffle.
 
 Scale: the first scan returns a signature per row (``trees`` longs); text is shuffled once, for rows that have
 partners. No step is bound to a key's size: the joins on bucket, copy and block are plain equi-joins that adaptive
@@ -206,6 +208,26 @@ def _meet(t: pa.Table, threshold: float) -> pa.Table:
     return out
 
 
+def homes(texts: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """(tid, block) of texts (tid, label, size, chain); a block has about ``block`` texts and ``block_grams`` shingles.
+
+    A chain that fits is one block. In a larger one, a label that takes more than a quarter of a block has blocks of
+    its own, and the others share bins that are half full on average: blocks are as many as its texts need, times a
+    constant, and never as many as its labels.
+    """
+    def blocks(n, size):
+        return F.greatest(n / F.lit(block), size / F.lit(block_grams))
+    of_label = texts.groupBy("chain", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    of_chain = of_label.groupBy("chain").agg(blocks(F.sum("n"), F.sum("grams")).alias("all"))
+    of_label = of_label.select("chain", "label", blocks(F.col("n"), F.col("grams")).alias("own"))
+    # not written: the labels are few beside the texts, and every written table costs a file per task
+    sized = texts.select("tid", "chain", "label").join(of_label, ["chain", "label"]).join(of_chain, "chain")
+    part = F.pmod(F.xxhash64("tid"), F.ceil("own"))
+    bin_ = F.pmod(F.xxhash64("label"), F.ceil(2 * F.col("all")))
+    return sized.select("tid", F.when(F.col("all") <= 1, F.xxhash64("chain")).when(
+        F.col("own") > 0.25, F.xxhash64("chain", "label", part)).otherwise(F.xxhash64("chain", bin_)).alias("block"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     threshold: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.99999,
                     block: int = 2048, block_grams: int = 2_000_000) -> DataFrame:
@@ -233,16 +255,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = written(in_tree.join(buckets, "bucket"), "jaccard-members", n_texts * trees, 1_000_000)
     label = written(member.groupBy("tid").agg(F.min("low").alias("label"), F.first("size").alias("size")),
                     "jaccard-labels", n_texts, 250_000)
-    # a home is cut so that a block has a bounded number of texts and of shingles
-    parts = label.groupBy("label").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block_grams))).alias("parts"))
-    # not written: the labels are few beside the texts, and every written table costs a file per task
-    home = label.join(parts, "label").select(
-        "tid", F.xxhash64("label", F.pmod(F.xxhash64("tid"), F.col("parts"))).alias("block"))
+    # texts that a chain of buckets connects share their blocks, so a bucket lies in few of them, whatever its size
+    chains = components(member.select(F.col("tid").alias("a"), F.col("low").alias("b")))
+    home = homes(label.join(chains.select(F.col("id").alias("tid"), F.col("root").alias("chain")), "tid"),
+                 block, block_grams)
     seen = member.select("tid", "bucket").join(home, "tid").select("bucket", "block").distinct()
-    a, b = seen.alias("a"), seen.alias("b")
-    meetings = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.block <= b.block").select(
-        F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
+    across = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("bucket")
+    cut = seen.join(across, "bucket")
+    a, b = cut.alias("a"), cut.alias("b")
+    meetings = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.block < b.block").select(
+        F.col("a.block").alias("x"), F.col("b.block").alias("y")).union(
+        home.select(F.col("block").alias("x"), F.col("block").alias("y"))).distinct()
     sides = meetings.select(F.xxhash64("x", "y").alias("meeting"), F.explode(F.when(
         F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")),
