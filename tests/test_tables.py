@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardspark.operators import asof
-from wardspark.sources import tables, visit_files
+from wardspark.sources import io, tables, visit_files
 
 
 def plan(df):
@@ -146,3 +146,16 @@ def test_asof_join_of_time_stamps_and_a_hot_key(spark):
     assert "_b" in plan(out) and left.where("k = 1").groupBy(F.to_date("t")).count().agg(F.max("count")).first()[0] <= 24
     with pytest.raises(ValueError):
         asof.asof_join(left, right.withColumnRenamed("u", "t"), ["k"], "t", "t")
+
+
+def test_pages_are_sorted_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_RANGE", 4000)
+    path = str(tmp_path / "pages")
+    rows = spark.range(10_000).selectExpr("id * 7919 % 10007 AS k", "id % 3 AS v")
+    tables.write_pages(rows, path, ["k"], rows_per_bucket=100)
+    index = spark.read.parquet(f"{path}/index").orderBy("_bucket").collect()
+    assert len({r["_bucket"] // tables.MOST_BUCKETS for r in index}) == 3 and 100 <= len(index) <= 103
+    assert [r["before"] for r in index] == [sum(x["n"] for x in index[:i]) for i in range(len(index))]
+    got = tables.read_page(spark, path, ["k"], 3950, 120)
+    assert [r["k"] for r in got.orderBy("_place").collect()] == sorted(r["k"] for r in rows.collect())[3950:4070]
+    assert len(got.inputFiles()) <= 3

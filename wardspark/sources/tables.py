@@ -135,11 +135,20 @@ def lookup(spark: SparkSession, path: str, points: list[dict]) -> DataFrame:
 
 # ---- O2: pages -------------------------------------------------------------------------------------------------------
 
+#: Rows that a task sorts and cuts into buckets; smaller buckets have no task, and no sample of the rows, of their own.
+ROWS_PER_RANGE = 1_000_000
+#: More buckets than a range can have.
+MOST_BUCKETS = 10_000_000
+
+
 def write_pages(df: DataFrame, path: str, order: list[str], rows_per_bucket: int = 100_000) -> None:
     """Rows in buckets of consecutive places in ``order``, which should tell rows apart, and an index with the place of
-    each bucket's first row."""
-    buckets = max(1, -(-df.count() // rows_per_bucket))
-    (df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_bucket", F.spark_partition_id())
+    each bucket's first row. A range of ``ROWS_PER_RANGE`` rows is sorted by one task and cut into its buckets."""
+    ranges = max(1, -(-df.count() // max(ROWS_PER_RANGE, rows_per_bucket)))
+    # the id is the range in the upper bits and the place in it in the lower 33
+    at = F.monotonically_increasing_id()
+    bucket = F.shiftright(at, 33) * F.lit(MOST_BUCKETS) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows_per_bucket))
+    (df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_bucket", bucket.cast("long"))
      .write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/rows"))
     written = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
@@ -151,7 +160,10 @@ def read_page(spark: SparkSession, path: str, order: list[str], offset: int, lim
     with their place in ``_place``."""
     index = spark.read.parquet(f"{path}/index")
     held = index.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).collect()
-    rows = spark.read.parquet(f"{path}/rows").where(F.col("_bucket").isin([r["_bucket"] for r in held]))
+    folders = [f"{path}/rows/_bucket={r['_bucket']}" for r in held] or [f"{path}/rows"]
+    # only the folders of the page are listed
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders).where(
+        F.col("_bucket").isin([r["_bucket"] for r in held]))
     start = F.create_map(*[F.lit(x) for r in held for x in (r["_bucket"], r["before"])]) if held else None
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
     if start is None:
