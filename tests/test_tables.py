@@ -159,3 +159,21 @@ def test_pages_are_sorted_by_few_tasks(spark, tmp_path, monkeypatch):
     got = tables.read_page(spark, path, ["k"], 3950, 120)
     assert [r["k"] for r in got.orderBy("_place").collect()] == sorted(r["k"] for r in rows.collect())[3950:4070]
     assert len(got.inputFiles()) <= 3
+
+
+def test_nested_visit_files_are_listed_by_tasks(spark, tmp_path):
+    folder = str(tmp_path / "nested")
+    rows = [(s, s * 10 + h, t, 'quoted, "text"' if t else None) for s in range(1, 9) for h in range(3) for t in range(4)]
+    df = spark.createDataFrame(rows, "subject_id long, hadm_id long, time long, note string")
+    visit_files.write_visit_files(df, folder, ["time", "note"], ["time"], nested=True)
+    (tmp_path / "nested" / "_SUCCESS").write_text("")
+    files = visit_files.list_tree(spark, folder)
+    names = sorted(r["path"].rsplit("/", 2)[1] for r in files.collect())
+    assert names == sorted(f"visit=S{s}_H{s * 10 + h}" for s in range(1, 9) for h in range(3))
+    back = io.read_visit_files(spark, folder, files=files)
+    assert io.header_of(back) == ["time", "note", "file_subject_id", "file_hadm_id"]
+    assert sorted(back.groupBy("file_subject_id", "file_hadm_id", "time").count().collect()) == sorted(
+        (s, h, str(t), 1) for s, h, t, _ in rows)
+    assert back.where("note is null").count() == 24
+    splits = spark.createDataFrame([(1, 10, "test"), (1, 11, "devel")], "subject_id long, hadm_id long, split string")
+    assert io.read_visit_files(spark, folder, splits, "test", files=files).count() == 4

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import io
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -22,6 +23,9 @@ from wardspark.functions.clinical import parse_visit_file
 from wardspark.session import join_checked, materialize
 
 VISIT = ["subject_id", "hadm_id"]
+#: Folders that hold the folders of all visits, where every visit has one.
+SHARDS = 256
+FOLDERS_PER_TASK = 2_000
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -34,19 +38,24 @@ def _text(column: pa.Array) -> list[str]:
     return ["" if v is None else str(v) for v in column.to_pylist()]
 
 
-def write_visit_files(df: DataFrame, folder: str, columns: list[str], order: list[str] = (), keys=VISIT) -> DataFrame:
-    """One CSV file with a header per visit, rows in ``order``; the files written (name, rows)."""
+def write_visit_files(df: DataFrame, folder: str, columns: list[str], order: list[str] = (), keys=VISIT,
+                      nested: bool = False) -> DataFrame:
+    """One CSV file with a header per visit, rows in ``order``; the files written (name, rows).
+
+    ``nested``: a visit's file lies in a folder ``visit=<name>`` of its own, and these folders in ``SHARDS`` others, so
+    that no folder lists all visits."""
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *columns)
 
     def run(batches):
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
+        place = base
         now, buffer, out, count, done = None, None, None, 0, []
 
         def close():
             out.write(buffer.getvalue().encode())
             out.close()
-            store.move(temp, f"{base}/{now}.csv")
+            store.move(temp, f"{place}/{now}.csv")
             done.append((now, count))
 
         for b in batches:
@@ -57,7 +66,10 @@ def write_visit_files(df: DataFrame, folder: str, columns: list[str], order: lis
                     if now is not None:
                         close()
                     now, count, buffer = name, 0, io.StringIO()
-                    temp = f"{base}/.{name}-{uuid.uuid4().hex[:8]}"
+                    if nested:
+                        place = f"{base}/{zlib.crc32(name.encode()) % SHARDS:03d}/visit={name}"
+                        store.create_dir(place, recursive=True)
+                    temp = f"{place}/.{name}-{uuid.uuid4().hex[:8]}"
                     out = store.open_output_stream(temp)
                     writer = csv.writer(buffer, lineterminator="\n")
                     writer.writerow(columns)
@@ -123,6 +135,61 @@ def read_visit_files(spark: SparkSession, folder: str, schema: T.StructType, spl
                                 for f in schema.fields])
 
 
+def list_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder, hidden ones left out. Tasks list a level of folders at a time, so
+    neither paths nor folders pass through the driver."""
+    def children(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, local = _store(path)
+                found = [i for i in store.get_file_info(pafs.FileSelector(local)) if i.base_name[:1] not in (".", "_")]
+                for lo in range(0, len(found), 10_000):
+                    some = found[lo:lo + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{path.rstrip('/')}/{i.base_name}" for i in some], pa.string()),
+                         pa.array([i.type == pafs.FileType.Directory for i in some], pa.bool_()),
+                         pa.array([i.size for i in some], pa.int64())], ["path", "is_folder", "length"])
+
+    level, files = spark.createDataFrame([(folder,)], "path string").coalesce(1), None
+    while True:
+        found = materialize(level.mapInArrow(children, "path string, is_folder boolean, length long"), "visit-tree")
+        here = found.where("not is_folder").select("path", "length")
+        files = here if files is None else files.unionByName(here)
+        folders = found.where("is_folder").select("path")
+        n = folders.count()
+        if not n:
+            return files
+        level = folders.repartition(max(min(n, 16), -(-n // FOLDERS_PER_TASK)))
+
+
+def file_lines(files: DataFrame, task_bytes: int = 64 << 20, file_cost: int = 64 << 10) -> DataFrame:
+    """(path, line) of text files (path, length): the lines behind each file's first one, blank lines left out.
+
+    Files are dealt out to tasks by their bytes, as in ``read_visit_files``."""
+    total = files.agg(F.sum(F.col("length") + file_cost)).first()[0] or 0
+    dealt = files.select("path").repartition(max(1, -(-total // task_bytes)))
+
+    def run(batches):
+        paths, lines = [], []
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, local = _store(path)
+                with store.open_input_stream(local) as file:
+                    text = (x.rstrip("\n") for x in io.TextIOWrapper(file, encoding="utf-8", errors="replace"))
+                    rows = (x for x in text if x.strip())
+                    next(rows, None)
+                    for line in rows:
+                        paths.append(path)
+                        lines.append(line)
+                        if len(lines) >= 8192:
+                            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lines)], ["path", "line"])
+                            paths, lines = [], []
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lines)], ["path", "line"])
+
+    return dealt.mapInArrow(run, "path string, line string")
+
+
 def _batch(k1: int, k2: int, rows: list[list], keys, names: list[str]) -> pa.RecordBatch:
     n = len(rows)
     return pa.RecordBatch.from_arrays(
