@@ -58,3 +58,20 @@ def test_hours_are_exploded_behind_the_shuffle(spark, name):
                 if e < above:
                     above = e
                     assert "Exchange" not in other or "BroadcastExchange" in other, (name, other, line)
+
+
+def test_order_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from wardspark.operators import profile
+    from wardspark.plans import q_profile
+    d = str(tmp_path)
+    spark.range(900).selectExpr("id % 300 AS l_orderkey", "if(id % 7 = 0, null, id % 5) AS l_partkey").write.parquet(
+        f"{d}/lineitem.parquet")
+    spark.range(250).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey").write.parquet(f"{d}/orders.parquet")
+    monkeypatch.setattr(q_profile, "LINES_PER_TASK", 100)
+    lines = q_profile.line_items(spark, d)
+    assert lines.rdd.getNumPartitions() == 9 and lines.count() == 750
+    plan = profile.frequency_stats(lines, by=q_profile.VISIT, min_obs=120)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 1
+    got = {r["itemid"]: r["count"] for r in profile.frequency_stats(lines, by=q_profile.VISIT, min_obs=120).collect()}
+    want = {r["itemid"]: r["count"] for r in lines.groupBy("itemid").count().collect() if r["itemid"] is not None}
+    assert got == {i: n for i, n in want.items() if n > 120}

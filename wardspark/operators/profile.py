@@ -58,9 +58,8 @@ def _stats(counts: DataFrame, item: str, n: str = "n") -> DataFrame:
 def frequency_stats(df: DataFrame, item="itemid", by=("subject_id",), min_obs: int = 1000) -> DataFrame:
     """For items with more than ``min_obs`` rows, statistics of the per-``by`` counts:
     item, count, num, min, avg, max, sd (sd -1 when fewer than two keys)."""
-    per_item = df.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > min_obs).select(item)
-    per_key = df.join(per_item, on=item, how="left_semi").groupBy(item, *by).agg(F.count(F.lit(1)).alias("n"))
-    return _stats(per_key, item)
+    per_key = df.where(F.col(item).isNotNull()).groupBy(item, *by).agg(F.count(F.lit(1)).alias("n"))
+    return _stats(per_key, item).where(F.col("count") > min_obs)
 
 
 def item_statistics(df: DataFrame, defs: DataFrame | None = None, item="itemid", keys=VISIT,

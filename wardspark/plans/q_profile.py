@@ -49,11 +49,17 @@ def _stats_out(df, *more):
                      F.col("max").cast("long").alias("max"), r6("sd").alias("sd"))
 
 
+#: Order lines that one task joins and counts.
+LINES_PER_TASK = 250_000
+
+
 def line_items(spark, d):
-    """lineitem as (subject = customer, visit = order, item = part) rows."""
+    """lineitem as (subject = customer, visit = order, item = part) rows, dealt by visit into tasks of about
+    ``LINES_PER_TASK`` rows, so that neither the join nor a count per visit holds more, whatever the table's size."""
     li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hadm_id"), F.col("l_partkey").alias("itemid"))
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("hadm_id"), F.col("o_custkey").alias("subject_id"))
-    return li.join(o, on="hadm_id", how="inner")
+    tasks = max(1, -(-li.count() // LINES_PER_TASK))
+    return li.repartition(tasks, "hadm_id").join(o.repartition(tasks, "hadm_id"), on="hadm_id", how="inner")
 
 
 def hourly(spark, d):
