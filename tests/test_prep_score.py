@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardspark.operators import prep, score
+from wardspark import session
+from wardspark.operators import models, prep, score
 
 
 def test_chi2_tail():
@@ -213,3 +216,21 @@ def test_knn_is_exact_with_cells_and_parts(spark):
             want = [train[j] for j in np.lexsort((train, d))[:4]]
             assert [t for _, t in sorted(got[i])] == want
     assert models.knn_neighbors(df.where("false"), df, k=2).count() == 0
+
+
+def test_nearest_gives_only_rows_within_the_bound_and_estimates_lose_none():
+    r = np.random.default_rng(3)
+    for p in (1.0, 2.0, 3.0):
+        vec = np.round(r.normal(size=(240, 4)) * 2, 0 if p == 1 else 2)
+        vec[-1] = vec[-2]
+        exact = (np.abs(vec[:40, None] - vec[None, 40:]) ** p).sum(-1) ** (1 / p)
+        bound = np.sort(exact, 1)[:, 2]
+        want = {(i, 40 + j) for i in range(40) for j in sorted(range(200), key=lambda j, i=i: (exact[i, j], j))[:5]
+                if exact[i, j] <= bound[i] + 1e-9}
+        t = pa.table({"id": pa.array(range(240)), "vec": pa.array(vec.tolist(), pa.list_(pa.float64())),
+                      "label": pa.array([0] * 240), "is_test": pa.array([i < 40 for i in range(240)]),
+                      "bound": pa.array([*bound, *[None] * 200], pa.float64())})
+        found = models._nearest(t, 5, p)
+        assert set(zip(found["test_id"].to_pylist(), found["train_id"].to_pylist(), strict=True)) == want
+        row, _ = models._candidates(vec[:40], vec[40:], np.full(40, np.inf), 5, p)
+        assert len(row) < 40 * 100

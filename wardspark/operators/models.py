@@ -2,7 +2,8 @@
 
 Fitting is Spark ML (distributed estimators), and ``operators.linear`` for SGD. All logistic and SGD trials of a data set
 advance together there; of the others the driver starts a few at a time, each an ordinary distributed fit. k-NN is exact: training rows lie in cells around pivots, and a test row meets only the cells that the triangle
-inequality cannot rule out; the distances of a meeting are computed with numpy inside the task.
+inequality cannot rule out; the distances of a meeting are estimated with numpy inside the task, and computed for the
+pairs that the estimate leaves.
 """
 
 from __future__ import annotations
@@ -129,11 +130,63 @@ def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     out = np.empty((len(a), len(b)))
     step = max(1, int(2_000_000 // max(1, len(b) * a.shape[1])))
     for s in range(0, len(a), step):
-        diff = np.abs(a[s:s + step, None, :] - b[None, :, :])
-        out[s:s + step] = np.sqrt((diff * diff).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
+        out[s:s + step] = _norms(a[s:s + step, None, :] - b[None, :, :], p)
     return out
 
 
+def _norms(diff: np.ndarray, p: float) -> np.ndarray:
+    diff = np.abs(diff)
+    return np.sqrt((diff * diff).sum(-1)) if p == 2 else (diff ** p).sum(-1) ** (1.0 / p)
+
+
+def _slack(bound: np.ndarray) -> np.ndarray:
+    """A bound on distances, widened by the rounding in them."""
+    return bound * (1 + 1e-9) + 1e-9
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """(distances of all rows of ``a`` to all rows of ``b``, squared for p = 2, what each row's may be off by).
+
+    A matrix product for p = 2, sums of short floats for p = 1; what can't be estimated is exact."""
+    dims = a.shape[1]
+    if p == 2:
+        size_a, size_b = (a * a).sum(1), (b * b).sum(1)
+        off = 8 * np.finfo(np.float64).eps * (dims + 4) * (size_a + size_b.max())
+        if np.isfinite(off).all():
+            return size_a[:, None] + size_b[None, :] - 2 * (a @ b.T), off
+    elif p == 1:
+        size_a, size_b = np.abs(a).sum(1), np.abs(b).sum(1)
+        off = 4 * float(np.finfo(np.float32).eps) * (dims + 4) * (size_a + size_b.max())
+        if (off < 1e30).all():
+            left, right = a.astype(np.float32), np.ascontiguousarray(b.T.astype(np.float32))
+            out = np.zeros((len(a), len(b)), np.float32)
+            # a few rows at a time, so that their sums stay in the processor's cache
+            step = max(1, 65_536 // max(1, len(b)))
+            for lo in range(0, len(a), step):
+                x, total = left[lo:lo + step], out[lo:lo + step]
+                diff = np.empty_like(total)
+                for j in range(dims):
+                    np.subtract(x[:, j, None], right[j], out=diff)
+                    np.abs(diff, out=diff)
+                    total += diff
+            return out, off
+    d = _distances(a, b, p)
+    return (d * d if p == 2 else d), np.zeros(len(a))
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, bound: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``) pairs that hold the k nearest of each row that are no farther than its bound."""
+    d, off = _estimate(a, b, p)
+    limit = _slack(bound) ** 2 if p == 2 else _slack(bound)
+    limit = limit * (1 + 1e-9) + off
+    limit[np.isnan(d).sum(1) > d.shape[1] - k] = -1  # fewer than k have a distance
+    many = np.flatnonzero((d <= limit[:, None]).sum(1) > k)
+    # the k-th distance cuts a row; what may be as near or nearer stays
+    kth = np.partition(d[many], k - 1, axis=1)[:, k - 1].astype(np.float64)
+    limit[many] = np.minimum(limit[many], kth * (1 + 1e-9) + 2 * off[many])
+    return np.nonzero(d <= limit[:, None])
+
+
 def _rows_of(b: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     col = b.column(name) if isinstance(b, pa.RecordBatch) else b[name].combine_chunks()
     return np.asarray(col.flatten()).reshape(b.num_rows, -1)
@@ -144,21 +197,26 @@ def _nearest(t: pa.Table, k: int, p: float) -> pa.Table:
     t = t.combine_chunks()
     test = np.asarray(t["is_test"])
     vec, ids, label = _rows_of(t, "vec"), np.asarray(t["id"]), np.asarray(t["label"].fill_null(0))
+    bound = np.asarray(t["bound"].fill_null(np.inf))
     out = {"test_id": [], "train_id": [], "dist": [], "label": []}
     b = np.flatnonzero(~test)
     kk = min(k, len(b))
     for lo in range(0, np.count_nonzero(test) if kk else 0, 256):
         a = np.flatnonzero(test)[lo:lo + 256]
-        d = _distances(vec[a], vec[b], p)
-        # the k-th distance cuts the block; what is as near or nearer is sorted by (distance, id)
-        cut = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        for i, row in enumerate(d):
-            near = np.flatnonzero(row <= cut[i])
-            near = near[np.lexsort((ids[b[near]], row[near]))][:kk]
-            out["test_id"].append(np.full(len(near), ids[a[i]]))
-            out["train_id"].append(ids[b[near]])
-            out["dist"].append(row[near])
-            out["label"].append(label[b[near]])
+        row, col = _candidates(vec[a], vec[b], bound[a], kk, p)
+        dist = np.empty(len(row))
+        step = max(1, 2_000_000 // max(1, vec.shape[1]))
+        for at in range(0, len(row), step):
+            s = slice(at, at + step)
+            dist[s] = _norms(vec[a[row[s]]] - vec[b[col[s]]], p)
+        order = np.lexsort((ids[b[col]], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & (dist <= _slack(bound[a])[row])
+        row, col = row[keep], col[keep]
+        out["test_id"].append(ids[a[row]])
+        out["train_id"].append(ids[b[col]])
+        out["dist"].append(dist[keep])
+        out["label"].append(label[b[col]])
     kind = {"dist": np.float64}
     return pa.table({c: np.concatenate(x) if x else np.zeros(0, kind.get(c, np.int64)) for c, x in out.items()})
 
@@ -207,25 +265,27 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, p: float = 2.0,
             own = np.zeros(d.shape, bool)
             own[np.arange(len(d)), first] = True
             # the slack absorbs rounding in the distances
-            meet = own if bound is None else (~own & (radius >= 0) & (d - radius <= bound[:, None] * (1 + 1e-9) + 1e-9))
+            meet = own if bound is None else (~own & (radius >= 0) & (d - radius <= _slack(bound)[:, None]))
             row, cell = np.nonzero(meet)
             count = parts[cell]
             row, cell = np.repeat(row, count), np.repeat(cell, count)
             part = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            far = np.full(b.num_rows, np.inf) if bound is None else bound
             for lo in range(0, len(row), 8192):
                 s = slice(lo, lo + 8192)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).take(pa.array(row[s])) for c in ("id", "vec", "label")), pa.array(cell[s].astype("int32")),
-                     pa.array(part[s].astype("int32"))], ["id", "vec", "label", "cell", "part"])
+                     pa.array(part[s].astype("int32")), pa.array(far[row[s]])],
+                    ["id", "vec", "label", "cell", "part", "bound"])
 
     # at most one row per pivot
     by_cell = tr.sparkSession.createDataFrame([(r["cell"], r["parts"]) for r in cells], "cell int, parts int")
     sized = tr.join(F.broadcast(by_cell), "cell")
     side = sized.select("id", "vec", "label", "cell", F.pmod(hash32("id", seed=3), F.col("parts")).cast("int").alias("part"),
-                        F.lit(False).alias("is_test"))
+                        F.lit(None).cast("double").alias("bound"), F.lit(False).alias("is_test"))
 
     def meet(tests: DataFrame) -> DataFrame:
-        met = tests.mapInArrow(visits, schema + ", cell int, part int").withColumn("is_test", F.lit(True))
+        met = tests.mapInArrow(visits, schema + ", cell int, part int, bound double").withColumn("is_test", F.lit(True))
         return met.unionByName(side).groupBy("cell", "part").applyInArrow(lambda t: _nearest(t, k, p), order)
     near = materialize(meet(te), "knn-first")
     ranked = Window.partitionBy("test_id").orderBy("dist", "train_id")
