@@ -234,3 +234,17 @@ def test_nearest_gives_only_rows_within_the_bound_and_estimates_lose_none():
         assert set(zip(found["test_id"].to_pylist(), found["train_id"].to_pylist(), strict=True)) == want
         row, _ = models._candidates(vec[:40], vec[40:], np.full(40, np.inf), 5, p)
         assert len(row) < 40 * 100
+
+
+def test_split_never_broadcasts_the_wide_table(spark, monkeypatch):
+    wide = session.materialize(spark.range(500).selectExpr("id % 50 AS subject_id", "id % 50 AS hadm_id", *[
+        f"CAST(null AS double) AS x{i}" for i in range(60)]), "wide")
+    splits = prep.split_visits(wide.select("subject_id", "hadm_id"))
+
+    def plan():
+        out = prep.apply_split(wide, splits)
+        assert out.count() == 500 and {r["split"] for r in out.select("split").collect()} == set(prep.SPLITS)
+        return out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in (p := plan()) and "BuildLeft" not in p
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    assert "SortMergeJoin" in (p := plan()) and "Broadcast" not in p
