@@ -248,3 +248,12 @@ def test_split_never_broadcasts_the_wide_table(spark, monkeypatch):
     assert "BuildRight" in (p := plan()) and "BuildLeft" not in p
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     assert "SortMergeJoin" in (p := plan()) and "Broadcast" not in p
+
+
+def test_distance_vote_reads_the_neighbours_once(spark):
+    near = session.materialize(spark.createDataFrame(
+        [(1, 5, 0.0, 2), (1, 6, 0.1, 1), (1, 7, 0.1, 1), (2, 5, 0.5, 0), (2, 6, 0.2, 1), (None, 5, 0.5, 0)],
+        "test_id long, train_id long, dist double, label long"), "near")
+    vote = models.knn_vote(near, "distance")
+    assert {r["test_id"]: r["prediction"] for r in vote.collect()} == {1: 2, 2: 1}
+    assert vote._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1

@@ -302,8 +302,9 @@ def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
         wt = F.lit(1.0)
         nb = neigh
     else:
-        zero = neigh.groupBy("test_id").agg(F.max((F.col("dist") == 0).cast("int")).alias("_z"))
-        nb = neigh.join(zero, on="test_id")
+        # a window, as a join with itself would look for the neighbours twice
+        zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("test_id"))
+        nb = neigh.where(F.col("test_id").isNotNull()).withColumn("_z", zero)
         wt = F.when(F.col("_z") == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     s = nb.groupBy("test_id", "label").agg(F.sum(wt).alias("w"))
     best = Window.partitionBy("test_id").orderBy(F.col("w").desc(), F.col("label").asc())
