@@ -20,12 +20,15 @@ def _classes(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("class")
 
 
-def confusion(pred: DataFrame, n_classes: int = 4, label="label", prediction="prediction", by=()) -> DataFrame:
+def confusion(pred: DataFrame, n_classes: int = 4, label="label", prediction="prediction", by=(),
+              count: str | None = None) -> DataFrame:
     """M4/M5: one-vs-rest TP, FP, TN, FN per class (and per ``by`` columns, e.g. hour).
 
     Rows are counted per (by, label, prediction) first; only that small table is expanded over the classes. A null
-    label or prediction is no class: the row counts as a negative or not predicted, as comparisons with null do."""
-    n = pred.groupBy(*by, F.col(label).alias("_y"), F.col(prediction).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    label or prediction is no class: the row counts as a negative or not predicted, as comparisons with null do.
+    ``count``: the column that tells how many rows a row stands for; without it each is one."""
+    rows = F.sum(count) if count else F.count(F.lit(1))
+    n = pred.groupBy(*by, F.col(label).alias("_y"), F.col(prediction).alias("_p")).agg(rows.alias("_n"))
     x = n.select(*by, "_y", "_p", "_n", _classes(n_classes))
     y, p, c = F.col("_y"), F.col("_p"), F.col("class")
 
