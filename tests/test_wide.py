@@ -84,3 +84,20 @@ def test_text_of_the_snapshot_is_compressed(spark, events, tmp_path, monkeypatch
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
     files = [f for f in glob.glob(os.path.join(written[0].removeprefix("file:"), "part-*"))]
     assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_label_hours_are_not_sent_to_all_executors(spark, tmp_path):
+    """The intervals of the labels are small files, the hours made of them are not."""
+    start, events = dt.datetime(2024, 1, 1, 3), str(tmp_path)
+    rows = [(i, start + dt.timedelta(hours=7 * i % 400), 40 + i % 3, KINDS[i % 5], float(20 + 11 * i % 170), "{}") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).coalesce(1).write.parquet(f"{events}/events.parquet")
+    table = q_prep.model_table(spark, events)
+    rows = table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "hour#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    names = ["subject_id", "hadm_id", "hour", *q_prep.LABELS]
+    want = oracle(events, q_prep.sql(f"SELECT {', '.join(names)} FROM mt")).fetchall()
+    assert any(r[-1] for r in want)
+    assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(want)
