@@ -47,3 +47,18 @@ def test_no_visits_and_visits_without_hours(spark):
     assert {r["non_null"] for r in prep.sequence_non_null(bare, FEATS).collect()} == {0}
     cut, kept = prep.drop_sequence_columns(sequences(spark), FEATS, keep=[])
     assert {tuple(s["x"]) for r in cut.collect() for s in r["steps"]} == {()}
+
+
+def test_a_step_stands_for_a_run_of_equal_hours(spark):
+    runs = spark.createDataFrame([(1, 1, 1, 3, 1.0, None), (1, 1, 4, 4, None, float("nan")), (2, 3, 2, 6, 2.0, None)],
+                                 "subject_id long, hadm_id long, first_hour int, last_hour int, a double, b double")
+    hours = runs.selectExpr("subject_id", "hadm_id", "explode(sequence(first_hour, last_hour)) AS hour", "a", "b")
+    short = prep.to_sequences(runs, ["a", "b"], hour="first_hour", last="last_hour")
+    full = prep.to_sequences(hours, ["a", "b"])
+    assert {r["column_name"]: r["non_null"] for r in prep.sequence_non_null(short, ["a", "b"]).collect()} == {"a": 8, "b": 0}
+    cut, kept = prep.drop_sequence_columns(short, ["a", "b"])
+    assert kept == ["a"] == prep.drop_sequence_columns(full, ["a", "b"])[1]
+
+    def spread(seq, last):
+        return sorted((r["hadm_id"], h, s["x"][0]) for r in seq.collect() for s in r["steps"] for h in range(s["hour"], s[last] + 1))
+    assert spread(cut, "last") == spread(prep.drop_sequence_columns(full, ["a", "b"])[0], "hour")

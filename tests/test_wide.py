@@ -101,3 +101,12 @@ def test_label_hours_are_not_sent_to_all_executors(spark, tmp_path):
     want = oracle(events, q_prep.sql(f"SELECT {', '.join(names)} FROM mt")).fetchall()
     assert any(r[-1] for r in want)
     assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(want)
+
+
+def test_sequences_hold_a_vector_once_for_equal_hours(spark, events):
+    seq, feats = q_prep.wide_sequences(spark, events)
+    rows = seq.collect()
+    steps = [s for r in rows for s in r["steps"]]
+    hours = oracle(events, q_snapshot._snapshot_sql(emit_empty=False)).fetchall()
+    assert sum(s["last"] - s["hour"] + 1 for s in steps) == len(hours) > 4 * len(steps)
+    assert {len(s["x"]) for s in steps} == {len(feats)}
