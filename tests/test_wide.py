@@ -110,3 +110,20 @@ def test_sequences_hold_a_vector_once_for_equal_hours(spark, events):
     hours = oracle(events, q_snapshot._snapshot_sql(emit_empty=False)).fetchall()
     assert sum(s["last"] - s["hour"] + 1 for s in steps) == len(hours) > 4 * len(steps)
     assert {len(s["x"]) for s in steps} == {len(feats)}
+
+
+def test_text_of_the_snapshot_is_sorted_in_runs(spark, events, tmp_path):
+    hourly, vis, nz = q_snapshot.snapshot_inputs(spark, events)
+    text = snap.snapshot(hourly, vis, nz, hours=50, emit_empty=True, as_text=True, in_order=True)
+    plan = text._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(plan) if "Sort [" in line][0]
+    assert any("Generate explode" in line for line in plan[:at]) and "first_hour" in plan[at]
+    io.write_per_visit(text, str(tmp_path / "text"), dealt=True, in_order=True)
+    seen = []
+    for f in glob.glob(str(tmp_path / "text" / "part-*.csv")):
+        lines = open(f).read().splitlines()
+        head = lines[0].split(",")
+        rows = [tuple(int(line.split(",")[head.index(c)]) for c in (*KEYS, "hour")) for line in lines[1:]]
+        assert rows == sorted(rows)
+        seen += rows
+    assert len(seen) == len(set(seen)) == 50 * vis.count()
