@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from wardspark.operators import snapshot as snap
+from wardspark import session
+from wardspark.operators import prep, snapshot as snap
 from wardspark.plans import catalog, q_prep, q_snapshot
 from wardspark.sources import io
 
@@ -127,3 +128,22 @@ def test_text_of_the_snapshot_is_sorted_in_runs(spark, events, tmp_path):
         assert rows == sorted(rows)
         seen += rows
     assert len(seen) == len(set(seen)) == 50 * vis.count()
+
+
+def test_preparation_writes_only_new_rows(spark, events, monkeypatch):
+    """A pass of resampling leaves the rows before it where they are, and the wide snapshot is written once."""
+    written = []
+    plain = session.materialize
+
+    def noted(df, name, *more):
+        written.append((name, plain(df, name, *more)))
+        return written[-1][1]
+    for module in (session, prep):
+        monkeypatch.setattr(module, "materialize", noted)
+    out = catalog.queries()["t14_prepare_resampled"](spark, events)
+    rows = {n: [x.count() for name, x in written if name == n] for n in ("prepared", "synthetic")}
+    assert len(rows["prepared"]) == 1 and len(rows["synthetic"]) == len(q_prep.LABELS)
+    assert out.count() == sum(rows["prepared"]) + sum(rows["synthetic"])
+    written.clear()
+    catalog.queries()["t14_prepare_snapshot_width"](spark, events)
+    assert [name for name, _ in written].count("snapshot-model") == 1 and "snapshot" not in dict(written)
